@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tallyproof.llm.common import arrow_limits, buffers, mix, pieces, shingle_hashes, small_or_not, word_hashes, written
 
 #: Nodes of a block in exact comparisons, and rows of a block in signature comparisons.
-BLOCK, BUCKET_BLOCK = 64, 512
+BLOCK, BUCKET_BLOCK = 128, 512
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -153,10 +153,16 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
 
 
 def _residual(most: int, positions: int, least: float) -> Callable:
-    """In each bucket block: which pairs of node blocks hold a candidate of two groups."""
+    """In each bucket block: which pairs of node blocks hold a candidate of two
+    groups; a task gives each pair of blocks once, as far as it remembers."""
     names = ["x1", "b1", "x2", "b2"]
 
+    def table(seen: set[tuple[int, int, int, int]]) -> pa.RecordBatch:
+        rows = np.array(sorted(seen), np.int64).reshape(-1, 4)
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, c]) for c in range(4)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int, int, int]] = set()
         for group in _grouped(batches, ["key", "i", "j"]):
             group = group.combine_chunks()
             sig = _matrix(group.column("sig").chunk(0), positions)
@@ -179,7 +185,11 @@ def _residual(most: int, positions: int, least: float) -> Callable:
                 one, two = np.stack([x[p[u]], b[p[u]]], 1), np.stack([x[q[v]], b[q[v]]], 1)
                 swap = (one[:, 0] > two[:, 0]) | ((one[:, 0] == two[:, 0]) & (one[:, 1] > two[:, 1]))
                 both = np.unique(np.where(swap[:, None], np.hstack([two, one]), np.hstack([one, two])), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, c]) for c in range(4)], names)
+                seen.update(map(tuple, both.tolist()))
+                if len(seen) >= 50_000:
+                    yield table(seen)
+                    seen = set()
+        yield table(seen)
 
     return run
 
@@ -330,9 +340,10 @@ def near_duplicates(
     found = written(components(links), "found")
 
     # what shares a bucket but not yet a group
-    home = star.groupBy("b").agg(F.min("a").alias("wl")).withColumnRenamed("b", "node")
-    member = buckets.where("cnt > 2").select("node").distinct().join(nodes.select("node", "n", "sig"), "node").join(found, "node", "left").join(home, "node", "left")
-    member = member.select("node", "n", "sig", F.coalesce("comp", "node").alias("comp"), F.coalesce("wl", "node").alias("wl"))
+    # nodes that meet in buckets mostly have the smallest leader of their buckets in common: that makes few blocks
+    home = buckets.groupBy("node").agg(F.min("leader").alias("wl"))
+    member = buckets.where("cnt > 2").select("node").distinct().join(nodes.select("node", "n", "sig"), "node").join(found, "node", "left").join(home, "node")
+    member = member.select("node", "n", "sig", F.coalesce("comp", "node").alias("comp"), "wl")
     member = written(member.join(blocks(member.groupBy("wl").agg(F.count("*").alias("cnt")), "wl"), "wl").withColumn("blk", F.pmod(F.xxhash64("node"), "parts")), "member")
     in_buckets = buckets.where("cnt > 2").join(member.select("node", "comp"), "node")
     mixed = in_buckets.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
