@@ -63,38 +63,39 @@ def _search(k: int, m: int, listed: int, share: float, least: int):
         found: list[tuple] = []
         if queries.num_rows and block.num_rows:
             block = block.sort_by("id").combine_chunks()  # ties go to the smaller id
-            ids, x = block.column("id").to_numpy(), _rows(block.column("v"))
+            every, x = block.column("id").to_numpy(), _rows(block.column("v"))
+            perm = np.frombuffer(b"".join(block.column("perm").to_pylist()), np.int16).reshape(len(every), -1)
+            # equal vectors are one entry, however many there are; of its ids, k + 1 are enough
+            _, first, group = np.unique(np.ascontiguousarray(x).view(f"V{8 * x.shape[1]}").ravel(), return_index=True, return_inverse=True)
+            order = np.argsort(group, kind="stable")
+            cut = np.searchsorted(group[order], np.arange(len(first) + 1))
+            members = [every[order[a : min(b, a + k + 1)]] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            x, perm = x[first], perm[first]
             norm = np.sqrt((x * x).sum(axis=1))
-            perm = np.frombuffer(b"".join(block.column("perm").to_pylist()), np.int16).reshape(len(ids), -1)
             # the inverted file: for each pivot, rows and places
+            width = perm.shape[1]
             flat = perm.ravel()
             by = np.argsort(flat, kind="stable")
-            row, place = (by // perm.shape[1]).astype(np.int32), (by % perm.shape[1]).astype(np.int32)
+            row, place = (by // width).astype(np.int32), (by % width).astype(np.int32)
             cuts = np.searchsorted(flat[by], np.arange(m + 1))
-            # a vector none of whose pivots is met: its places all missing, and so the query's
-            width = perm.shape[1]
-            alone = (width - np.arange(width)).sum()
-            keep = min(len(ids), max(least, k + 1, int(np.ceil(share * len(ids)))))
+            # where no pivot is shared, all places of both count as missing
+            alone = int((width - np.arange(width)).sum())
+            keep = min(len(x), max(least, k + 1, int(np.ceil(share * len(x)))))
             qid, qx = queries.column("id").to_numpy(), _rows(queries.column("v"))
             qperm = np.frombuffer(b"".join(queries.column("perm").to_pylist()), np.int16).reshape(len(qid), -1)
             for i in range(len(qid)):
-                far = np.full(len(ids), 2 * alone, np.int64)
+                far = np.full(len(x), 2 * alone, np.int32)
                 for place_q, p in enumerate(qperm[i].tolist()):
                     a, b = cuts[p], cuts[p + 1]
                     there = place[a:b]
-                    # shared pivot: |difference| instead of both counted as missing
-                    far[row[a:b]] += np.abs(there - place_q) - (width - there) - (width - place_q)
-                far[ids == qid[i]] = 4 * alone + 1
-                if keep < len(ids):
-                    edge = np.partition(far, keep - 1)[keep - 1]
-                    sure = np.flatnonzero(far < edge)
-                    near = np.concatenate([sure, np.flatnonzero(far == edge)[: keep - len(sure)]])
-                else:
-                    near = np.arange(len(ids))
-                near = np.sort(near[ids[near] != qid[i]])
+                    # a shared pivot: the difference of places instead of both as missing
+                    far[row[a:b]] += np.abs(there - place_q) + there - (2 * width - place_q)
+                near = np.argpartition(far, keep - 1)[:keep] if keep < len(x) else np.arange(len(x))
                 score = (x[near] * qx[i]).sum(axis=1) / (norm[near] * np.sqrt((qx[i] * qx[i]).sum()))
-                for j in np.lexsort((ids[near], -score))[:k]:
-                    found.append((qid[i], ids[near[j]], score[j]))
+                best = near[score >= np.sort(score)[max(0, len(score) - k - 1)]]
+                value = dict(zip(near.tolist(), score.tolist(), strict=True))
+                ranked = sorted((-value[j], int(v)) for j in best.tolist() for v in members[j] if v != qid[i])
+                found += [(qid[i], v, -s) for s, v in ranked[:k]]
         cols = list(zip(*found, strict=True)) if found else [[], [], []]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
@@ -108,8 +109,8 @@ def nearest(
     vec_col: str = "embedding",
     k: int = 5,
     pivots: int = 256,
-    listed: int = 192,
-    share: float = 0.2,
+    listed: int = 96,
+    share: float = 0.25,
     least: int = 200,
     block_rows: int = 4096,
     query_rows: int = 1024,
