@@ -25,9 +25,9 @@ def reliabilities(patterns: list[str], counts: list[int], start: tuple[float, fl
     negative and on the positive class; `strength` pseudo-counts for each hold it
     to that.
     """
-    votes, n = patterns_to_array(patterns), np.array(counts, float)
-    if not len(votes):
+    if not patterns:
         return np.empty(0), np.empty((0, 2)), prior
+    votes, n = patterns_to_array(patterns), np.array(counts, float)
     table = np.tile(np.array(start), (votes.shape[1], 1))
     cast, right, post = votes != ABSTAINS, np.stack([votes == AGAINST, votes == FOR]), None
     for _ in range(rounds):
