@@ -125,3 +125,34 @@ def spans_of(parsed: DataFrame, doc: str = "doc_id") -> DataFrame:
     each = each.select(doc, "section", F.posexplode(F.from_json("body", "array<struct<text string, source_lines array<int>>>")).alias("pos", "span"))
     path = F.concat_ws(".", "section", F.col("pos").cast("string"))
     return each.select(doc, F.xxhash64(path).alias("claim_id"), path.alias("path"), F.lit("span").alias("kind"), F.col("span.text").alias("text"), F.col("span.source_lines").alias("source_lines"))
+
+
+def shape() -> str:
+    """The schema that payloads are held against, as JSON."""
+    from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+
+    span = StructType([StructField("text", StringType(), False), StructField("source_lines", ArrayType(IntegerType(), False), False)])
+    return StructType([StructField(n, ArrayType(span)) for n in ("summary", "experience", "education", "skills", "projects", "certifications", "publications", "awards", "languages", "other_sections")]).json()
+
+
+def budget_note(used: int | None, reasoning: int | None, limit: int) -> str:
+    """Where an answer's tokens went; nothing where the provider doesn't say."""
+    if used is None:
+        return ""
+    part = "" if reasoning is None else f" ({reasoning} on reasoning, {used - reasoning} on content)"
+    return f" Used {used} completion tokens{part} of {limit}."
+
+
+def usable(claims: DataFrame, report: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Documents fit for measuring the metric by mutation: two roles or more, or a
+    cited catch-all, and every line claimed."""
+    roles = F.countDistinct(F.when(F.startswith(F.col("path"), F.lit("experience.")), F.regexp_extract("path", r"^experience\.(\d+)", 1)))
+    other = F.bool_or(F.startswith(F.col("path"), F.lit("other_sections.")) & (F.size("source_lines") > 0))
+    parts = claims.groupBy(doc).agg(roles.alias("roles"), other.alias("other"))
+    return parts.join(report.where("coverage_pct = 100").select(doc), doc).where("roles >= 2 or other").select(doc)
+
+
+def without_spans(claims: DataFrame, prefix: str = "") -> DataFrame:
+    """Claims under `prefix` lose their text and verdict but keep their citations."""
+    gone = F.startswith(F.col("path"), F.lit(prefix))
+    return claims.withColumn("text", F.when(gone, "").otherwise(F.col("text")))

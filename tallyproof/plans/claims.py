@@ -215,3 +215,22 @@ def structuring_retry(spark, sf_dir):
 def structured_spans(spark, sf_dir):
     parsed = K.structured(K.prompts(document_lines(spark, sf_dir)), _Scripted).where("status = 'ok'")
     return K.spans_of(parsed).select("doc_id", "path", "text", F.array_join(F.transform("source_lines", lambda n: n.cast("string")), ",").alias("cited"))
+
+
+@query(f"""WITH {_STATES}, p AS (SELECT doc_id, CASE WHEN claim_id % 3 = 0 THEN 'other_sections.' || claim_id ELSE 'experience.' || claim_id % 2 || '.' || claim_id END AS path FROM claims),
+q AS (SELECT doc_id, count(DISTINCT CASE WHEN path LIKE 'experience.%' THEN split_part(path, '.', 2) END) AS roles, bool_or(path LIKE 'other_sections.%') AS other FROM p GROUP BY 1)
+SELECT q.doc_id FROM q JOIN rq ON rq.doc_id = q.doc_id WHERE rq.coverage_pct = 100 AND (roles >= 2 OR other)""")
+def usable_parses(spark, sf_dir):
+    n = F.col("claim_id").cast("string")
+    path = F.when(F.col("claim_id") % 3 == 0, F.concat(F.lit("other_sections."), n)).otherwise(F.concat(F.lit("experience."), (F.col("claim_id") % 2).cast("string"), F.lit("."), n))
+    lines = document_lines(spark, sf_dir)
+    return K.usable(document_claims(lines, spark, sf_dir).withColumn("path", path), document_report(spark, sf_dir)[1])
+
+
+@query(f"""WITH {_STATES} SELECT doc_id, coverage_pct, CAST(CASE WHEN non_blank_lines > 0 THEN 0 ELSE 100 END AS DOUBLE) AS represented_pct FROM rq""")
+def spans_deleted(spark, sf_dir):
+    """All claims lose their text: coverage stays, nothing is represented."""
+    lines = document_lines(spark, sf_dir)
+    emptied = K.without_spans(document_claims(lines, spark, sf_dir).withColumn("path", F.lit("x")))
+    judged = V.verify(emptied, lines)
+    return C.report(C.line_states(lines, C.claimed_lines(judged), C.represented_lines(judged))).select("doc_id", "coverage_pct", "represented_pct")

@@ -17,7 +17,7 @@ MAX_BYTES, MIN_CHARS = 10 * 1024 * 1024, 50
 
 def scan(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """(path, name, content) of a file or of a folder's files that aren't hidden,
-    by name."""
+    by name. Spark's readers pass over files of no bytes at all."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     name = F.element_at(F.split("path", "/"), -1)
     return files.select("path", name.alias("name"), "content").where(~F.startswith(F.col("name"), F.lit("."))).orderBy("path")

@@ -24,7 +24,8 @@ def ingest_lines(spark: SparkSession, source: str, schema: StructType, target: s
 def windowed_counts(events: DataFrame, minutes: int = 60, late: str = "2 hours") -> DataFrame:
     """Events by type in windows of `minutes`; works on streams (with a watermark)
     and on tables alike."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.withWatermark("ts", late) if events.isStreaming else rows
     return rows.groupBy(F.window("ts", f"{minutes} minutes"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 

@@ -20,7 +20,7 @@ def plain(df: pd.DataFrame) -> list:
     def cell(v):
         if v is None or v is pd.NA or v != v:
             return ""
-        if isinstance(v, float) or getattr(getattr(v, "dtype", None), "kind", "") in "iuf":
+        if isinstance(v, float) or getattr(getattr(v, "dtype", None), "kind", "-") in "iuf":
             return f"{float(v):.9g}"
         return f"{v:.9g}" if isinstance(v, int) and not isinstance(v, bool) else str(v)
 
