@@ -80,6 +80,9 @@ def _search(k: int, m: int, listed: int, share: float, least: int):
             cuts = np.searchsorted(flat[by], np.arange(m + 1))
             # where no pivot is shared, all places of both count as missing
             alone = int((width - np.arange(width)).sum())
+            # what a shared pivot changes: the difference of places instead of both as missing
+            at_q, at_x = np.arange(width)[:, None], np.arange(width)[None]
+            change = (np.abs(at_x - at_q) - (width - at_x) - (width - at_q)).astype(np.int32)
             keep = min(len(x), max(least, k + 1, int(np.ceil(share * len(x)))))
             qid, qx = queries.column("id").to_numpy(), _rows(queries.column("v"))
             qperm = np.frombuffer(b"".join(queries.column("perm").to_pylist()), np.int16).reshape(len(qid), -1)
@@ -87,9 +90,7 @@ def _search(k: int, m: int, listed: int, share: float, least: int):
                 far = np.full(len(x), 2 * alone, np.int32)
                 for place_q, p in enumerate(qperm[i].tolist()):
                     a, b = cuts[p], cuts[p + 1]
-                    there = place[a:b]
-                    # a shared pivot: the difference of places instead of both as missing
-                    far[row[a:b]] += np.abs(there - place_q) + there - (2 * width - place_q)
+                    far[row[a:b]] += change[place_q][place[a:b]]
                 near = np.argpartition(far, keep - 1)[:keep] if keep < len(x) else np.arange(len(x))
                 score = (x[near] * qx[i]).sum(axis=1) / (norm[near] * np.sqrt((qx[i] * qx[i]).sum()))
                 best = near[score >= np.sort(score)[max(0, len(score) - k - 1)]]
