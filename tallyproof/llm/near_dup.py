@@ -259,7 +259,12 @@ def components(edges: DataFrame) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
 
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    def kept(rows: DataFrame, most: int) -> DataFrame:
+        """Written in files of some 500,000 edges instead of one for each task."""
+        return written(rows.coalesce(most // 500_000 + 1), "edges")
+
+    total = edges.count()
+    e = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), total)
     was = state(e)
     while was[0]:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -267,7 +272,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.where("m < u").select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        e = written(small, "edges")
+        e = kept(small, was[0])
         now = state(e)
         if now == was:
             break
@@ -323,7 +328,8 @@ def near_duplicates(
     star = written(pairs.join(a, "a").join(b, "b").mapInArrow(_near(most, positions, least), "a long, b long"), "star")
 
     def blocks(counted: DataFrame, key: str) -> DataFrame:
-        return counted.select(key, F.ceil(F.col("cnt") / BLOCK).cast("long").alias("parts"))
+        """Joined without dealing out by `key`, of which one may hold very many rows, where there are few keys."""
+        return small_or_not(counted.select(key, F.ceil(F.col("cnt") / BLOCK).cast("long").alias("parts")))
 
     def confirmed(rows: DataFrame) -> DataFrame:
         wanted = rows.select("node").distinct().join(nodes.select("node", F.col("id").alias("id_"), "h1", "h2"), "node")
@@ -347,6 +353,7 @@ def near_duplicates(
     member = written(member.join(blocks(member.groupBy("wl").agg(F.count("*").alias("cnt")), "wl"), "wl").withColumn("blk", F.pmod(F.xxhash64("node"), "parts")), "member")
     in_buckets = buckets.where("cnt > 2").join(member.select("node", "comp"), "node")
     mixed = in_buckets.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    mixed = small_or_not(written(mixed, "mixed"))
     part = buckets.where("cnt > 2").join(mixed, "key").join(member, "node")
     part = part.withColumn("nb", F.ceil(F.col("cnt") / BUCKET_BLOCK).cast("long")).withColumn("bi", F.pmod(F.xxhash64("node", F.lit(1)), "nb"))
     part = part.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))).withColumn("i", F.least("bi", "o")).withColumn("j", F.greatest("bi", "o"))
