@@ -151,7 +151,9 @@ def open_guard(spark, sf_dir):
 _HEADS = ("", "255044462d", "d0cf11e0", "7b5c72746631", "504b0304", "ff")
 
 
-@query("""SELECT CASE doc_id % 6 WHEN 1 THEN 'pdf' WHEN 0 THEN CASE WHEN length(trim(coalesce(text, ''))) < 50 THEN 'empty_document' WHEN doc_id % 5 = 0 THEN 'md' ELSE 'txt' END ELSE 'unsupported_format' END AS verdict, count(*) AS n FROM documents GROUP BY 1""")
+@query(f"""WITH {DL}, v AS (SELECT doc_id, sum(length(trim(text))) AS n FROM dl GROUP BY 1)
+SELECT CASE d.doc_id % 6 WHEN 1 THEN 'pdf' WHEN 0 THEN CASE WHEN coalesce(v.n, 0) < 50 THEN 'empty_document' WHEN d.doc_id % 5 = 0 THEN 'md' ELSE 'txt' END ELSE 'unsupported_format' END AS verdict, count(*) AS n
+FROM documents d LEFT JOIN v ON v.doc_id = d.doc_id GROUP BY 1""")
 def format_tally(spark, sf_dir):
     """Texts as files, most with the first bytes of another format in front."""
     d = F.col("doc_id")

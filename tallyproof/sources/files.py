@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import tempfile
 import zipfile
 
 import pandas as pd
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tallyproof.operators.lines import text_lines
+from tallyproof.functions.text import stripped
+from tallyproof.operators.lines import split_lines, text_lines
 
 MAX_BYTES, MIN_CHARS = 10 * 1024 * 1024, 50
 
@@ -60,6 +62,11 @@ def sniff(content: Column) -> Column:
     )
 
 
+def visible_length(text: Column) -> Column:
+    """Characters of all lines, each stripped."""
+    return F.aggregate(split_lines(text), F.lit(0), lambda n, line: n + F.length(stripped(line)))
+
+
 def classify(files: DataFrame) -> DataFrame:
     """`files(name, content)` with kind and reject_code; errors are values. Size
     comes first, then emptiness, then the format; archives alone are opened."""
@@ -69,7 +76,7 @@ def classify(files: DataFrame) -> DataFrame:
     rows = rows.where(~is_zip).withColumn("inside", F.lit(None).cast("string")).unionByName(opened)
     suffix = F.lower(F.regexp_extract("name", r"(\.[^.]*)$", 1))
     kind = F.when(F.col("inside") == "docx", "docx").when(F.col("sniffed") == "pdf", "pdf").when(F.col("sniffed") == "txt", F.when(suffix == ".md", "md").otherwise("txt"))
-    short = F.col("sniffed").eqNullSafe("txt") & (F.length(F.regexp_replace(F.col("content").cast("string"), r"(?m)^[\p{IsWhite_Space}]+|[\p{IsWhite_Space}]+$", "")) < MIN_CHARS)
+    short = F.col("sniffed").eqNullSafe("txt") & (visible_length(F.col("content").cast("string")) < MIN_CHARS)
     code = (
         F.when(F.octet_length("content") > MAX_BYTES, "file_too_large")
         .when(F.octet_length("content") == 0, "empty_document")
@@ -90,6 +97,17 @@ def tally(classified: DataFrame) -> DataFrame:
     return classified.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "verdict")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """`df`, computed once and kept in the shared checkpoint folder: what follows
+    neither repeats its work (or a model's answers) nor depends on lost executors.
+    Only where no folder is set, a temporary one of this machine is."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyproof-"))
+    return df.checkpoint()
+
+
 def save(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Tables keyed by sha; readers see a whole version or none."""
     df.write.mode(mode).parquet(path)
