@@ -367,9 +367,11 @@ def near_duplicates(
     if more.limit(1).count():
         found = written(components(links.unionByName(more)), "found")
 
-    labelled = nodes.select("node", "h1", "h2", "id").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    lowest = labelled.groupBy("comp").agg(F.min("id").alias("low"))
-    group = labelled.join(lowest, "comp").select("h1", "h2", "low")
+    # only linked nodes go by component; of these one may hold very many
+    linked = found.join(nodes.select("node", "id"), "node")
+    lowest = written(linked.groupBy("comp").agg(F.min("id").alias("low")), "lowest")
+    low = linked.join(small_or_not(lowest), "comp").select("node", "low", F.lit(True).alias("linked"))
+    group = nodes.select("node", "h1", "h2", "id").join(low, "node", "left").select("h1", "h2", F.when(F.col("linked"), F.col("low")).otherwise(F.col("id")).alias("low"))
     out = signed.select("id", "n", "h1", "h2").join(group, ["h1", "h2"], "left")
     component = F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
