@@ -38,17 +38,18 @@ def furniture(lines: DataFrame, doc: str, page: str, zone: str = "zone", text_co
     Pages are counted by aggregation and joined back, so that a line shared by
     very many pages isn't gathered in one window.
     """
-    rows = lines.withColumn("masked", T.digit_mask(F.col(text_col)))
-    outside = rows.where((F.col(zone) != "body") & (F.col(text_col) != ""))
+    # only lines outside the body can go, and they are few: the others pass by all joins
+    may = (F.col(zone) != "body") & (F.col(text_col) != "")
+    outside = lines.where(may).withColumn("masked", T.digit_mask(F.col(text_col)))
     of_mask = outside.groupBy(doc, "masked").agg(F.countDistinct(page).alias("mask_pages"))
     of_text = outside.groupBy(doc, text_col).agg(F.countDistinct(page).alias("text_pages"))
     pages = lines.groupBy(doc).agg(F.countDistinct(page).alias("page_count"))
-    rows = rows.join(of_mask, [doc, "masked"], "left").join(of_text, [doc, text_col], "left").join(pages, doc, "left")
-    may = (F.col(zone) != "body") & (F.col(text_col) != "")
-    reason = F.when(may & (F.col("masked") != F.col(text_col)) & (F.col("mask_pages") >= 2), "repeated_page_footer").when(
-        may & (F.col("page_count") > 1) & (F.col("text_pages") >= F.col("page_count")), "repeated_on_every_page"
+    rows = outside.join(of_mask, [doc, "masked"], "left").join(of_text, [doc, text_col], "left").join(pages, doc, "left")
+    reason = F.when((F.col("masked") != F.col(text_col)) & (F.col("mask_pages") >= 2), "repeated_page_footer").when(
+        (F.col("page_count") > 1) & (F.col("text_pages") >= F.col("page_count")), "repeated_on_every_page"
     )
-    return rows.withColumn("drop_reason", reason).select(*lines.columns, "drop_reason")
+    rest = lines.where(~F.coalesce(may, F.lit(False))).withColumn("drop_reason", F.lit(None).cast("string"))
+    return rows.withColumn("drop_reason", reason).select(*lines.columns, "drop_reason").unionByName(rest)
 
 
 def _join_pairs(lines: DataFrame, part: list[str], order: list[str], eligible: Column, glue: str) -> DataFrame:

@@ -17,8 +17,9 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def zoned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's first line counts as header, its last as footer."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    parts = L.split_lines(F.col("text"))
-    rows = docs.select("source", "doc_id", F.size(parts).alias("n"), F.posexplode(parts).alias("no", "text")).withColumn("no", F.col("no") + 1)
+    # split once for each document: a count beside the generator would be worked out for each line
+    docs = docs.select("source", "doc_id", L.split_lines(F.col("text")).alias("parts"))
+    rows = docs.select("source", "doc_id", F.size("parts").alias("n"), F.posexplode("parts").alias("no", "text")).withColumn("no", F.col("no") + 1)
     zone = F.when(F.col("no") == 1, "header").when(F.col("no") == F.col("n"), "footer").otherwise("body")
     return rows.select("source", "doc_id", "no", "text", zone.alias("zone"))
 
