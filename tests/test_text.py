@@ -1,3 +1,5 @@
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +99,61 @@ def test_typo():
     assert fuzzy.ratio(line, line.replace("billing", "bolling")) > 95 > fuzzy.ratio(line, "Worked on billing.")
 
 
+def test_finder_misses_nothing():
+    """Of needles and texts of few letters, with letters taken out, put in and changed, all pairs of 95 or more."""
+    import random
+
+    rnd, seen = random.Random(7), 0
+    for ab in ["ab", "aeionst ", "abcdefghijklmnopqrstuvwxyz "] * 8:
+        some = lambda n: "".join(rnd.choice(ab) for _ in range(n))  # noqa: B023, E731
+        needles = [some(n) for n in (1, 3, 9, 12, 20, 45, 80, 120)]
+        cut = []
+        for k in needles * 3:
+            k = list(k)
+            for _ in range(rnd.randrange(len(k) // 10 + 2)):
+                i = rnd.randrange(len(k) + 1)
+                k[i : i + rnd.randrange(2)] = rnd.choice(["", *ab])
+            k = "".join(k)
+            i = rnd.choice([0, 0, rnd.randrange(len(k) + 1)])
+            cut.append(rnd.choice(["", some(30)]) + k[i : i + rnd.choice([40, 200])] + rnd.choice(["", some(30)]))
+        texts = sorted({"", *cut})
+        got = {(t, k): round(s, 4) for t, k, s in fuzzy.Finder(needles).find(texts) if round(s, 4) >= 95}
+        want = {}
+        for (t, x), (k, y) in itertools.product(enumerate(texts), enumerate(needles)):
+            a, b = sorted((x, y), key=len)
+            pairs = [(a, b), (b, a)] if len(a) == len(b) else [(a, b)]
+            windows = [(u, w) for u, v in pairs for i in range(1 - len(u), len(v)) if (w := v[max(i, 0) : i + len(u)])]
+            score = max((round(200.0 * fuzzy.common(fuzzy._masks(u), len(u), w) / (len(u) + len(w)), 4) for u, w in windows), default=0)
+            if score >= 95:
+                want[t, k] = score
+        assert got == want
+        seen += len(want)
+    assert seen > 300
+
+
+def test_fuzzy_spans(spark, monkeypatch):
+    """Case, accents and the wording of the first words may differ; short items and lines; more items than a block has."""
+    from tallyproof.plans import claims
+
+    monkeypatch.setattr(claims, "ITEMS_AT_ONCE", 3)
+    long = "The quick brown fox jumps over the lazy dog near the river bank on a warm day"
+    items = [(1, long), (2, "Año de ración única por la mañana en la casa azul del río"), (3, "to be"), (4, None), (5, ""), (6, "Zeta"), (6, "Zeta"), (7, "a wholly other sentence that is in no document whatever")]
+    docs = [
+        (1, long.upper()), (2, "first\n\nsee: " + long.replace("The quick", "A quick") + ", so"), (3, "Ano de racion unica por la manana en la casa azul del rio"), (4, "jumps over the lazy dog"), (5, "lazy dog"),
+        (None, long), (6, "zeta"), (6, "zeta"), (7, "TO BE"), (8, None), (9, ""), (10, "             "), (11, "nothing of that kind here\r\nzet"),
+    ]
+    got = claims.fuzzy_spans(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = []
+    for (d, text), (i, item) in itertools.product(docs, items):
+        for no, line in enumerate((text or "").splitlines(), 1):
+            k, key = T.match_key_of(item or ""), T.match_key_of(line)
+            if k and key and (len(line) >= 12 or len(key) >= len(k)) and (score := brute_partial(k, key)) >= 95:
+                want.append((d, i, no, round(score, 4)))
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert {(1, 1), (2, 1), (3, 2), (4, 1), (None, 1), (6, 6), (7, 3)} == {(r["doc_id"], r["item_id"]) for r in got}
+
+
 def test_values(spark):
     df = spark.createDataFrame([("Summer 2019", None, None, None), ("x", 2020, 3, None), ("x", 2020, None, None), ("now", None, None, True), (None, None, None, None)], "raw string, y int, m int, p boolean")
     got = [r[0] for r in df.select(values.when_text(*(F.col(c) for c in ("raw", "y", "m", "p")))).collect()]
