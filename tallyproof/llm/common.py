@@ -161,9 +161,10 @@ def shingle_hashes(hashes: np.ndarray, first: np.ndarray, k: int) -> list[np.nda
     """For each text its distinct k-word shingles, sorted; with fewer words the
     whole sequence is the one shingle; without words the set is empty."""
     total = len(hashes)
-    rolled = np.zeros(max(total - k + 1, 0), np.uint64)
+    n = max(total - k + 1, 0)
+    rolled = np.zeros(n, np.uint64)
     for j in range(k):
-        rolled = rolled * _MUL + hashes[j : total - k + 1 + j]
+        rolled = rolled * _MUL + hashes[j : j + n]
     rolled = mix(rolled)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyproof.llm import ann, audio, mixing, near_dup, packing, pii, quality, queries, token_counts, token_output, tokens, warc
-from tallyproof.llm.common import word_hashes, words
+from tallyproof.llm.common import shingle_hashes, word_hashes, words
 from tallyproof.llm.weak import reliabilities
 
 DATA = "/root/testdata/sf0.001"
@@ -592,3 +592,15 @@ def test_pipeline_of_odd_rows(spark, docs):
             out.collect()
     left = cp.near_dedup_stage(spark, rows, DATA)
     assert sorted(str(r["doc_id"]) for r in left.collect() if r["doc_id"] in (5, 8, 9)) == ["5", "8"]
+
+
+def test_few_words_alone(spark):
+    """Texts of 0 to 8 words, each in a run, a batch and a partition of its own."""
+    for n in range(9):
+        data = " ".join("abcdefgh"[:n]).encode()
+        found = shingle_hashes(*word_hashes(np.frombuffer(data, np.uint8), np.array([0, len(data)])), 5)
+        assert [len(x) for x in found] == [min(n, 1) if n < 5 else n - 4]
+    rows = [(n, " ".join("abcde"[:n])) for n in range(1, 6)] + [(6, "A b  c")]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(df).collect()}
+    assert got == {n: (1, n) for n in range(1, 6)} | {6: (1, 3)}
