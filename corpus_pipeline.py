@@ -17,14 +17,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id. Of rows that
-    repeat id and text one stays; rows with a null id stay."""
-    found = written(near_dup.near_duplicates(docs).select("doc_id", "kept"), "dedup")
-    gone = found.where("not kept").select("doc_id").distinct()
-    again = found.where("kept").groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    left = docs.join(small_or_not(gone), "doc_id", "left_anti").select(docs.columns)
-    if not again.limit(1).count():
-        return left
+    """One document of each group: the one with the smallest id. Rows are decided one
+    by one: of those with one id, each stays or goes by its own text, and a null id
+    comes after all others. Of rows that repeat id and text one stays."""
+    odd = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
+    if not odd:
+        found = written(near_dup.near_duplicates(docs).select("doc_id", "kept"), "dedup")
+        gone = found.where("not kept").select("doc_id")
+        return docs.join(small_or_not(gone), "doc_id", "left_anti").select(docs.columns)
+    # rows get numbers in the order of ids, null last; the last key only deals out equal rows
+    order = [F.col("doc_id").asc_nulls_last(), F.col("text"), F.monotonically_increasing_id()]
+    rows = written(docs.orderBy(*order).withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = written(near_dup.near_duplicates(rows, id_col="__row").select("__row", "kept"), "dedup")
+    left = written(rows.join(small_or_not(found.where("not kept").select("__row")), "__row", "left_anti").select(docs.columns), "left")
+    again = left.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
     once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 

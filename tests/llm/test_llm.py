@@ -604,3 +604,15 @@ def test_few_words_alone(spark):
     df = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(df).collect()}
     assert got == {n: (1, n) for n in range(1, 6)} | {6: (1, 3)}
+
+
+def test_near_dedup_by_row(spark):
+    """Repeated and null ids: only rows that are copies go."""
+    import corpus_pipeline as cp
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (5, b), (None, a), (None, b + " more"), (None, c), (None, c), (None, None), (7, ""), (7, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = cp.near_dedup_stage(spark, df, DATA)
+    assert left.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([(3, a), (5, b), (None, c), (None, None), (7, "")], key=str)
