@@ -120,18 +120,26 @@ _ITEM = r"regexp_matches(d.text, '(^|[^\pL\pM\pN_])' || regexp_escape(b.text) ||
 def benchmark_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id, text, item) that share the first words of the item. Text
     that holds an item between word boundaries holds its words, so none is missed;
-    an equi-join on three words, not a product."""
+    an equi-join on three words, or on all words of an item of one or two. Only
+    items without words, if there are any, meet all documents."""
     word = r"(?U)\w+"
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), F.regexp_extract_all("text", F.lit(word), 0).alias("w")).where(F.size("w") >= 3)
-    items = items.withColumn("gram", F.xxhash64(F.array_join(F.slice("w", 1, 3), " "))).drop("w")
+    items = table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", F.col("text").alias("item"), F.regexp_extract_all("text", F.lit(word), 0).alias("w"))
+    sizes = sorted(r[0] for r in items.select(F.least(F.size("w"), F.lit(3))).distinct().collect())
+    items = items.withColumn("gram", F.xxhash64(F.array_join(F.slice("w", 1, 3), " "))).withColumn("bare", F.size("w") == 0).drop("w")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     w = F.regexp_extract_all("text", F.lit(word), 0)
+    grams = docs.select("doc_id", w.alias("w"))
     # neighbours by arrays_zip: one pass over the words, no index lookups
-    grams = docs.select("doc_id", w.alias("w")).where(F.size("w") >= 3)
-    zipped = F.arrays_zip(F.slice("w", 1, F.size("w") - 2).alias("a"), F.slice("w", 2, F.size("w") - 2).alias("b"), F.slice("w", 3, F.size("w") - 2).alias("c"))
-    grams = grams.select("doc_id", F.explode(F.array_distinct(F.transform(zipped, lambda z: F.xxhash64(F.concat_ws(" ", z["a"], z["b"], z["c"]))))).alias("gram"))
-    hits = grams.join(items, "gram").select("doc_id", "item_id", "item").distinct()
-    return hits.join(docs, "doc_id")
+    runs = []
+    for n in (n for n in sizes if n):
+        zipped = F.arrays_zip(*(F.slice("w", i + 1, F.greatest(F.size("w") - n + 1, F.lit(0))).alias("abc"[i]) for i in range(n)))
+        runs.append(F.transform(zipped, lambda z: F.xxhash64(F.concat_ws(" ", *(z[c] for c in "abc"[:n])))))  # noqa: B023
+    grams = grams.select("doc_id", F.explode(F.array_distinct(F.concat(*runs) if runs else F.array().cast("array<bigint>"))).alias("gram"))
+    hits = grams.join(items.where("not bare"), "gram").select("doc_id", "item_id", "item").distinct()
+    found = hits.join(docs, "doc_id")
+    if 0 in sizes:
+        found = found.unionByName(docs.crossJoin(items.where("bare").select("item_id", "item")).select(found.columns))
+    return found
 
 
 @query(f"SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE {_ITEM}")

@@ -154,6 +154,18 @@ def test_fuzzy_spans(spark, monkeypatch):
     assert {(1, 1), (2, 1), (3, 2), (4, 1), (None, 1), (6, 6), (7, 3)} == {(r["doc_id"], r["item_id"]) for r in got}
 
 
+def test_short_items(spark, tmp_path):
+    """Items of no, one and two words in documents of any length."""
+    from tallyproof.plans import claims
+
+    docs = [(1, "zeta"), (2, "alpha zeta, beta"), (3, "zetas alpha beta"), (4, "alpha beta gamma delta"), (5, "a *** b"), (6, None), (7, ""), (8, "beta")]
+    items = [(1, "zeta"), (2, "alpha beta"), (3, "***"), (4, "alpha beta gamma"), (5, "beta"), (6, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(map(tuple, claims.span_exact_containment(spark, str(tmp_path)).collect()))
+    assert got == [(1, 1), (2, 1), (2, 5), (3, 2), (3, 5), (4, 2), (4, 4), (4, 5), (5, 3), (8, 5)]
+
+
 def test_values(spark):
     df = spark.createDataFrame([("Summer 2019", None, None, None), ("x", 2020, 3, None), ("x", 2020, None, None), ("now", None, None, True), (None, None, None, None)], "raw string, y int, m int, p boolean")
     got = [r[0] for r in df.select(values.when_text(*(F.col(c) for c in ("raw", "y", "m", "p")))).collect()]
