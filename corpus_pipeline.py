@@ -43,14 +43,15 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mix takes a document; where it takes a part,
     the text is cut to that many words (joined by single spaces)."""
-    plan = written(mixing.mix(docs).select("doc_id", "size", "taken"), "mix")
+    tie = F.xxhash64(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t")), F.coalesce("text", F.lit("")))
+    plan = written(mixing.mix(docs, tie=tie).select("doc_id", "size", "taken", "tie"), "mix")
     odd = plan.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
-    if odd:  # rows that repeat an id are told apart by their size and a number
-        number = Window.partitionBy("doc_id", "size").orderBy("size")
+    if odd:  # rows that repeat an id are told apart by their source and text; equal ones have a number
+        number = Window.partitionBy("doc_id", "size", "tie").orderBy("size")
         size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(mixing.WORD)).cast("long")
-        left = docs.withColumn("size", size).withColumn("nr", F.row_number().over(number))
-        right = plan.withColumn("nr", F.row_number().over(number)).select(F.col("doc_id").alias("id_"), F.col("size").alias("size_"), F.col("nr").alias("nr_"), "taken")
-        joined = left.join(right, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("size") == F.col("size_")) & (F.col("nr") == F.col("nr_")))
+        left = docs.withColumn("size", size).withColumn("tie", tie).withColumn("nr", F.row_number().over(number))
+        right = plan.withColumn("nr", F.row_number().over(number)).select(F.col("doc_id").alias("id_"), F.col("size").alias("size_"), F.col("tie").alias("tie_"), F.col("nr").alias("nr_"), "taken")
+        joined = left.join(right, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("size") == F.col("size_")) & (F.col("tie") == F.col("tie_")) & (F.col("nr") == F.col("nr_")))
     else:
         joined = docs.join(small_or_not(plan.where("taken > 0")), "doc_id")
     joined = joined.where("taken > 0")

@@ -55,6 +55,7 @@ def mix(
     cap: int = 3,
     seed: str = "mix",
     quality: Column | None = None,
+    tie: Column | None = None,
 ) -> DataFrame:
     """A row for each row: id, size, source_size, target, taken.
 
@@ -63,7 +64,8 @@ def mix(
     Keys come from the id, so runs agree; a null id has a key as well, and equal
     rows share a key and lie side by side. taken is at most `cap` times size. An
     empty table gives an empty one. Other columns are not looked at, unless
-    `quality` does.
+    `quality` does. `tie`, a whole number, comes through as a column `tie` and puts rows in
+    order that are alike in key, id and size.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = F.regexp_count(text, F.lit(WORD)).cast("long")
@@ -72,7 +74,9 @@ def mix(
         F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("t")).alias("skey"),
         size.alias("size"),
         (quality if quality is not None else default_quality(text, size)).alias("q"),
+        *([] if tie is None else [tie.alias("tie")]),
     )
+    also = [] if tie is None else ["tie"]
     drawn = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("long")
     rows = rows.withColumn("key", -F.ln((drawn + 1).cast("double") / F.lit(float(1 << 52))) / F.col("q")).drop("q")
     # one scan of the texts; from here on rows are a few numbers
@@ -82,12 +86,12 @@ def mix(
     before = Window.partitionBy("skey").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     per_source = targets(sums.groupBy("skey").agg(F.sum("part_size").alias("source_size")), weights, cap)
     ranges = sums.withColumn("before", F.coalesce(F.sum("part_size").over(before), F.lit(0))).join(per_source, "skey").drop("part_size")
-    within = Window.partitionBy("skey", "part").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("skey", "part").orderBy("key", "id", "size", *also).rowsBetween(Window.unboundedPreceding, -1)
     out = cut.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0))).join(small_or_not(written(ranges, "source-ranges")), ["skey", "part"])
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.floor("target") - whole * F.col("source_size") - F.col("before") - F.col("ahead")
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least("size", rest))
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), *also)
 
 
 MIX_SQL = r"""

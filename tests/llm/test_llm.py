@@ -616,3 +616,16 @@ def test_near_dedup_by_row(spark):
     left = cp.near_dedup_stage(spark, df, DATA)
     assert left.columns == df.columns
     assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([(3, a), (5, b), (None, c), (None, None), (7, "")], key=str)
+
+
+def test_mixing_of_repeated_ids(spark):
+    """Rows of one id and size: each source gives the words that the plan takes from it."""
+    import corpus_pipeline as cp
+
+    rows = [(i, f"{s}{k} {s} {s}", s) for k in range(6) for i, s in [(None, "a"), (1, "b"), (1, "c"), (None, "c"), (1, "a"), (None, "b")]]
+    df = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want = {r["skey"]: r["n"] for r in mixing.mix(df.withColumn("skey", F.col("source")), tie=F.ascii("source").cast("long")).groupBy(F.char("tie").alias("skey")).agg(F.sum("taken").alias("n")).collect()}
+    got = {}
+    for r in cp.mixing_stage(spark, df, DATA).collect():
+        got[r["source"]] = got.get(r["source"], 0) + len(plain_words(r["text"]))
+    assert len(set(want.values())) > 1 and got == {k: n for k, n in want.items() if n}
