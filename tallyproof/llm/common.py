@@ -3,6 +3,9 @@ written to cut lineage, and whole-column text hashing on Arrow buffers."""
 
 from __future__ import annotations
 
+import atexit
+import hashlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_FOLDERS: dict[str, str] = {}
+_MADE: list[str] = []
 #: Rows and bytes of the Arrow batches that Python workers get.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: Rows up to which a table counts as small enough to broadcast, after counting it.
@@ -23,17 +27,32 @@ BROADCAST_ROWS = 200_000
 def workspace(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared folder of `spark.checkpoint.dir`.
 
-    Only where that setting is absent (a plain local session) is a temporary
-    folder of this machine made and set.
+    Only where that setting is absent and the session is a local one is a
+    temporary folder of this machine made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN_FOLDERS:
             _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="tallyproof-")
+            atexit.register(shutil.rmtree, _OWN_FOLDERS[app], ignore_errors=True)
             spark.sparkContext.setCheckpointDir(_OWN_FOLDERS[app])
         base = _OWN_FOLDERS[app]
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes all folders that `workspace` gave out so far, and says how many there
+    were. Only for when no DataFrame that reads them is needed any more."""
+    made = list(_MADE)
+    _MADE.clear()
+    for folder in made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(made)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -50,6 +69,11 @@ def arrow_limits(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def one_each(files: DataFrame, key: str = "file") -> DataFrame:
+    """A task for each file: ranges of distinct names split evenly, hashes don't."""
+    return files.repartitionByRange(max(1, files.count()), key)
+
+
 def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df`, to be broadcast if a count shows it small; a plain join side beyond."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -76,8 +100,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 _MUL = np.uint64(0xD6E8FEB86659FD93)
-_BASE = 0x9E3779B97F4A7C15
-_POWERS: list[np.ndarray] = []
+_KEY = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -90,15 +113,123 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
-        _POWERS.clear()
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POWERS.append(np.cumprod(p))
-    return _POWERS
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
+#: Bytes up to which words are worked on all at once, eight by eight; longer ones are rare.
+_SHORT = 64
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A keyed 64-bit hash of each word: every eight bytes are mixed in, beginning
+    with the length. Of words of up to eight bytes and equal length no two collide;
+    words longer than `_SHORT` bytes go through BLAKE2."""
+    eight, size = _eights(data), ends - starts
+    out = mix(size.astype(np.uint64) + _KEY)
+    left = np.flatnonzero(size <= _SHORT)
+    for at in range(0, _SHORT, 8):
+        if not len(left):
+            break
+        a = starts[left] + at
+        rest = ends[left] - a
+        out[left] = mix(out[left] * _MUL ^ eight[a] & _MASKS[np.minimum(rest, 8)])
+        left = left[rest > 8]
+    for k in np.flatnonzero(size > _SHORT).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8, key=b"words").digest(), "little")
+    return out
+
+
+def equal_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray, starts2: np.ndarray, ends2: np.ndarray) -> np.ndarray:
+    """For each pair of words, the second ones in `others`, whether their bytes agree."""
+    same = ends - starts == ends2 - starts2
+    left = np.flatnonzero(same)
+    one, two = _eights(data), _eights(others) if others is not data else None
+    two = one if two is None else two
+    for at in range(0, _SHORT, 8):
+        if not len(left):
+            return same
+        a, b = starts[left] + at, starts2[left] + at
+        rest = ends[left] - a
+        ok = ((one[a] ^ two[b]) & _MASKS[np.minimum(rest, 8)]) == 0
+        same[left[~ok]] = False
+        left = left[ok & (rest > 8)]
+    for k in left.tolist():
+        same[k] = np.array_equal(data[starts[k] : ends[k]], others[starts2[k] : ends2[k]])
+    return same
+
+
+def distinct_words(data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal words, by their bytes: the place of one word of each kind, and the kind
+    of each word. The hashes only find what may be equal; of words that share a hash
+    and differ, each gets a kind of its own."""
+    _, where, kind = np.unique(hashes, return_index=True, return_inverse=True)
+    first = where[kind]
+    again = np.flatnonzero(first != np.arange(len(first)))
+    ok = equal_bytes(data, starts[again], ends[again], data, starts[first[again]], ends[first[again]])
+    if not ok.all():
+        more: dict[bytes, int] = {}
+        extra = []
+        for k in again[~ok].tolist():
+            word = data[starts[k] : ends[k]].tobytes()
+            if word not in more:
+                more[word] = len(where) + len(more)
+                extra.append(k)
+            kind[k] = more[word]
+        where = np.concatenate([where, extra])
+    return where, kind
+
+
+class Known:
+    """Numbers for words, by their bytes, in the order in which they are first met;
+    beyond its bounds the store starts anew."""
+
+    def __init__(self, most: int = 1_500_000, most_bytes: int = 128 << 20):
+        self.most, self.most_bytes = most, most_bytes
+        self._clear()
+
+    def _clear(self) -> None:
+        self.hashes, self.number = np.empty(0, np.uint64), np.empty(0, np.int64)  # sorted by hash
+        self.data, self.ends = np.empty(0, np.uint8), np.zeros(1, np.int64)  # by number
+        self.clash: dict[bytes, int] = {}  # words whose hash another word has taken
+
+    def numbers(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        """A number for each of these distinct words, the indices of those that are
+        new, and whether the store began anew (then all are new)."""
+        n = len(hashes)
+        out = np.full(n, -1, np.int64)
+        taken = np.zeros(n, bool)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            hit = np.flatnonzero(self.hashes[at] == hashes)
+            number = self.number[at[hit]]
+            same = equal_bytes(data, starts[hit], ends[hit], self.data, self.ends[number], self.ends[number + 1])
+            out[hit[same]] = number[same]
+            taken[hit[~same]] = True
+            for k in hit[~same].tolist():
+                out[k] = self.clash.get(data[starts[k] : ends[k]].tobytes(), -1)
+        new = np.flatnonzero(out < 0)
+        if len(new) and len(self.ends) > 1 and (len(self.ends) + len(new) > self.most or len(self.data) > self.most_bytes):
+            self._clear()
+            return *self.numbers(data, hashes, starts, ends)[:2], True
+        if len(new):
+            out[new] = len(self.ends) - 1 + np.arange(len(new))
+            size = (ends - starts)[new]
+            index = np.repeat(starts[new] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            self.data = np.concatenate([self.data, data[index]])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
+            _, first = np.unique(hashes[new], return_index=True)
+            own = np.zeros(len(new), bool)
+            own[first] = True
+            own &= ~taken[new]
+            for k in new[~own].tolist():
+                self.clash[data[starts[k] : ends[k]].tobytes()] = int(out[k])
+            fresh = new[own][np.argsort(hashes[new[own]])]
+            to = np.searchsorted(self.hashes, hashes[fresh])
+            self.hashes, self.number = np.insert(self.hashes, to, hashes[fresh]), np.insert(self.number, to, out[fresh])
+        return out, new, False
 
 
 #: Byte classes: white space is space and tab to carriage return; A-Z are lowered.
@@ -108,6 +239,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    return _LOWER[data]
+
+
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The words of texts that lie end to end: hash, start, end (bytes), and for
     each text the index of its first word, with the total behind."""
@@ -124,10 +259,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     last = offsets[1:][offsets[1:] > 0] - 1
     end[last] = inside[last]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
-    power, inverse = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(((_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    hashes = hashed(lowered(data) if lower else data, starts, ends)
     return hashes, starts, ends, np.searchsorted(starts, offsets).astype(np.int64)
 
 
@@ -141,8 +273,8 @@ def pieces(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> Iterat
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Only the hashes, and each text's first; a long text goes through in blocks
-    cut at white space, so that memory stays bounded by the words themselves."""
+    """Only the hashes (A-Z lowered), and each text's first; a long text goes through
+    in blocks cut at white space, so that memory stays bounded by the words themselves."""
     if len(offsets) != 2 or len(data) <= most:
         hashes, _, _, first = words(data, offsets)
         return hashes, first

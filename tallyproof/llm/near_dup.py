@@ -13,8 +13,9 @@ Texts with equal shingle sets are one node from the start. A bucket never
 emits its pairs: members are first held against the bucket's leader only; what
 stays in different groups after those links are confirmed is compared inside
 the task, signature against signature in bounded blocks, and only the pairs of
-blocks (at most `BLOCK` nodes each) that hold a candidate go on to the exact
-comparison of full sets. Nothing is capped.
+blocks (about `BLOCK` nodes or `BLOCK_SHINGLES` shingles each, whichever is
+reached first) that hold a candidate go on to the exact comparison of full sets.
+Nothing is capped.
 """
 
 from __future__ import annotations
@@ -30,8 +31,11 @@ from pyspark.sql import functions as F
 
 from tallyproof.llm.common import arrow_limits, buffers, mix, pieces, shingle_hashes, small_or_not, word_hashes, written
 
-#: Nodes of a block in exact comparisons, and rows of a block in signature comparisons.
-BLOCK, BUCKET_BLOCK = 128, 512
+#: Nodes and shingles that a block of exact comparisons holds on average.
+BLOCK, BLOCK_SHINGLES = 128, 2 << 20
+#: Rows of a block in signature comparisons (a bucket of n rows is copied n / BUCKET_BLOCK
+#: times), and of the tiles that are compared at once.
+BUCKET_BLOCK, TILE = 2048, 512
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -120,7 +124,7 @@ def _near(most: int, positions: int, least: float) -> Callable:
             a, b = _matrix(batch.column("sig_a"), positions), _matrix(batch.column("sig_b"), positions)
             x, y = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
             ok = ((a != b).sum(axis=1) <= most) & (np.minimum(x, y) >= least * np.maximum(x, y))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("n_b")], ["a", "b", "n"]).filter(pa.array(ok))
 
     return run
 
@@ -161,6 +165,20 @@ def _residual(most: int, positions: int, least: float) -> Callable:
         rows = np.array(sorted(seen), np.int64).reshape(-1, 4)
         return pa.RecordBatch.from_arrays([pa.array(rows[:, c]) for c in range(4)], names)
 
+    def tile(sig: np.ndarray, n: np.ndarray, comp: np.ndarray, x: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(wl, blk) of both sides of the pairs that may be near."""
+        u = v = np.empty(0, np.int64)
+        if max(comp[p].max(), comp[q].max()) > min(comp[p].min(), comp[q].min()):
+            ok = comp[p][:, None] != comp[q][None]
+            ok &= np.minimum(n[p][:, None], n[q][None]) >= least * np.maximum(n[p][:, None], n[q][None])
+            if ok.any():
+                far = np.zeros(ok.shape, np.uint8 if positions < 256 else np.uint16)
+                s, t = np.ascontiguousarray(sig[p].T), np.ascontiguousarray(sig[q].T)
+                for k in range(positions):
+                    far += s[k][:, None] != t[k][None]
+                u, v = np.nonzero(ok & (far <= most))
+        return np.stack([x[p[u]], b[p[u]]], 1), np.stack([x[q[v]], b[q[v]]], 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int, int, int]] = set()
         for group in _grouped(batches, ["key", "i", "j"]):
@@ -171,24 +189,17 @@ def _residual(most: int, positions: int, least: float) -> Callable:
             left, right = (bi == i, bi == j) if i != j else (np.ones(len(n), bool),) * 2
             if not left.any() or not right.any() or comp.min() == comp.max():
                 continue
-            p, q = np.flatnonzero(left), np.flatnonzero(right)
-            apart = comp[p][:, None] != comp[q][None]
-            ok = apart & (np.minimum(n[p][:, None], n[q][None]) >= least * np.maximum(n[p][:, None], n[q][None]))
-            if not ok.any():
-                continue
-            far = np.zeros(ok.shape, np.uint8 if positions < 256 else np.uint16)
-            s, t = np.ascontiguousarray(sig[p].T), np.ascontiguousarray(sig[q].T)
-            for k in range(positions):
-                far += s[k][:, None] != t[k][None]
-            u, v = np.nonzero(ok & (far <= most))
-            if len(u):
-                one, two = np.stack([x[p[u]], b[p[u]]], 1), np.stack([x[q[v]], b[q[v]]], 1)
-                swap = (one[:, 0] > two[:, 0]) | ((one[:, 0] == two[:, 0]) & (one[:, 1] > two[:, 1]))
-                both = np.unique(np.where(swap[:, None], np.hstack([two, one]), np.hstack([one, two])), axis=0)
-                seen.update(map(tuple, both.tolist()))
-                if len(seen) >= 50_000:
-                    yield table(seen)
-                    seen = set()
+            # tiles of one and the same group fall away
+            p, q = (np.flatnonzero(side)[np.argsort(comp[side], kind="stable")] for side in (left, right))
+            for a in range(0, len(p), TILE):
+                for c in range(a if i == j else 0, len(q), TILE):
+                    one, two = tile(sig, n, comp, x, b, p[a : a + TILE], q[c : c + TILE])
+                    swap = (one[:, 0] > two[:, 0]) | ((one[:, 0] == two[:, 0]) & (one[:, 1] > two[:, 1]))
+                    both = np.unique(np.where(swap[:, None], np.hstack([two, one]), np.hstack([one, two])), axis=0)
+                    seen.update(map(tuple, both.tolist()))
+            if len(seen) >= 50_000:
+                yield table(seen)
+                seen = set()
         yield table(seen)
 
     return run
@@ -272,9 +283,10 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.where("m < u").select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        e = kept(small, was[0])
+        before, e = e, kept(small, was[0])
         now = state(e)
-        if now == was:
+        # equal counts and sums are likely the same edges; a join makes it certain
+        if now == was and not e.join(before, ["a", "b"], "left_anti").limit(1).count():
             break
         was = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
@@ -325,11 +337,13 @@ def near_duplicates(
     a = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
     b = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
     pairs = buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    star = written(pairs.join(a, "a").join(b, "b").mapInArrow(_near(most, positions, least), "a long, b long"), "star")
+    star = written(pairs.join(a, "a").join(b, "b").mapInArrow(_near(most, positions, least), "a long, b long, n long"), "star")
 
-    def blocks(counted: DataFrame, key: str) -> DataFrame:
-        """Joined without dealing out by `key`, of which one may hold very many rows, where there are few keys."""
-        return small_or_not(counted.select(key, F.ceil(F.col("cnt") / BLOCK).cast("long").alias("parts")))
+    def blocks(rows: DataFrame, key: str) -> DataFrame:
+        """Into how many blocks the rows of each key go, by number and by shingles.
+        Joined without dealing out by `key`, of which one may hold very many rows, where there are few keys."""
+        parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long")
+        return small_or_not(rows.groupBy(key).agg(parts.alias("parts")))
 
     def confirmed(rows: DataFrame) -> DataFrame:
         wanted = rows.select("node").distinct().join(nodes.select("node", F.col("id").alias("id_"), "h1", "h2"), "node")
@@ -339,7 +353,7 @@ def near_duplicates(
         full = rows.join(sets, "node").select(*keys, "side", "node", "comp", "set")
         return full.repartition(*keys).sortWithinPartitions(*keys, "side", "node").mapInArrow(_confirm(percent), "a long, b long")
 
-    cut = star.join(blocks(star.groupBy("a").agg(F.count("*").alias("cnt")), "a"), "a").withColumn("blk", F.pmod(F.xxhash64("b"), "parts"))
+    cut = star.join(blocks(star, "a"), "a").withColumn("blk", F.pmod(F.xxhash64("b"), "parts"))
     key = [F.col("a").alias("x1"), F.lit(-1).cast("long").alias("b1"), F.col("a").alias("x2"), F.col("blk").alias("b2")]
     rows = cut.select(*key, F.lit(1).alias("side"), F.col("b").alias("node")).unionByName(cut.select(*key, F.lit(0).alias("side"), F.col("a").alias("node")).distinct())
     links = written(confirmed(rows.withColumn("comp", F.col("node"))), "links")
@@ -350,7 +364,7 @@ def near_duplicates(
     home = buckets.groupBy("node").agg(F.min("leader").alias("wl"))
     member = buckets.where("cnt > 2").select("node").distinct().join(nodes.select("node", "n", "sig"), "node").join(found, "node", "left").join(home, "node")
     member = member.select("node", "n", "sig", F.coalesce("comp", "node").alias("comp"), "wl")
-    member = written(member.join(blocks(member.groupBy("wl").agg(F.count("*").alias("cnt")), "wl"), "wl").withColumn("blk", F.pmod(F.xxhash64("node"), "parts")), "member")
+    member = written(member.join(blocks(member, "wl"), "wl").withColumn("blk", F.pmod(F.xxhash64("node"), "parts")), "member")
     in_buckets = buckets.where("cnt > 2").join(member.select("node", "comp"), "node")
     mixed = in_buckets.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
     mixed = small_or_not(written(mixed, "mixed"))

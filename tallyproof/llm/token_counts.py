@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyproof.llm.common import arrow_limits, buffers, pieces, words
+from tallyproof.llm.common import Known, arrow_limits, buffers, distinct_words, lowered, pieces, words
 from tallyproof.llm.tokens import default_path
 
 NONE = -1
@@ -90,30 +90,24 @@ def byte_pieces(path: str) -> list[bytes]:
 
 
 class Counter:
-    MOST = 2_000_000
-
     def __init__(self, path: str):
         vocabulary = byte_pieces(path)
         self.automaton = Automaton(vocabulary, vocabulary)
-        self.known, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.known, self.counts = Known(), np.empty(0, np.int64)
 
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words and pieces of each text."""
-        hashes, starts, ends, first = words(data, offsets)
+        data = lowered(data)
+        hashes, starts, ends, first = words(data, offsets, lower=False)
         if not len(hashes):
             return np.zeros(len(offsets) - 1, np.int64), np.zeros(len(offsets) - 1, np.int64)
-        distinct, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.known, distinct)
-        new = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != distinct) if len(self.known) else np.arange(len(distinct))
-        if len(self.known) + len(new) > self.MOST:
-            self.known, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-            new = np.arange(len(distinct))
+        where, kind = distinct_words(data, hashes, starts, ends)
+        at, new, anew = self.known.numbers(data, hashes[where], starts[where], ends[where])
         if len(new):
             raw = data.tobytes()
-            got = np.array([self.automaton.count(raw[a:b].lower()) for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)], np.int64)
-            to = np.searchsorted(self.known, distinct[new])
-            self.known, self.counts = np.insert(self.known, to, distinct[new]), np.insert(self.counts, to, got)
-        total = np.concatenate([[0], np.cumsum(self.counts[np.searchsorted(self.known, distinct)][back])])
+            fresh = np.array([self.automaton.count(raw[a:b]) for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)], np.int64)
+            self.counts = fresh if anew else np.concatenate([self.counts, fresh])
+        total = np.concatenate([[0], np.cumsum(self.counts[at][kind])])
         return np.diff(first), total[first[1:]] - total[first[:-1]]
 
 

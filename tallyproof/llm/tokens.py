@@ -2,7 +2,7 @@
 
 The tokenizer splits at white space and drops it, so the ids of a text are the
 ids of its words end to end; each worker encodes a word the first time it meets
-it and looks it up (by a 64-bit hash of its bytes) from then on.
+it and looks it up (by its bytes) from then on.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from tallyproof.llm.common import buffers, pieces, words
+from tallyproof.llm.common import Known, buffers, distinct_words, pieces, words
 
 
 def default_path() -> str:
@@ -24,50 +24,38 @@ def default_path() -> str:
 class WordEncoder:
     """Only for tokenizers that drop white space and never join across it."""
 
-    #: Distinct words held; beyond, the store starts anew.
-    MOST = 1_500_000
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
+        self.known = Known()
         self._clear()
 
     def _clear(self) -> None:
-        self.hashes = np.empty(0, np.uint64)
-        self.start = np.empty(0, np.int64)
-        self.count = np.empty(0, np.int64)
-        self.ids = np.empty(0, self.width)
+        self.count, self.start, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, self.width)
 
-    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        if len(self.hashes) + len(hashes) > self.MOST:
-            self._clear()
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _learn(self, new: list[bytes]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
         count = np.array([len(x) for x in found], np.int64)
         start = len(self.ids) + np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64)
         self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], self.width)])
-        at = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.start, self.count = (np.insert(a, at, b) for a, b in ((self.hashes, hashes), (self.start, start), (self.count, count)))
+        self.start, self.count = np.concatenate([self.start, start]), np.concatenate([self.count, count])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and each text's first."""
         hashes, starts, ends, first = words(data, offsets, lower=False)
         if not len(hashes):
             return np.empty(0, self.width), np.zeros(len(offsets), np.int64)
-        distinct, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        for _ in range(2):
-            at = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
-            new = np.flatnonzero(self.hashes[at] != distinct) if len(self.hashes) else np.arange(len(distinct))
-            if not len(new):
-                break
-            if len(self.hashes) + len(new) > self.MOST:
-                self._clear()
-                new = np.arange(len(distinct))
+        where, kind = distinct_words(data, hashes, starts, ends)
+        at, new, anew = self.known.numbers(data, hashes[where], starts[where], ends[where])
+        if anew:
+            self._clear()
+        if len(new):
             raw = data.tobytes()
-            self._learn(distinct[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
-        start, count = self.start[at][back], self.count[at][back]
+            self._learn([raw[a:b] for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
+        start, count = self.start[at][kind], self.count[at][kind]
         total = np.concatenate([[0], np.cumsum(count)])
         index = np.repeat(start - total[:-1], count) + np.arange(total[-1])
         return self.ids[index], total[first]
