@@ -2,10 +2,12 @@
 
 Heuristic labellers vote on every document from statistics of its whole text.
 Expectation-maximisation on the counts of vote patterns (at most 3 to the number
-of labellers, whatever the corpus) estimates how accurate each labeller is, and
-gives every pattern a posterior. Posteriors of a bounded sample then train a
-linear model on hashed word shapes, shape pairs and statistics, and that model
-scores every document on its whole text.
+of labellers, whatever the corpus) estimates how accurate each labeller is on good
+text and on every kind of bad text (a labeller knows one kind and misses the
+others, so that one class of bad text would not do), and gives every pattern a
+posterior. Posteriors of a bounded sample then train a linear model on hashed
+words, word shapes, shape pairs and statistics, and that model scores every
+document on its whole text.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyproof.llm.common import arrow_limits, buffers, mix, pieces, words
-from tallyproof.llm.weak import fit_linear, reliabilities
+from tallyproof.llm.weak import fit_linear, latent_classes
 
-DIMS = 1 << 13
+DIMS = 1 << 14
 SHAPES = 64
 #: Statistics per document, in this order.
-STATS = ("repeats", "top", "distinct", "capitals", "shouts", "marks", "bars", "stops", "long")
+STATS = ("repeats", "top", "variety", "capitals", "shouts", "marks", "bars", "stops", "long")
 LABELLERS = 8
 
 _KIND = np.zeros(256, np.uint8)  # 1 upper, 2 lower and all beyond ASCII, 3 digit, 4 sentence mark, 5 ! or ?, 6 other mark
@@ -47,8 +49,9 @@ class Words:
         self.first, n = first, len(offsets) - 1
         self.count = np.diff(first)
         if not len(hashes):
-            self.shape, self.pair, self.stats = np.empty(0, np.int64), np.empty(0, np.int64), np.zeros((n, len(STATS)))
+            self.word, self.shape, self.pair, self.stats = *(np.empty(0, np.int64) for _ in range(3)), np.zeros((n, len(STATS)))
             return
+        self.word = (hashes % np.uint64(DIMS)).astype(np.int64)
         kind = _KIND[data]
 
         def inside(k: int) -> np.ndarray:
@@ -78,9 +81,11 @@ class Words:
         times = np.diff(np.append(at, len(h)))
         top = np.zeros(n)
         np.maximum.at(top, d[at], times)
+        # Herdan's C: how the number of distinct words grows with all, on a scale that length leaves alone
+        variety = np.log(np.maximum(np.bincount(d[at], minlength=n), 1)) / np.log(np.maximum(self.count, 2))
         share = lambda flag: np.bincount(doc, weights=flag, minlength=n) / np.maximum(self.count, 1)
         self.stats = np.stack(
-            [share(repeat), top / np.maximum(self.count, 1), np.bincount(d[at], minlength=n) / np.maximum(self.count, 1), share(case == 2), share(end == 2), share(marks > 0), share(bar), share(end == 1), share(length > 40)],
+            [share(repeat), top / np.maximum(self.count, 1), variety, share(case == 2), share(end == 2), share(marks > 0), share(bar), share(end == 1), share(length > 40)],
             axis=1,
         )
 
@@ -96,7 +101,7 @@ def votes(count: np.ndarray, stats: np.ndarray) -> list[str]:
     rows = [
         vote(s["repeats"] >= 0.08, s["repeats"] <= 0.02, count >= 20),
         vote(s["top"] >= 0.5, s["top"] <= 0.2, many),
-        vote(s["distinct"] < 0.08, s["distinct"] >= 0.25, many & (count <= 1000)),
+        vote(s["variety"] < 0.55, s["variety"] >= 0.7, many),
         vote(s["capitals"] >= 0.2, s["capitals"] <= 0.05, enough),
         vote(s["shouts"] >= 0.15, s["shouts"] <= 0.03, enough),
         vote(s["marks"] - s["bars"] >= 0.12, s["marks"] - s["bars"] <= 0.03, enough),
@@ -123,7 +128,7 @@ def step_places(stats: np.ndarray) -> np.ndarray:
 
 def scores(w: Words, model: np.ndarray) -> np.ndarray:
     """The linear score of each document; 0 for a document without words."""
-    total = np.concatenate([[0.0], np.cumsum(model[SHAPE_AT[w.shape]] + model[PAIR_AT[w.pair]])])
+    total = np.concatenate([[0.0], np.cumsum(model[w.word] + model[SHAPE_AT[w.shape]] + model[PAIR_AT[w.pair]])])
     mean = (total[w.first[1:]] - total[w.first[:-1]]) / np.maximum(w.count, 1)
     z = mean + model[step_places(w.stats)].sum(axis=1) + model[-1]
     return np.where(w.count > 0, np.round(1 / (1 + np.exp(-np.clip(z, -50, 50))), 9), 0.0)
@@ -133,7 +138,7 @@ def sparse(w: Words) -> tuple[list[list[int]], list[list[float]]]:
     """The features that `scores` weighs, for training."""
     rows, values, steps = [], [], step_places(w.stats)
     for k, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
-        at, n = np.unique(np.concatenate([SHAPE_AT[w.shape[a:b]], PAIR_AT[w.pair[a:b]]]), return_counts=True)
+        at, n = np.unique(np.concatenate([w.word[a:b], SHAPE_AT[w.shape[a:b]], PAIR_AT[w.pair[a:b]]]), return_counts=True)
         rows.append([*at.tolist(), *steps[k].tolist()])
         values.append([*(n / max(b - a, 1)).tolist(), *[1.0] * len(STATS)])
     return rows, values
@@ -154,43 +159,48 @@ def _voter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sampler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for w in _each(batch.column(0)):
+        at = 0
+        for w in _each(batch.column(1)):
             rows, values = sparse(w)
-            keep = np.flatnonzero(w.count > 0).tolist()
+            keep = np.flatnonzero(w.count > 0)
             pattern = votes(w.count, w.stats)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([pattern[k] for k in keep], pa.string()), pa.array([rows[k] for k in keep], pa.list_(pa.int32())), pa.array([values[k] for k in keep], pa.list_(pa.float32()))], ["votes", "at", "value"]
+                [batch.column(0).take(pa.array(at + keep)), *(pa.array([x[k] for k in keep.tolist()], t) for x, t in ((pattern, pa.string()), (rows, pa.list_(pa.int32())), (values, pa.list_(pa.float32()))))], ["h", "votes", "at", "value"]
             )
+            at += len(w.count)
 
 
 class Model:
-    def __init__(self, posterior: dict[str, float], weights: np.ndarray, table: np.ndarray, prior: float):
-        self.posterior, self.weights, self.table, self.prior = posterior, weights, table, prior
+    """`posterior` of the vote patterns; `table` holds P(against | class, it votes),
+    class 0 being good text and the others the kinds of bad text; `shares` are the
+    classes' own; `weights` belong to the linear scorer."""
+
+    def __init__(self, posterior: dict[str, float], weights: np.ndarray, table: np.ndarray, shares: np.ndarray):
+        self.posterior, self.weights, self.table, self.shares = posterior, weights, table, shares
+        self.prior = float(shares[0])
 
 
 def fit(df: DataFrame, text_col: str = "text", sample_rows: int = 4000) -> Model:
-    """Votes of all documents; the linear model from at most `sample_rows` of them,
-    drawn by a hash of the text (equal texts count once or more, as they occur)."""
+    """Votes of all documents; the linear model from about `sample_rows` distinct
+    texts (twice as many at most), those with the smallest hashes: copies count once,
+    and reruns draw the same."""
     arrow_limits(df.sparkSession)
     texts = df.select(F.col(text_col).alias("text"))
     seen = texts.mapInArrow(_voter, "votes string").groupBy("votes").agg(F.count("*").alias("n")).collect()  # at most 3 ** 8 rows
     seen = sorted((r["votes"], r["n"]) for r in seen)
+    post, table, shares = latent_classes([p for p, _ in seen], [n for _, n in seen])
+    posterior = {p: float(v) for (p, _), v in zip(seen, post[:, 0], strict=True)}
     total = max(1, sum(n for _, n in seen))
-    # A labeller knows one kind of bad text: it misses most of the others, and hardly ever blames good
-    # text. Without a firm hold on the latter, the kinds that are rarer than the most frequent one end
-    # up as good text that some labeller blames.
-    post, table, prior = reliabilities([p for p, _ in seen], [n for _, n in seen], start=(0.2, 0.998), strength=(20.0, 50.0 * total))
-    posterior = {p: float(v) for (p, _), v in zip(seen, post, strict=True)}
     least = int(min(1.0, sample_rows / total) * 1_000_000) + 1
-    drawn = texts.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_000)) < least).mapInArrow(_sampler, "votes string, at array<int>, value array<float>")
-    drawn = drawn.limit(2 * sample_rows).collect()
-    drawn.sort(key=lambda r: (r["votes"], r["at"], r["value"]))
+    h = F.xxhash64("text", F.lit(11))
+    drawn = texts.select(h.alias("h"), "text").where(F.pmod("h", F.lit(1_000_000)) < least).mapInArrow(_sampler, "h long, votes string, at array<int>, value array<float>")
+    drawn = drawn.groupBy("h", "votes").agg(F.first("at").alias("at"), F.first("value").alias("value")).orderBy(F.pmod("h", F.lit(1_000_000)), "h", "votes").limit(2 * sample_rows).collect()
     y = [posterior[r["votes"]] for r in drawn]
     good, bad = max(sum(y), 1e-9), max(len(y) - sum(y), 1e-9)
     # both classes weigh alike up to a factor of 4, so that the rarer one is learnt
     weight = [v + (1 - v) * min(4.0, max(1.0, good / bad)) for v in y]
     model = fit_linear([r["at"] for r in drawn], [r["value"] for r in drawn], y, weight, DIMS)
-    return Model(posterior, model, table, prior)
+    return Model(posterior, model, table, shares)
 
 
 def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, model: Model | None = None) -> DataFrame:
@@ -199,7 +209,8 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
 
     A text without words, null included, scores 0 and is rejected. Null and
     repeated ids and repeated rows pass through; equal texts score alike. An empty
-    table gives an empty one; other columns are not looked at.
+    table gives an empty one; other columns are not looked at. Very long texts go
+    through whole.
     """
     model = model or fit(df, text_col)
     weights, posterior, prior = model.weights, model.posterior, model.prior

@@ -44,6 +44,35 @@ def reliabilities(patterns: list[str], counts: list[int], start: tuple[float, fl
     return post, table, prior
 
 
+def latent_classes(patterns: list[str], counts: list[int], sharp: float = 0.9, blunt: float = 0.02, good: float = 0.002, strength: float = 2.0, rounds: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expectation-maximisation where the negative class falls into kinds, each of
+    which another labeller knows best: class 0 is the positive one, class k the kind
+    of labeller k - 1. Gives each pattern's posterior of every class, the table
+    P(against | class, it votes) as class x labeller, and the shares of the classes.
+
+    `sharp`, `blunt` and `good` are only where the search begins (a labeller on its
+    own kind, on other kinds, on the positive class); all rates and shares then move
+    freely, held by no more than `strength` pseudo-votes each.
+    """
+    if not patterns:
+        return np.empty((0, 1)), np.empty((1, 0)), np.ones(1)
+    votes, n = patterns_to_array(patterns), np.array(counts, float)
+    labellers = votes.shape[1]
+    begin = np.vstack([np.full(labellers, good), np.where(np.eye(labellers) > 0, sharp, blunt)])
+    table, share = begin.copy(), np.concatenate([[0.5], np.full(labellers, 0.5 / labellers)])
+    against, cast, post = (votes == AGAINST).astype(float), (votes != ABSTAINS).astype(float), None
+    for _ in range(rounds):
+        score = against @ np.log(table).T + (cast - against) @ np.log(1 - table).T + np.log(share)
+        e = np.exp(score - score.max(axis=1, keepdims=True))
+        was, post = post, e / e.sum(axis=1, keepdims=True)
+        if was is not None and np.abs(post - was).max() < 1e-9:
+            break
+        w = post * n[:, None]
+        table = np.clip((w.T @ against + strength * begin) / (w.T @ cast + strength), 1e-6, 1 - 1e-6)
+        share = (w.sum(axis=0) + 1e-3) / (n.sum() + 1e-3 * len(share))
+    return post, table, share
+
+
 def fit_linear(rows: list[list[int]], values: list[list[float]], target: list[float], weight: list[float], dims: int, rounds: int = 300, rate: float = 0.5, l2: float = 1e-4) -> np.ndarray:
     """Logistic regression by full-batch Adagrad on sparse rows; the bias is last."""
     w = np.zeros(dims + 1)
