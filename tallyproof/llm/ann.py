@@ -1,13 +1,14 @@
 """Approximate nearest neighbours by a permutation index.
 
-Every vector is represented by its pivots, nearest first. The index is cut into
-blocks of vectors; in each, an inverted file posts the vectors under their
-pivots with the place the pivot has. A query walks the lists of its own pivots,
-sums the footrule distance (a pivot that a vector doesn't list counts as being
-in the place behind the last), and the nearest share of each block by that
-distance is ranked anew by cosine on the original vectors. Queries go to the
-blocks in blocks of their own, so neither side is ever whole in one place, and
-each pair of blocks gives only its k best.
+Every vector is represented by its nearest pivots, in order. The index is cut into
+blocks of vectors; in each, an inverted file posts the vectors under their pivots,
+sorted by the place that the pivot has for them. A query reads the lists of its own
+pivots, of each only the stretch of places not far from its own, and adds up what
+every posting takes off the footrule distance (a pivot that a vector doesn't list
+counts as being in the place behind the last). The nearest of each block by that
+distance are ranked anew by cosine on the original vectors. Queries go to the blocks
+in blocks of their own, so neither side is ever whole in one place, and each pair of
+blocks gives only its k best.
 """
 
 from __future__ import annotations
@@ -45,7 +46,8 @@ def _rows(column: pa.Array) -> np.ndarray:
 
 def orders(x: np.ndarray, pivots: np.ndarray, listed: int) -> np.ndarray:
     """The `listed` nearest pivots of each row by cosine, ties to the smaller number."""
-    return np.argsort(-np.round(x @ pivots.T / np.linalg.norm(x, axis=1, keepdims=True), 12), axis=1, kind="stable")[:, :listed].astype(np.int16)
+    far = -np.round(x @ pivots.T / np.linalg.norm(x, axis=1, keepdims=True), 12)
+    return np.argsort(far, axis=1, kind="stable")[:, :listed].astype(np.int16)
 
 
 def _ordered(pivots: np.ndarray, listed: int):
@@ -58,44 +60,59 @@ def _ordered(pivots: np.ndarray, listed: int):
     return run
 
 
-def _search(k: int, m: int, listed: int, share: float, least: int):
+class Block:
+    """An inverted file over some vectors: their ids, rows, and ordered pivots."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, perm: np.ndarray, pivots: int, k: int):
+        # equal vectors are one entry, however many there are; of its ids, k + 1 are enough
+        _, first, group = np.unique(np.ascontiguousarray(x).view(f"V{8 * x.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        order = np.argsort(group, kind="stable")
+        cut = np.searchsorted(group[order], np.arange(len(first) + 1))
+        self.members = [ids[order[a : min(b, a + k + 1)]] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        self.x, perm = x[first], perm[first]
+        self.norm = np.sqrt((self.x * self.x).sum(axis=1))
+        self.listed = perm.shape[1]
+        slot = perm.astype(np.int64) * self.listed + np.arange(self.listed)  # by pivot, then place
+        by = np.argsort(slot.ravel(), kind="stable")
+        self.row = (by // self.listed).astype(np.int64)
+        self.cuts = np.searchsorted(slot.ravel()[by], np.arange(pivots * self.listed + 1))
+        # with both pivots listed, the footrule's share falls from (listed - a) + (listed - b) to |a - b|
+        at = np.arange(self.listed)
+        self.gain = 2.0 * (self.listed - np.maximum(at[:, None], at[None]))
+
+    def near(self, perm: np.ndarray, keep: int, reach: int) -> np.ndarray:
+        """Rows of the `keep` nearest by footrule, from postings within `reach` places."""
+        if keep >= len(self.x):
+            return np.arange(len(self.x))
+        at = np.arange(self.listed)
+        lo, hi = np.maximum(at - reach, 0), np.minimum(at + reach + 1, self.listed)
+        base = perm.astype(np.int64) * self.listed
+        # every (pivot, place) slot that is read, and the postings in it
+        wide = hi - lo
+        own = np.repeat(at, wide)
+        place = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide) + np.repeat(lo, wide)
+        a, b = self.cuts[base[own] + place], self.cuts[base[own] + place + 1]
+        n = b - a
+        index = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+        near = np.bincount(self.row[index], weights=np.repeat(self.gain[own, place], n), minlength=len(self.x))
+        return np.argpartition(-near, keep - 1)[:keep]
+
+
+def _search(k: int, pivots: int, share: float, least: int, reach: float):
     def run(queries: pa.Table, block: pa.Table) -> pa.Table:
         found: list[tuple] = []
         if queries.num_rows and block.num_rows:
             block = block.sort_by("id").combine_chunks()  # ties go to the smaller id
-            every, x = block.column("id").to_numpy(), _rows(block.column("v"))
-            perm = np.frombuffer(b"".join(block.column("perm").to_pylist()), np.int16).reshape(len(every), -1)
-            # equal vectors are one entry, however many there are; of its ids, k + 1 are enough
-            _, first, group = np.unique(np.ascontiguousarray(x).view(f"V{8 * x.shape[1]}").ravel(), return_index=True, return_inverse=True)
-            order = np.argsort(group, kind="stable")
-            cut = np.searchsorted(group[order], np.arange(len(first) + 1))
-            members = [every[order[a : min(b, a + k + 1)]] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            x, perm = x[first], perm[first]
-            norm = np.sqrt((x * x).sum(axis=1))
-            # the inverted file: for each pivot, rows and places
-            width = perm.shape[1]
-            flat = perm.ravel()
-            by = np.argsort(flat, kind="stable")
-            row, place = (by // width).astype(np.int32), (by % width).astype(np.int32)
-            cuts = np.searchsorted(flat[by], np.arange(m + 1))
-            # where no pivot is shared, all places of both count as missing
-            alone = int((width - np.arange(width)).sum())
-            # what a shared pivot changes: the difference of places instead of both as missing
-            at_q, at_x = np.arange(width)[:, None], np.arange(width)[None]
-            change = (np.abs(at_x - at_q) - (width - at_x) - (width - at_q)).astype(np.int32)
+            places = lambda t: np.frombuffer(b"".join(t.column("perm").to_pylist()), np.int16).reshape(t.num_rows, -1)
+            held = Block(block.column("id").to_numpy(), _rows(block.column("v")), places(block), pivots, k)
+            x = held.x
             keep = min(len(x), max(least, k + 1, int(np.ceil(share * len(x)))))
-            qid, qx = queries.column("id").to_numpy(), _rows(queries.column("v"))
-            qperm = np.frombuffer(b"".join(queries.column("perm").to_pylist()), np.int16).reshape(len(qid), -1)
+            qid, qx, qperm = queries.column("id").to_numpy(), _rows(queries.column("v")), places(queries)
             for i in range(len(qid)):
-                far = np.full(len(x), 2 * alone, np.int32)
-                for place_q, p in enumerate(qperm[i].tolist()):
-                    a, b = cuts[p], cuts[p + 1]
-                    far[row[a:b]] += change[place_q][place[a:b]]
-                near = np.argpartition(far, keep - 1)[:keep] if keep < len(x) else np.arange(len(x))
-                score = (x[near] * qx[i]).sum(axis=1) / (norm[near] * np.sqrt((qx[i] * qx[i]).sum()))
-                best = near[score >= np.sort(score)[max(0, len(score) - k - 1)]]
-                value = dict(zip(near.tolist(), score.tolist(), strict=True))
-                ranked = sorted((-value[j], int(v)) for j in best.tolist() for v in members[j] if v != qid[i])
+                near = held.near(qperm[i], keep, int(np.ceil(reach * held.listed)))
+                score = (x[near] * qx[i]).sum(axis=1) / (held.norm[near] * np.sqrt((qx[i] * qx[i]).sum()))
+                best = np.flatnonzero(score >= np.sort(score)[max(0, len(score) - k - 1)])
+                ranked = sorted((-score[j], int(v)) for j in best.tolist() for v in held.members[near[j]] if v != qid[i])
                 found += [(qid[i], v, -s) for s, v in ranked[:k]]
         cols = list(zip(*found, strict=True)) if found else [[], [], []]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
@@ -109,11 +126,12 @@ def nearest(
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     k: int = 5,
-    pivots: int = 256,
-    listed: int = 96,
-    share: float = 0.25,
+    pivots: int = 1024,
+    listed: int = 64,
+    share: float = 0.12,
     least: int = 200,
-    block_rows: int = 4096,
+    reach: float = 0.5,
+    block_rows: int = 8192,
     query_rows: int = 1024,
     dim: int | None = None,
 ) -> DataFrame:
@@ -121,18 +139,18 @@ def nearest(
 
     Pivots are at most `pivots` vectors, drawn by a hash of their ids: the one
     bounded sample. Every vector is indexed. Of each block, the nearest `share`
-    by footrule (at least `least`) are ranked by cosine in double precision. Ids
+    by footrule (at least `least`) are ranked by cosine in double precision; of the
+    lists, places within `reach` times `listed` of the query's own are read. Ids
     must be whole numbers; rows with a null id, and vectors that are null, zero,
-    of another length, or hold null or non-finite components take no part.
-    Repeated rows are candidates for each other only under different ids. Equal
-    scores go to the smaller id. An empty table gives an empty one; other columns
-    are only seen by `is_query`.
+    of another length, or hold null or non-finite components take no part. Of rows
+    with one id the smallest vector counts, and the id is a query if one of them is.
+    Equal scores go to the smaller id. An empty table gives an empty one; other
+    columns, whatever their names, are only seen by `is_query`.
     """
     spark = df.sparkSession
     arrow_limits(spark)
-    marked = df.withColumn("__q", is_query) if "__q" not in df.columns else df
-    base = valid(marked.where(F.col(id_col).isNotNull()), id_col, vec_col, dim).withColumn("id", F.col("id").cast("long"))
-    vectors = written(base.dropDuplicates(["id"]), "vectors")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked")).where("id is not null")
+    vectors = written(valid(rows, "id", "v", dim).groupBy("id").agg(F.min("v").alias("v")), "vectors")
     drawn = [r["v"] for r in vectors.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()]
     schema = "query_id long, rank int, vec_id long, score double"
     if not drawn:
@@ -142,8 +160,7 @@ def nearest(
     listed = min(listed, len(p))
     index = written(vectors.mapInArrow(_ordered(p, listed), "id long, v array<double>, perm binary"), "permutations")
     n = index.count()
-    asked = marked.where(F.col("__q") & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct()
-    queries = written(index.join(asked, "id", "left_semi"), "queries")
+    queries = written(index.join(rows.where("asked").select("id").distinct(), "id", "left_semi"), "queries")
     blocks, qblocks = -(-n // block_rows), -(-max(1, queries.count()) // query_rows)
 
     def spread(rows: DataFrame, own: str, count: int, other: str, others: int) -> DataFrame:
@@ -152,6 +169,6 @@ def nearest(
 
     left = spread(queries, "qb", qblocks, "b", blocks).groupBy("b", "qb")
     right = spread(index, "b", blocks, "qb", qblocks).groupBy("b", "qb")
-    local = left.cogroup(right).applyInArrow(_search(k, len(p), listed, share, least), "query_id long, vec_id long, score double")
+    local = left.cogroup(right).applyInArrow(_search(k, len(p), share, least, reach), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
