@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -115,10 +116,34 @@ _STRICT = (
     re.compile(r"[0-9]{4}([ -]?)(?:[0-9]{4}\1){2}[0-9]{4}|3[47][0-9]{2}([ -]?)[0-9]{6}\2[0-9]{5}"),
     re.compile(r"(?:\+[0-9]{1,3}[ .-]?)?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"),
 )
-#: Endings of domains, openings of card numbers, country and area openings.
-_DOMAINS = frozenset("com org net edu gov io co uk de fr es it nl eu info biz us ca au ch at be".split())
-_ISSUERS = ("34", "37", "35", "4", "51", "52", "53", "54", "55", "6011", "65", "22", "23", "24", "25", "26", "27")
-_COUNTRIES = ("1", "33", "34", "44", "49", "39", "31", "41", "43", "32", "61", "7", "81", "86", "91")
+@dataclass(frozen=True)
+class Gazetteer:
+    """What the gazetteer labeller knows; give another to add to it.
+
+    `endings`: endings of domains beside the country codes, which are all pairs of
+    letters. `issuers`: ranges (low, high) of the openings of card numbers, compared
+    over as many digits as `low` has. `unassigned`: openings of international
+    telephone numbers that no country or zone holds.
+    """
+
+    # The original generic endings and the older sponsored ones.
+    endings: frozenset[str] = frozenset("com org net edu gov mil int arpa info biz name pro aero coop museum mobi jobs travel asia cat tel post app dev".split())
+    # Ranges of issuer numbers of the large card networks.
+    issuers: tuple[tuple[str, str], ...] = (("2221", "2720"), ("300", "305"), ("34", "34"), ("3528", "3589"), ("36", "39"), ("4", "4"), ("50", "59"), ("6011", "6011"), ("62", "62"), ("63", "69"), ("81", "81"))
+    # Spare codes of the international numbering plan.
+    unassigned: tuple[str, ...] = ("0", "210", "214", "215", "217", "219", "28", "384", "83", "89", "999")
+
+    def ending(self, word: str) -> bool:
+        return word in self.endings or (len(word) == 2 and word.isalpha())
+
+    def issuer(self, digits: str) -> bool:
+        return any(low <= digits[: len(low)] <= high for low, high in self.issuers)
+
+    def country(self, digits: str) -> bool:
+        return not digits.startswith(self.unassigned)
+
+
+GAZETTEER = Gazetteer()
 _CUES = (
     re.compile(r"e-?mail|contact|write|mail|courriel|correo|kontakt|reach|@", re.I),
     re.compile(r"\bip\b|address|server|host|client|login|adresse", re.I),
@@ -142,21 +167,21 @@ def _vote(flag: bool | None) -> str:
     return "0" if flag is None else "+" if flag else "-"
 
 
-def _label(text: str, c: Candidate) -> None:
+def _label(text: str, c: Candidate, known_values: Gazetteer) -> None:
     span, left, right = text[c.start : c.end], text[max(0, c.start - 40) : c.start], text[c.end : c.end + 12]
     digits = _digits(span)
     regex = bool(_STRICT[c.kind].fullmatch(span)) and (c.kind != 2 or luhn(digits))
     if c.kind == 0:
-        known = re.split(r"[^A-Za-z]+", span.lower().rstrip(")]"))[-1] in _DOMAINS or None
+        known = known_values.ending(re.split(r"[^A-Za-z]+", span[-80:].lower().rstrip(")]"))[-1]) or None
         shape = len(span) <= 80
     elif c.kind == 1:
         known = None if ":" in span else not span.startswith("0.")
         shape = True if ":" in span else None if len(set(span.split("."))) < 2 else True
     elif c.kind == 2:
-        known = digits.startswith(_ISSUERS)
+        known = known_values.issuer(digits)
         shape = len(set(digits)) > 3 and 13 <= len(digits) <= 19
     else:
-        known = digits.lstrip("0").startswith(_COUNTRIES) if span.startswith(("+", "00")) else None
+        known = known_values.country(digits.removeprefix("00") if span.startswith("00") else digits) if span.startswith(("+", "00")) else None
         shape = 9 <= len(digits) <= 15 and len(set(digits)) > 2
     cue = True if _CUES[c.kind].search(left) else False if _COUNTER_CUES.search(left) else None
     near = (left[-1:] or " ") + (right[:1] or " ")
@@ -168,12 +193,43 @@ def _label(text: str, c: Candidate) -> None:
     c.at = sorted({zlib.crc32(n.encode()) % DIMS for n in names})
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[Candidate]:
-    """Base spans, and loose matches that touch none of them; earlier kinds first."""
+_WRITTEN_AT = re.compile(r"@|[\[(]at[\])]", re.I)
+
+
+class _Taken:
+    """Stretches of a text that don't overlap, in order."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def add(self, a: int, b: int) -> bool:
+        """Takes the stretch, if it touches none that is taken."""
+        k = bisect_left(self.starts, b)
+        if k and self.ends[k - 1] > a:
+            return False
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+        return True
+
+
+def candidates(text: str, base: list[tuple[int, int, int]], gazetteer: Gazetteer = GAZETTEER) -> list[Candidate]:
+    """Base spans, and loose matches that touch none of them; earlier kinds first.
+
+    A loose address has at most 64 letters before the at-sign (the longest that mail
+    allows) and five labels behind the first; what is longer is found by the base
+    rule, if it is written with a plain at-sign.
+    """
     out = [Candidate(k, a, b, True) for k, a, b in base]
-    taken = sorted((a, b) for _, a, b in base)
+    taken = _Taken([(a, b) for _, a, b in base])
     for kind, pattern in enumerate(_LOOSE):
-        if kind == 0 and "@" not in text and "at]" not in text and "at)" not in text and "AT" not in text:
+        if kind == 0 and not _WRITTEN_AT.search(text):
             continue
         for m in pattern.finditer(text):
             a, b = m.span()
@@ -183,11 +239,10 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[Candidate]:
                 continue
             if kind == 1 and ":" not in m.group() and any(int(v) > 255 for v in m.group().split(".")):
                 continue
-            if not any(x < b and a < y for x, y in taken):
+            if taken.add(a, b):
                 out.append(Candidate(kind, a, b, False))
-                taken.append((a, b))
     for c in out:
-        _label(text, c)
+        _label(text, c, gazetteer)
     return out
 
 
@@ -211,21 +266,24 @@ _SPAN = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end",
 SPAN = "array<struct<kind: int, start: bigint, end: bigint, base: boolean, votes: string, at: array<int>>>"
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(1)
-        spans: list[list] = [[]] * batch.num_rows
-        for row in _maybe(*buffers(texts), texts).tolist():
-            text = texts[row].as_py()
-            spans[row] = [c.__dict__ for c in candidates(text, base_spans(text))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPAN)], ["id", "spans"])
+def _scan(gazetteer: Gazetteer):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1)
+            spans: list[list] = [[]] * batch.num_rows
+            for row in _maybe(*buffers(texts), texts).tolist():
+                text = texts[row].as_py()
+                spans[row] = [c.__dict__ for c in candidates(text, base_spans(text), gazetteer)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPAN)], ["id", "spans"])
+
+    return run
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", gazetteer: Gazetteer = GAZETTEER) -> DataFrame:
     """(id, spans): the labelled candidates of each row."""
     arrow_limits(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_scan, f"id {kind}, spans {SPAN}")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_scan(gazetteer), f"id {kind}, spans {SPAN}")
 
 
 @dataclass
@@ -251,7 +309,8 @@ def fit(scanned: DataFrame, sample_rows: int = 20_000) -> Model:
         posterior |= {(kind, p): float(v) for (p, _), v in zip(own, post, strict=True)}
     total = max(1, sum(r["n"] for r in seen))
     least = int(min(1.0, sample_rows / total) * 1_000_000) + 1
-    drawn = each.where(F.pmod(F.xxhash64("start", "end", "at", F.lit(5)), F.lit(1_000_000)) < least).groupBy("kind", "votes", "at", "base").agg(F.count("*").alias("n")).limit(2 * sample_rows).collect()
+    chosen = each.where(F.pmod(F.xxhash64("start", "end", "at", F.lit(5)), F.lit(1_000_000)) < least).groupBy("kind", "votes", "at", "base").agg(F.count("*").alias("n"))
+    drawn = chosen.orderBy(F.xxhash64("kind", "votes", "at", "base"), "kind", "votes", "at", "base").limit(2 * sample_rows).collect()
     drawn.sort(key=lambda r: (r["kind"], r["votes"], r["at"], r["base"]))
     target = [max(posterior[r["kind"], r["votes"]], 0.99 if r["base"] else 0.0) for r in drawn]
     weights = fit_linear([r["at"] for r in drawn], [[1.0] * len(r["at"]) for r in drawn], target, [float(r["n"]) for r in drawn], DIMS)
@@ -266,7 +325,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
 
 
-def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, gazetteer: Gazetteer = GAZETTEER) -> DataFrame:
     """A row for each row: id, n_email, n_ip, n_card, n_phone (base spans),
     base_sha256, spans (base and added ones, kind:start:end in code points, by kind
     and start), n_added.
@@ -274,7 +333,7 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     A null or empty text has none. Null and repeated ids and repeated rows pass
     through. An empty table gives an empty one; other columns are not looked at.
     """
-    scanned = written(scan(df, id_col, text_col), "spans")
+    scanned = written(scan(df, id_col, text_col, gazetteer), "spans")
     model = fit(scanned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,10 +364,17 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", threshold: float = 0.5) -> DataFrame:
+def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", threshold: float = 0.5, gazetteer: Gazetteer = GAZETTEER) -> DataFrame:
     """The rows of `df` with personal data replaced; `length_col`, where the table
-    has it, gets the new length of the texts that changed."""
-    model = fit(written(scan(df.withColumn("__row", F.lit(0)), "__row", text_col).where(F.size("spans") > 0), "spans"))
+    has it, gets the new length of the texts that changed. Null and empty texts stay,
+    null and repeated ids and repeated rows pass through, and an empty table gives an
+    empty one.
+
+    Candidates are found once for the fit and again here: they depend on the text
+    alone, and finding them costs less than writing all texts beside them or joining
+    them back to the texts.
+    """
+    model = fit(written(scan(df.select(F.lit(0).alias("row"), F.col(text_col).alias("text")), "row", "text", gazetteer).where(F.size("spans") > 0), "spans"))
     at = df.columns.index(text_col)
     size = df.columns.index(length_col) if length_col in df.columns else None
 
@@ -318,7 +384,7 @@ def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_ch
             new: dict[int, str] = {}
             for row in _maybe(*buffers(texts), texts).tolist():
                 text = texts[row].as_py()
-                found = [c.__dict__ for c in candidates(text, base_spans(text))]
+                found = [c.__dict__ for c in candidates(text, base_spans(text), gazetteer)]
                 if found and (spans := _final(found, model, threshold)):
                     new[row] = redacted(text, spans)
             if new:
