@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyproof.llm.common import arrow_limits, buffers, filesystem, workspace, written
+from tallyproof.llm.common import arrow_limits, buffers, filesystem, one_each, workspace, written
 
 PAD = 64
 RATE = 8000
@@ -115,7 +115,8 @@ _KEPT: dict[tuple, tuple] = {}
 
 def log_mel(payload: bytes, rate: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """(frames x bands) log-mel and the energy in dB of each frame; always a frame.
-    Long clips go through in blocks with the frames' overlap, to the same result."""
+    Long clips go through in blocks: of the resampled signal only a block and a
+    frame's overlap are held. What comes out takes about a byte for each sample."""
     key = (rate, s)
     if key not in _KEPT:
         _KEPT[key] = (lowpass(s.up, s.down, s.taps), mel_bank(s.bands, s.frame, rate * s.up / s.down), np.hanning(s.frame + 1)[:-1])
@@ -123,28 +124,32 @@ def log_mel(payload: bytes, rate: int, s: Settings) -> tuple[np.ndarray, np.ndar
     x = np.frombuffer(payload, np.uint8)
     margin = (len(h) // s.up + 1) // s.down * s.down + s.down
     block = max(s.down, s.block // s.down * s.down)
-    parts = []
+    mels, energies, rest = [], [], np.empty(0)
+
+    def frames(y: np.ndarray, n: int) -> None:
+        view = np.lib.stride_tricks.sliding_window_view(y, s.frame)[:: s.hop][:n]
+        for a in range(0, n, 2048):
+            power = np.fft.rfft(view[a : a + 2048] * taper, axis=1)
+            power = power.real**2 + power.imag**2
+            energies.append(10 * np.log10(power.sum(axis=1) + 1e-10))
+            total = np.zeros((len(power), s.bands))
+            for b in range(s.bands):  # sums whose order doesn't hang on how many rows there are
+                total[:, b] = (power * bank[:, b]).sum(axis=1)
+            mels.append(np.log(total + 1e-10))
+
     for a in range(0, max(len(x), 1), block):
         # a multiple of `down` in front keeps the phase; what the margins give is cut off
         lead = min(a, margin)
         piece = (x[a - lead : a + block + margin].astype(np.float64) - 128) / 128
-        y = resample(piece, s.up, s.down, h)
-        parts.append(y[lead * s.up // s.down :][: -(-min(block, len(x) - a) * s.up // s.down)])
-    y = np.concatenate(parts)
-    if len(y) < s.frame:
-        y = np.concatenate([y, np.zeros(s.frame - len(y))])
-    n = 1 + (len(y) - s.frame) // s.hop
-    frames = np.lib.stride_tricks.sliding_window_view(y, s.frame)[:: s.hop][:n]
-    mel, energy = np.empty((n, s.bands)), np.empty(n)
-    for a in range(0, n, 2048):
-        power = np.fft.rfft(frames[a : a + 2048] * taper, axis=1)
-        power = power.real**2 + power.imag**2
-        energy[a : a + 2048] = 10 * np.log10(power.sum(axis=1) + 1e-10)
-        total = np.zeros((len(power), s.bands))
-        for b in range(s.bands):  # sums whose order doesn't hang on how many rows there are
-            total[:, b] = (power * bank[:, b]).sum(axis=1)
-        mel[a : a + 2048] = np.log(total + 1e-10)
-    return mel, energy
+        y = resample(piece, s.up, s.down, h)[lead * s.up // s.down :][: -(-min(block, len(x) - a) * s.up // s.down)]
+        rest = np.concatenate([rest, y])
+        n = max(0, 1 + (len(rest) - s.frame) // s.hop)
+        if n:
+            frames(rest, n)
+            rest = rest[n * s.hop :]
+    if not mels:
+        frames(np.concatenate([rest, np.zeros(s.frame - len(rest))]), 1)
+    return np.concatenate(mels), np.concatenate(energies)
 
 
 def hysteresis(energy: np.ndarray, on: float, off: float) -> list[tuple[int, int]]:
@@ -240,7 +245,7 @@ def _extract(path: str, to: str, s: Settings, kind: pa.DataType):
                                 digest = [n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(media), hashlib.sha256(media).hexdigest()]
                                 for w, (a, b) in enumerate(f["spans"]):
                                     ids.append(row)
-                                    own = [*digest, w, len(f["spans"]), f["frames"], {"from_ms": a, "to_ms": b}, [{"from_ms": x, "to_ms": y} for x, y in f["segments"]] if w == 0 else []]
+                                    own = [*(digest if w == 0 else [None] * len(digest)), w, len(f["spans"]), f["frames"], {"from_ms": a, "to_ms": b}, [{"from_ms": x, "to_ms": y} for x, y in f["segments"]] if w == 0 else []]
                                     for c, v in zip(cols[1:], own, strict=False):
                                         c.append(v)
                                 tensors.append(f["tensors"])
@@ -256,10 +261,9 @@ def _extract(path: str, to: str, s: Settings, kind: pa.DataType):
 
 def extract_features(spark, path: str, files: DataFrame, kind: pa.DataType, settings: Settings = Settings(), to: str | None = None) -> tuple[str, DataFrame]:
     """Reads the stored clips and writes a row for each window: a fixed-shape
-    tensor, its time span, and (with window 0) the clip's segments and digests."""
+    tensor, its time span, and (with window 0 alone) the clip's segments and digests."""
     to = to or workspace(spark, "features")
-    parts = max(1, min(files.count(), 4 * spark.sparkContext.defaultParallelism))
-    return to, written(files.repartition(parts, "file").mapInArrow(_extract(path, to, settings, kind), "file string"), "feature-files")
+    return to, written(one_each(files).mapInArrow(_extract(path, to, settings, kind), "file string"), "feature-files")
 
 
 def read_tensors(fs, name: str) -> Iterator[pa.RecordBatch]:
@@ -290,10 +294,8 @@ def _digests(path: str, kind: pa.DataType):
 
 
 def read_digests(path: str, files: DataFrame, kind: str, arrow_kind: pa.DataType, id_col: str) -> DataFrame:
-    spark = files.sparkSession
-    parts = max(1, min(files.count(), 4 * spark.sparkContext.defaultParallelism))
     schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return files.repartition(parts, "file").mapInArrow(_digests(path, arrow_kind), schema).withColumnRenamed("id", id_col)
+    return one_each(files).mapInArrow(_digests(path, arrow_kind), schema).withColumnRenamed("id", id_col)
 
 
 def audio_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:

@@ -29,7 +29,9 @@ def default_quality(text: Column, size: Column) -> Column:
 def targets(sources: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
     """`sources(skey, source_size)` with `target`: shares by weight of the sum of
     sizes, none above `cap` times its size. The level that the uncapped reach is
-    found in one pass over the sources in the order in which they meet their cap."""
+    found in one pass over the sources in the order in which they meet their cap: the
+    table of sources, a few numbers each, is sorted in one task. That holds for some
+    ten million of them; with finer ones (each page its own) group them first."""
     cycle = F.array(*(F.lit(w) for w in weights))
     rank = F.row_number().over(Window.orderBy("skey"))
     s = sources.withColumn("w", F.element_at(cycle, F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("long"))
@@ -81,7 +83,7 @@ def mix(
     rows = rows.withColumn("key", -F.ln((drawn + 1).cast("double") / F.lit(float(1 << 52))) / F.col("q")).drop("q")
     # one scan of the texts; from here on rows are a few numbers
     sized = written(rows, "sized")
-    cut = written(sized.repartitionByRange("skey", "key", "id").withColumn("part", F.spark_partition_id()), "ranges")
+    cut = written(sized.repartitionByRange("skey", "key", "id", "size", *also).withColumn("part", F.spark_partition_id()), "ranges")
     sums = cut.groupBy("skey", "part").agg(F.sum("size").alias("part_size"))
     before = Window.partitionBy("skey").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     per_source = targets(sums.groupBy("skey").agg(F.sum("part_size").alias("source_size")), weights, cap)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyproof.llm.common import arrow_limits, filesystem, workspace, written
+from tallyproof.llm.common import arrow_limits, filesystem, one_each, workspace, written
 from tallyproof.llm.tokens import default_path, encoder
 
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -141,8 +141,7 @@ def _read(path: str):
 
 def read_digests(spark, path: str, files: DataFrame, kind: str = "bigint", id_col: str = "doc_id") -> DataFrame:
     """From the files: id, start, n_tokens, ids_crc32 of each document."""
-    parts = max(1, min(files.count(), 4 * spark.sparkContext.defaultParallelism))
-    return files.select("file", "start").repartition(parts, "file").mapInArrow(_read(path), f"id {kind}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
+    return one_each(files.select("file", "start")).mapInArrow(_read(path), f"id {kind}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
 
 
 def token_files(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:

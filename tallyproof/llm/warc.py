@@ -14,13 +14,14 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyproof.llm.common import arrow_limits, filesystem, small_or_not, workspace, written
+from tallyproof.llm.common import arrow_limits, filesystem, one_each, small_or_not, workspace, written
 
 REVISIT_LEAST = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -61,11 +62,11 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
 def page_records(page_id: object, url: str | None, payload: bytes, digest: str, origin: object, revisit: bool, key: tuple, segment_bytes: int) -> Iterator[bytes]:
     own = _urn("record", *key)
     target = "urn:page" if url is None else "".join(c if c > " " else "%{:02X}".format(ord(c)) for c in url)
-    base = [("WARC-Date", DATE), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha256:{digest}"), *([("Page-Id", str(page_id))] if page_id is not None else [])]
+    base = [("WARC-Date", DATE), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha256:{digest}"), *([("Page-Id", quote(str(page_id), ""))] if page_id is not None else [])]
     kind = ("Content-Type", "application/http;msgtype=response")
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     if revisit:
-        more = [("WARC-Profile", PROFILE), ("Refers-To-Page-Id", str(origin)), ("Payload-Length", str(len(payload)))]
+        more = [("WARC-Profile", PROFILE), ("Refers-To-Page-Id", quote(str(origin), "")), ("Payload-Length", str(len(payload)))]
         yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *base, *more, kind], head)
         return
     block = head + chunked(payload)
@@ -145,12 +146,36 @@ def parse(source) -> Iterator[tuple[dict[str, str], bytes]]:
             yield headers, block
 
 
-RECORDS = "origin string, segment int, total long, type string, page_id string, refers_to string, digest string, length long, block binary"
+def payload_of(block: bytes) -> bytes:
+    head, _, body = block.partition(b"\r\n\r\n")
+    return unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
-def _read(path: str):
-    names = [c.split()[0] for c in RECORDS.split(", ")]
-    types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+PAGES = "page_id string, type string, refers_to string, payload binary, digest string, length long"
+#: What one pass over the archives gives: whole records as pages; segments with their blocks, to be joined.
+RECORDS = f"{PAGES}, origin string, segment int, total long, block binary"
+_PAGE_TYPES = [pa.string(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.int64()]
+_RECORD_TYPES = [*_PAGE_TYPES, pa.string(), pa.int32(), pa.int64(), pa.binary()]
+
+
+def _batch(rows: list[tuple], names: str, types: list[pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split()[0] for c in names.split(", ")])
+
+
+def _decoded(page: str | None, kind: str, refers: str | None, digest: str | None, length: int | None, block: bytes, payloads: bool) -> tuple:
+    if kind == "revisit":
+        return page, kind, refers, None, digest, length
+    payload = payload_of(block)
+    found = hashlib.sha256(payload).hexdigest()
+    if digest is not None and found != digest:
+        raise ValueError(f"payload of page {page} doesn't match its digest")
+    return page, kind, refers, payload if payloads else None, found, len(payload)
+
+
+def _read(path: str, payloads: bool):
+    def text(h: dict[str, str], name: str) -> str | None:
+        return unquote(h[name]) if name in h else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = filesystem(path)
@@ -162,49 +187,27 @@ def _read(path: str):
                         number = int(h["warc-segment-number"]) if "warc-segment-number" in h else None
                         total = int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None
                         length = int(h["payload-length"]) if "payload-length" in h else None
-                        held.append((h.get("warc-segment-origin-id", h["warc-record-id"]), number, total, h["warc-type"], h.get("page-id"), h.get("refers-to-page-id"), h.get("warc-payload-digest", "").removeprefix("sha256:") or None, length, block))
-                        size += len(block)
+                        page = text(h, "page-id"), h["warc-type"], text(h, "refers-to-page-id")
+                        digest = h.get("warc-payload-digest", "").removeprefix("sha256:") or None
+                        if number is None:
+                            held.append((*_decoded(*page, digest, length, block, payloads), None, None, None, None))
+                            size += len(block) if payloads else 500
+                        else:
+                            held.append((*page, None, digest, length, h.get("warc-segment-origin-id", h["warc-record-id"]), number, total, block))
+                            size += len(block)
                         if size > 4 << 20:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+                            yield _batch(held, RECORDS, _RECORD_TYPES)
                             held, size = [], 0
                 if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+                    yield _batch(held, RECORDS, _RECORD_TYPES)
 
     return run
 
 
-def read_records(spark, path: str, files: DataFrame) -> DataFrame:
-    """Every record of the archives, continuation records included."""
-    parts = max(1, min(files.count(), 4 * spark.sparkContext.defaultParallelism))
-    return files.repartition(parts, "file").mapInArrow(_read(path), RECORDS)
-
-
-def payload_of(block: bytes) -> bytes:
-    head, _, body = block.partition(b"\r\n\r\n")
-    return unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
-
-
-PAGES = "page_id string, type string, refers_to string, payload binary, digest string, length long"
-_PAGE_TYPES = [pa.string(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.int64()]
-
-
-def _finish(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, _PAGE_TYPES, strict=True)], [c.split()[0] for c in PAGES.split(", ")])
-
-
-def _decoded(page: str | None, kind: str, refers: str | None, digest: str | None, length: int | None, block: bytes) -> tuple:
-    if kind == "revisit":
-        return page, kind, refers, None, digest, length
-    payload = payload_of(block)
-    if digest is not None and hashlib.sha256(payload).hexdigest() != digest:
-        raise ValueError(f"payload of page {page} doesn't match its digest")
-    return page, kind, refers, payload, hashlib.sha256(payload).hexdigest(), len(payload)
-
-
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "type", "refers_to", "digest", "length", "block")), strict=True)
-        yield _finish([_decoded(*r) for r in rows])
+def read_records(spark, path: str, files: DataFrame, payloads: bool = True) -> DataFrame:
+    """Every record of the archives: whole ones decoded and checked (without the
+    payload, if it isn't asked for), segments with their blocks."""
+    return one_each(files).mapInArrow(_read(path, payloads), RECORDS)
 
 
 def join_segments(parts: list[tuple[int, int | None, bytes]]) -> bytes:
@@ -216,29 +219,35 @@ def join_segments(parts: list[tuple[int, int | None, bytes]]) -> bytes:
     return block
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by origin and number."""
-    origin, parts, first = None, [], None
-    for batch in batches:
-        done = []
-        for o, n, total, kind, page, refers, digest, length, block in zip(*(batch.column(c).to_pylist() for c in ("origin", "segment", "total", "type", "page_id", "refers_to", "digest", "length", "block")), strict=True):
-            if o != origin and parts:
-                done.append(_decoded(*first, join_segments(parts)))
-                parts = []
-            if not parts:
-                first = (page, kind, refers, digest, length)
-            origin = o
-            parts.append((n, total, block))
-        yield _finish(done)
-    if parts:
-        yield _finish([_decoded(*first, join_segments(parts))])
-
-
-def read_pages(spark, path: str, files: DataFrame) -> DataFrame:
-    """(page_id, type, refers_to, payload, digest, length), one row for each page record."""
-    records = read_records(spark, path, files)
-    whole = records.where("segment is null").mapInArrow(_whole, PAGES)
-    split = records.where("segment is not null").repartition("origin").sortWithinPartitions("origin", "segment").mapInArrow(_joined, PAGES)
+def _joined(payloads: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by origin and number."""
+        origin, parts, first = None, [], None
+        for batch in batches:
+            done = []
+            names = ("origin", "segment", "total", "type", "page_id", "refers_to", "digest", "length", "block")
+            for o, n, total, kind, page, refers, digest, length, block in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if o != origin and parts:
+                    done.append(_decoded(*first, join_segments(parts), payloads))
+                    parts = []
+                if not parts:
+                    first = (page, kind, refers, digest, length)
+                origin = o
+                parts.append((n, total, block))
+            yield _batch(done, PAGES, _PAGE_TYPES)
+        if parts:
+            yield _batch([_decoded(*first, join_segments(parts), payloads)], PAGES, _PAGE_TYPES)
+
+    return run
+
+
+def read_pages(spark, path: str, files: DataFrame, payloads: bool = True) -> DataFrame:
+    """(page_id, type, refers_to, payload, digest, length), one row for each page
+    record. The archives are read once; what they hold is written, so that whole
+    records and segments both come from there. Without `payloads` that is little."""
+    records = written(read_records(spark, path, files, payloads), "records")
+    whole = records.where("segment is null").select(*(c.split()[0] for c in PAGES.split(", ")))
+    split = records.where("segment is not null").repartition("origin").sortWithinPartitions("origin", "segment").mapInArrow(_joined(payloads), PAGES)
     return whole.unionByName(split)
 
 
@@ -250,11 +259,11 @@ def round_trip(df: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     isn't null are responses and the others revisit it; if all their ids are null,
     all are responses. A null html is empty; a null id stays null; repeated rows
     have records of their own. An empty table writes no archive and gives no row.
-    Other columns are not looked at.
+    Other columns are not looked at. Very long payloads are many segments.
     """
     path, files = write_pages(df, id_col, url_col, html_col, **kw)
     kind = df.schema[id_col].dataType
-    pages = read_pages(df.sparkSession, path, files)
+    pages = read_pages(df.sparkSession, path, files, payloads=False)
     return pages.select(F.col("page_id").cast(kind).alias(id_col), F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers_to").cast(kind).alias("refers_to"))
 
 
