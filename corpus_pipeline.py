@@ -12,7 +12,9 @@ from tallyproof.llm.common import small_or_not, workspace, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on these documents, accepts."""
+    """Rows whose text the classifier, fitted on these documents, accepts. Texts
+    without words, null included, go; rows that repeat, or have null ids, are decided
+    like any other."""
     return quality.accepted(docs)
 
 
@@ -36,13 +38,14 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind; n_chars follows."""
+    """Personal data is replaced by its kind; n_chars follows. All rows stay."""
     return pii.redact(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mix takes a document; where it takes a part,
-    the text is cut to that many words (joined by single spaces)."""
+    the text ends behind that many words and is as it was before. A null text has no
+    words and is not taken."""
     tie = F.xxhash64(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t")), F.coalesce("text", F.lit("")))
     plan = written(mixing.mix(docs, tie=tie).select("doc_id", "size", "taken", "tie"), "mix")
     odd = plan.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
@@ -58,7 +61,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     whole, part = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("long")
     takes = F.concat(F.array_repeat(F.col("size"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
     rows = joined.withColumn("take", F.explode(takes))
-    first = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, F.col("take").cast("int")), " ")
+    # all behind the words taken comes as the last part; blanks in front give an empty part
+    blank = r"[\x20\x09-\x0D]+"
+    lead = F.when(F.regexp_like("text", F.lit(rf"\A{blank}")), 1).otherwise(0)
+    behind = F.element_at(F.split("text", blank, (F.col("take") + 1 + lead).cast("int")), -1)
+    first = F.rtrim(F.substring(F.col("text"), F.lit(1), F.length("text") - F.length(behind)), F.lit(" \t\n\x0b\f\r"))
     cut = F.col("take") < F.col("size")
     rows = rows.withColumn("text", F.when(cut, first).otherwise(F.col("text")))
     rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
@@ -66,6 +73,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece and place; a document that the mix takes several times
+    has its pieces in as many places (sequence_id, offset), by which its rows differ.
+    Null and empty texts are packed as their end id."""
     return packing.pack(docs)
 
 
