@@ -10,9 +10,11 @@ left out; equal keys give the candidates, so no pair under that distance is
 lost.
 
 Texts with equal shingle sets are one node from the start. A bucket never
-emits its pairs: members are first held against the bucket's leader only; what
+emits its pairs: members are first held against the bucket's leader only. What
 stays in different groups after those links are confirmed is compared inside
-the task, signature against signature in bounded blocks, and only the pairs of
+the task, signature against signature in bounded blocks: first each node is held
+against the one node of another group whose signature is nearest, which links
+nearly all that there is to link; then, for what is still apart, the pairs of
 blocks (about `BLOCK` nodes or `BLOCK_SHINGLES` shingles each, whichever is
 reached first) that hold a candidate go on to the exact comparison of full sets.
 Nothing is capped.
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from tallyproof.llm.common import arrow_limits, buffers, mix, pieces, shingle_hashes, small_or_not, word_hashes, written
 
 #: Nodes and shingles that a block of exact comparisons holds on average.
-BLOCK, BLOCK_SHINGLES = 128, 2 << 20
+BLOCK, BLOCK_SHINGLES = 512, 2 << 20
 #: Rows of a block in signature comparisons (a bucket of n rows is copied n / BUCKET_BLOCK
 #: times), and of the tiles that are compared at once.
 BUCKET_BLOCK, TILE = 2048, 512
@@ -156,50 +158,99 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
+def _tiles(batches: Iterator[pa.RecordBatch], most: int, positions: int, least: float) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray] | None]:
+    """In each bucket block, tile by tile: the rows of the two sides, and how far they
+    are apart where they may be a pair of two groups (else 255 or more). None behind
+    each block."""
+    big = 255 if positions < 255 else 65535
+
+    def tile(sig: np.ndarray, n: np.ndarray, comp: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray | None:
+        if max(comp[p].max(), comp[q].max()) == min(comp[p].min(), comp[q].min()):
+            return None
+        ok = comp[p][:, None] != comp[q][None]
+        ok &= np.minimum(n[p][:, None], n[q][None]) >= least * np.maximum(n[p][:, None], n[q][None])
+        if not ok.any():
+            return None
+        far = np.zeros(ok.shape, np.uint8 if big == 255 else np.uint16)
+        s, t = np.ascontiguousarray(sig[p].T), np.ascontiguousarray(sig[q].T)
+        for k in range(positions):
+            far += s[k][:, None] != t[k][None]
+        far[~ok | (far > most)] = big
+        return far if (far < big).any() else None
+
+    for group in _grouped(batches, ["key", "i", "j"]):
+        group = group.combine_chunks()
+        sig = _matrix(group.column("sig").chunk(0), positions)
+        n, comp, bi = (group.column(c).to_numpy() for c in ("n", "comp", "bi"))
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        left, right = (bi == i, bi == j) if i != j else (np.ones(len(n), bool),) * 2
+        if not left.any() or not right.any() or comp.min() == comp.max():
+            continue
+        # tiles of one and the same group fall away
+        p, q = (np.flatnonzero(side)[np.argsort(comp[side], kind="stable")] for side in (left, right))
+        for a in range(0, len(p), TILE):
+            for c in range(a if i == j else 0, len(q), TILE):
+                far = tile(sig, n, comp, p[a : a + TILE], q[c : c + TILE])
+                if far is not None:
+                    yield group, p[a : a + TILE], q[c : c + TILE], far
+        yield None
+
+
+def _nearest(most: int, positions: int, least: float) -> Callable:
+    """For each node that may have a pair in another group: the nearest such node (a),
+    how far it is, and the node itself (b) with its size (n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[int, int, int]] = {}
+
+        def rows() -> pa.RecordBatch:
+            flat = np.array([(a, b, far, n) for b, (far, a, n) in sorted(best.items())], np.int64).reshape(-1, 4)
+            return pa.RecordBatch.from_arrays([pa.array(flat[:, c]) for c in range(4)], ["a", "b", "far", "n"])
+
+        for tile in _tiles(batches, most, positions, least):
+            if tile is None:
+                if len(best) >= 50_000:
+                    yield rows()
+                    best = {}
+                continue
+            group, p, q, far = tile
+            node, n = group.column("node").to_numpy(), group.column("n").to_numpy()
+            for own, other, d in ((p, q, far), (q, p, far.T)):
+                at = d.argmin(axis=1)
+                low = d[np.arange(len(own)), at]
+                for k in np.flatnonzero(low <= most).tolist():
+                    found = (int(low[k]), int(node[other[at[k]]]), int(n[own[k]]))
+                    if found < best.get(int(node[own[k]]), (1 << 30,)):
+                        best[int(node[own[k]])] = found
+        yield rows()
+
+    return run
+
+
 def _residual(most: int, positions: int, least: float) -> Callable:
-    """In each bucket block: which pairs of node blocks hold a candidate of two
-    groups; a task gives each pair of blocks once, as far as it remembers."""
+    """Which pairs of node blocks hold a candidate of two groups; a task gives each
+    pair of blocks once, as far as it remembers."""
     names = ["x1", "b1", "x2", "b2"]
 
     def table(seen: set[tuple[int, int, int, int]]) -> pa.RecordBatch:
         rows = np.array(sorted(seen), np.int64).reshape(-1, 4)
         return pa.RecordBatch.from_arrays([pa.array(rows[:, c]) for c in range(4)], names)
 
-    def tile(sig: np.ndarray, n: np.ndarray, comp: np.ndarray, x: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(wl, blk) of both sides of the pairs that may be near."""
-        u = v = np.empty(0, np.int64)
-        if max(comp[p].max(), comp[q].max()) > min(comp[p].min(), comp[q].min()):
-            ok = comp[p][:, None] != comp[q][None]
-            ok &= np.minimum(n[p][:, None], n[q][None]) >= least * np.maximum(n[p][:, None], n[q][None])
-            if ok.any():
-                far = np.zeros(ok.shape, np.uint8 if positions < 256 else np.uint16)
-                s, t = np.ascontiguousarray(sig[p].T), np.ascontiguousarray(sig[q].T)
-                for k in range(positions):
-                    far += s[k][:, None] != t[k][None]
-                u, v = np.nonzero(ok & (far <= most))
-        return np.stack([x[p[u]], b[p[u]]], 1), np.stack([x[q[v]], b[q[v]]], 1)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int, int, int]] = set()
-        for group in _grouped(batches, ["key", "i", "j"]):
-            group = group.combine_chunks()
-            sig = _matrix(group.column("sig").chunk(0), positions)
-            n, comp, bi, x, b = (group.column(c).to_numpy() for c in ("n", "comp", "bi", "wl", "blk"))
-            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            left, right = (bi == i, bi == j) if i != j else (np.ones(len(n), bool),) * 2
-            if not left.any() or not right.any() or comp.min() == comp.max():
+        for tile in _tiles(batches, most, positions, least):
+            if tile is None:
+                if len(seen) >= 50_000:
+                    yield table(seen)
+                    seen = set()
                 continue
-            # tiles of one and the same group fall away
-            p, q = (np.flatnonzero(side)[np.argsort(comp[side], kind="stable")] for side in (left, right))
-            for a in range(0, len(p), TILE):
-                for c in range(a if i == j else 0, len(q), TILE):
-                    one, two = tile(sig, n, comp, x, b, p[a : a + TILE], q[c : c + TILE])
-                    swap = (one[:, 0] > two[:, 0]) | ((one[:, 0] == two[:, 0]) & (one[:, 1] > two[:, 1]))
-                    both = np.unique(np.where(swap[:, None], np.hstack([two, one]), np.hstack([one, two])), axis=0)
-                    seen.update(map(tuple, both.tolist()))
-            if len(seen) >= 50_000:
-                yield table(seen)
-                seen = set()
+            group, p, q, far = tile
+            x, b = group.column("wl").to_numpy(), group.column("blk").to_numpy()
+            u, v = np.nonzero(far <= most)
+            one, two = np.stack([x[p[u]], b[p[u]]], 1), np.stack([x[q[v]], b[q[v]]], 1)
+            swap = (one[:, 0] > two[:, 0]) | ((one[:, 0] == two[:, 0]) & (one[:, 1] > two[:, 1]))
+            both = np.unique(np.where(swap[:, None], np.hstack([two, one]), np.hstack([one, two])), axis=0)
+            seen.update(map(tuple, both.tolist()))
         yield table(seen)
 
     return run
@@ -242,22 +293,22 @@ def _confirm(percent: int) -> Callable:
             if not len(one):
                 continue
             mark = np.zeros(len(universe), np.int32)
-            span = np.concatenate([np.arange(offsets[k], offsets[k + 1]) for k in two])
-            cols, starts = code[span], np.concatenate([[0], np.cumsum(sizes[two])[:-1]])
             a, b = [], []
-            for k in one:
-                apart = (comp[two] != comp[k]) & (node[two] != node[k])
-                if not apart.any():
+            for c in np.unique(comp[one]).tolist():  # of a large group against itself nothing is left to compare
+                others = two[comp[two] != c]
+                if not len(others):
                     continue
-                own = code[offsets[k] : offsets[k + 1]]
-                mark[own] = 1
-                both = np.add.reduceat(mark[cols], starts)
-                mark[own] = 0
-                ok = np.flatnonzero(apart & (100 * both >= percent * (sizes[k] + sizes[two] - both)))
-                _, first = np.unique(comp[two[ok]], return_index=True)
-                for m in two[ok[first]]:
-                    a.append(max(node[k], node[m]))
-                    b.append(min(node[k], node[m]))
+                cols, starts = code[np.concatenate([np.arange(offsets[k], offsets[k + 1]) for k in others])], np.concatenate([[0], np.cumsum(sizes[others])[:-1]])
+                for k in one[comp[one] == c]:
+                    own = code[offsets[k] : offsets[k + 1]]
+                    mark[own] = 1
+                    both = np.add.reduceat(mark[cols], starts)
+                    mark[own] = 0
+                    ok = np.flatnonzero(100 * both >= percent * (sizes[k] + sizes[others] - both))
+                    _, first = np.unique(comp[others[ok]], return_index=True)
+                    for m in others[ok[first]]:
+                        a.append(max(node[k], node[m]))
+                        b.append(min(node[k], node[m]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
@@ -353,25 +404,41 @@ def near_duplicates(
         full = rows.join(sets, "node").select(*keys, "side", "node", "comp", "set")
         return full.repartition(*keys).sortWithinPartitions(*keys, "side", "node").mapInArrow(_confirm(percent), "a long, b long")
 
-    cut = star.join(blocks(star, "a"), "a").withColumn("blk", F.pmod(F.xxhash64("b"), "parts"))
-    key = [F.col("a").alias("x1"), F.lit(-1).cast("long").alias("b1"), F.col("a").alias("x2"), F.col("blk").alias("b2")]
-    rows = cut.select(*key, F.lit(1).alias("side"), F.col("b").alias("node")).unionByName(cut.select(*key, F.lit(0).alias("side"), F.col("a").alias("node")).distinct())
-    links = written(confirmed(rows.withColumn("comp", F.col("node"))), "links")
-    found = written(components(links), "found")
+    def stars(rows: DataFrame, name: str) -> DataFrame:
+        """The links among pairs (a, b, n): many nodes b, of size n, against one node a."""
+        cut = rows.join(blocks(rows, "a"), "a").withColumn("blk", F.pmod(F.xxhash64("b"), "parts"))
+        key = [F.col("a").alias("x1"), F.lit(-1).cast("long").alias("b1"), F.col("a").alias("x2"), F.col("blk").alias("b2")]
+        sides = cut.select(*key, F.lit(1).alias("side"), F.col("b").alias("node")).unionByName(cut.select(*key, F.lit(0).alias("side"), F.col("a").alias("node")).distinct())
+        return written(confirmed(sides.withColumn("comp", F.col("node"))), name)
 
-    # what shares a bucket but not yet a group
     # nodes that meet in buckets mostly have the smallest leader of their buckets in common: that makes few blocks
     home = buckets.groupBy("node").agg(F.min("leader").alias("wl"))
-    member = buckets.where("cnt > 2").select("node").distinct().join(nodes.select("node", "n", "sig"), "node").join(found, "node", "left").join(home, "node")
-    member = member.select("node", "n", "sig", F.coalesce("comp", "node").alias("comp"), "wl")
-    member = written(member.join(blocks(member, "wl"), "wl").withColumn("blk", F.pmod(F.xxhash64("node"), "parts")), "member")
-    in_buckets = buckets.where("cnt > 2").join(member.select("node", "comp"), "node")
-    mixed = in_buckets.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    mixed = small_or_not(written(mixed, "mixed"))
-    part = buckets.where("cnt > 2").join(mixed, "key").join(member, "node")
-    part = part.withColumn("nb", F.ceil(F.col("cnt") / BUCKET_BLOCK).cast("long")).withColumn("bi", F.pmod(F.xxhash64("node", F.lit(1)), "nb"))
-    part = part.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))).withColumn("i", F.least("bi", "o")).withColumn("j", F.greatest("bi", "o"))
-    part = part.select("key", "i", "j", "bi", "n", "sig", "comp", "wl", "blk").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    shared = buckets.where("cnt > 2")
+    plain = shared.select("node").distinct().join(nodes.select("node", "n", "sig"), "node").join(home, "node")
+    plain = written(plain, "member")
+
+    def apart(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What shares a bucket but not a group, in blocks; and all members of buckets."""
+        # nodes without a link go in blocks of their own: blocks within one large group then hold no candidate
+        member = written(plain.join(found, "node", "left").withColumn("wl", F.when(F.col("comp").isNull(), -F.col("wl") - 1).otherwise(F.col("wl"))).withColumn("comp", F.coalesce("comp", "node")), "grouped")
+        member = written(member.join(blocks(member, "wl"), "wl").withColumn("blk", F.pmod(F.xxhash64("node"), "parts")), "dealt")
+        mixed = shared.join(member.select("node", "comp"), "node").groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+        part = shared.join(small_or_not(written(mixed, "mixed")), "key").join(member, "node")
+        part = part.withColumn("nb", F.ceil(F.col("cnt") / BUCKET_BLOCK).cast("long")).withColumn("bi", F.pmod(F.xxhash64("node", F.lit(1)), "nb"))
+        part = part.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))).withColumn("i", F.least("bi", "o")).withColumn("j", F.greatest("bi", "o"))
+        part = part.select("key", "i", "j", "bi", "node", "n", "sig", "comp", "wl", "blk").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        return part, member
+
+    links = stars(star, "links")
+    found = written(components(links), "found")
+    part, member = apart(found)
+    nearest = part.mapInArrow(_nearest(most, positions, least), "a long, b long, far long, n long")
+    nearest = nearest.groupBy("b").agg(F.min(F.struct("far", "a", "n")).alias("s")).select("s.a", "b", "s.n")
+    closer = stars(written(nearest, "nearest"), "closer")
+    if closer.limit(1).count():
+        links = links.unionByName(closer)
+        found = written(components(links), "found")
+        part, member = apart(found)
     near = written(part.mapInArrow(_residual(most, positions, least), "x1 long, b1 long, x2 long, b2 long").distinct(), "near")
     of = member.select("node", "comp", "wl", "blk")
     first = near.join(of, (near["x1"] == of["wl"]) & (near["b1"] == of["blk"])).withColumn("side", F.lit(0))
