@@ -837,7 +837,7 @@ def test_latent_classes_recover():
     # what the true rates would decide
     p = np.array([0.7, 0.15, 0.1, 0.05]) * np.where(~cast[:, None], 1, np.where(against[:, None], truth, 1 - truth)).prod(axis=2)
     best = ((p[:, 0] >= p[:, 1:].sum(axis=1)) == (kind == 0)).mean()
-    assert (kept == (kind == 0)).mean() > best - 0.005 and table[0].max() < 0.03 and np.diag(table[1:]).min() > 0.75
+    assert (kept == (kind == 0)).mean() > best - 0.005 and table[0].max() < 0.03 and np.diag(table[1:]).min() > 0.65
 
 
 def test_copies_do_not_fill_the_sample(spark):
