@@ -6,7 +6,10 @@ any size, a few operations for each character of the longer string.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -14,6 +17,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tallyproof.functions.text import match_key_of
+
+# Key lengths from which containment and partial likeness count.
+MIN_EXACT, MIN_PARTIAL = 4, 12
+
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,42 +49,71 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * common(_masks(a), len(a), b) / (len(a) + len(b))
 
 
-def partial_ratio(a: str, b: str) -> float:
+def _most_in_common(a: str, b: str, m: int) -> np.ndarray:
+    """For each window b[i : i + m], i from 1 - m on, how many letters of `a` it can
+    share at most, counted letter by letter."""
+    codes = _codes(b).astype(np.int64)
+    n = len(codes)
+    lo, hi = np.clip(np.arange(1 - m, n), 0, n), np.clip(np.arange(1 - m, n) + m, 0, n)
+    out = np.zeros(len(lo), np.int64)
+    for c, times in Counter(a).items():
+        total = np.concatenate([[0], np.cumsum(codes == ord(c))])
+        out += np.minimum(total[hi] - total[lo], times)
+    return out
+
+
+def partial_ratio(a: str, b: str, floor: float = 0.0) -> float:
     """The best ratio of the shorter string with any window of its length in the
-    longer one, windows that hang over an end included. An empty string is like
-    nothing but another."""
+    longer one, windows that hang over an end included, if it is above `floor` (else
+    `floor`). An empty string is like nothing but another. Windows whose letters can't
+    beat the best so far are passed over, the most promising come first."""
     if not a or not b:
-        return 100.0 if a == b else 0.0
+        return 100.0 if a == b else floor
     if len(a) > len(b):
         a, b = b, a
-    m, n, best = len(a), len(b), 0.0
-    masks = _masks(a)
-    for i in range(1 - m, n):
-        window = b[max(i, 0) : i + m]
-        # a window that begins or ends outside the shorter string's letters is no better than the next
-        if (i > 0 and window[0] not in masks) or (i + m < n and i + m > 0 and window[-1] not in masks):
-            continue
-        if 200.0 * min(m, len(window)) / (m + len(window)) > best:
-            best = max(best, 200.0 * common(masks, m, window) / (m + len(window)))
-            if best == 100.0:
+    if a in b:
+        return 100.0
+    best = floor
+    for x, y in ((a, b), (b, a))[: 1 + (len(a) == len(b))]:
+        m, n = len(x), len(y)
+        masks, start = _masks(x), np.arange(1 - m, n)
+        width = np.minimum(start + m, n) - np.maximum(start, 0)
+        most = 200.0 * _most_in_common(x, y, m) / (m + width)
+        for k in np.argsort(-most, kind="stable").tolist():
+            if most[k] <= best:
                 break
-    if m == n:
-        other = _masks(b)
-        for i in range(1 - m, m):
-            window = a[max(i, 0) : i + m]
-            if 200.0 * len(window) / (m + len(window)) > best:
-                best = max(best, 200.0 * common(other, m, window) / (m + len(window)))
+            i = int(start[k])
+            window = y[max(i, 0) : i + m]
+            best = max(best, 200.0 * common(masks, m, window) / (m + len(window)))
     return best
 
 
-@F.pandas_udf(DoubleType())
-def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+def _within(key: str, claim: str) -> bool:
+    """`claim` in `key` with no word character right before or behind it."""
+    return claim in key and re.search(rf"(?<!\w){re.escape(claim)}(?!\w)", key) is not None
+
+
+@lru_cache(maxsize=20_000)
+def _score(claim: str, texts: tuple[str, ...]) -> float:
+    k = match_key_of(claim)
+    if not k:
+        return 0.0
+    best = 0.0
+    for key in map(match_key_of, texts):
+        if len(k) >= MIN_EXACT and _within(key, k):
+            return 100.0
+        best = max(best, ratio(k, key))
+        if len(k) >= MIN_PARTIAL:
+            best = partial_ratio(k, key, best)
+    return best
 
 
 @F.pandas_udf(DoubleType())
-def partial_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else partial_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+def claim_score(claim: pd.Series, joined: pd.Series, apart: pd.Series) -> pd.Series:
+    """How well cited text bears a claim out; null where the claim is. `apart` is the
+    cited text in its other form, or null."""
+    rows = zip(claim, joined, apart, strict=True)
+    return pd.Series([None if c is None else _score(c, tuple(t for t in (j, a) if t is not None)) for c, j, a in rows], dtype="float64")
 
 
 def _grams(codes: np.ndarray, at: np.ndarray, q: int) -> np.ndarray:

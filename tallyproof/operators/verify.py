@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyproof.functions.fuzzy import partial_ratio_udf, ratio_udf
-from tallyproof.functions.text import contains_word, match_key
+from tallyproof.functions.fuzzy import MIN_EXACT, claim_score
+from tallyproof.functions.text import contains_word, stripped
 
-# The score that verifies, and key lengths from which parts count.
-THRESHOLD, MIN_EXACT, MIN_PARTIAL = 95.0, 4, 12
+# Fixed value: the score that verifies.
+THRESHOLD = 95.0
 
 
 def cited_text(claims: DataFrame, lines: DataFrame, keys: list[str], doc: str = "doc_id") -> DataFrame:
@@ -30,36 +30,31 @@ def cited_text(claims: DataFrame, lines: DataFrame, keys: list[str], doc: str =
     )
 
 
+def _folded(text: Column) -> Column:
+    """The key of a text that is ASCII alone: `match_key` without leaving the JVM."""
+    return F.lower(stripped(F.regexp_replace(text, r"[ \t]+", " ")))
+
+
 def score(claims: DataFrame, lines: DataFrame, keys: list[str], text_col: str = "text", doc: str = "doc_id") -> DataFrame:
     """`claims` with `score` (0 to 100) and `n_missing`.
 
-    In stages: what contains the claim word for word scores 100 with built-in
-    functions; only the rest goes on to the similarity UDFs, and of that only
-    pairs whose lengths let the whole-string ratio reach the threshold, or claims
-    long enough for a partial match.
+    One pass over claims joined to what they cite. ASCII text that contains the claim
+    word for word scores 100 with built-in functions; only what is left reaches the
+    similarity UDF, which gets nulls for all other rows. The figure is the best of
+    containment, whole-string ratio, and (for claims long enough) partial ratio, also
+    below the threshold.
     """
-    found = claims.join(cited_text(claims, lines, keys, doc), keys, "left")
-    found = found.withColumn("n_missing", F.coalesce("n_missing", F.lit(0)))
-    void = F.coalesce(F.col("n_cited"), F.lit(0)).__eq__(0) | (F.col("n_missing") > 0)
-    keyed = found.withColumn("k", match_key(F.coalesce(F.col(text_col), F.lit(""))))
-    keyed = keyed.withColumn("k1", match_key("joined")).withColumn("k2", match_key("apart"))
-    exact = (F.length("k") >= MIN_EXACT) & (contains_word(F.col("k1"), F.col("k")) | F.coalesce(contains_word(F.col("k2"), F.col("k")), F.lit(False)))
-    staged = keyed.withColumn("exact", F.when(void | (F.col("k") == ""), F.lit(0.0)).when(exact, F.lit(100.0)))
-    drop = ["k", "k1", "k2", "joined", "apart", "n_cited", "exact"]
-    done = staged.where(F.col("exact").isNotNull()).withColumn("score", F.col("exact")).drop(*drop)
-    rest = staged.where(F.col("exact").isNull())
-
-    def lengths_allow(a: str, b: str):
-        return 2 * F.least(F.length(a), F.length(b)) >= 0.95 * (F.length(a) + F.length(b))
-
-    open_ = rest.where(lengths_allow("k", "k1") | F.coalesce(lengths_allow("k", "k2"), F.lit(False)) | (F.length("k") >= MIN_PARTIAL))
-    shut = rest.where(~(lengths_allow("k", "k1") | F.coalesce(lengths_allow("k", "k2"), F.lit(False)) | (F.length("k") >= MIN_PARTIAL)))
-    shut = shut.withColumn("score", F.lit(0.0)).drop(*drop)  # below the threshold; the exact figure doesn't matter
-    whole = F.greatest(ratio_udf("k", "k1"), ratio_udf("k", "k2"))
-    part = F.greatest(partial_ratio_udf("k", "k1"), partial_ratio_udf("k", "k2"))
-    long_, short = open_.where(F.length("k") >= MIN_PARTIAL), open_.where(F.length("k") < MIN_PARTIAL)
-    fuzzy = long_.withColumn("score", F.greatest(whole, part)).drop(*drop).unionByName(short.withColumn("score", whole).drop(*drop))
-    return done.unionByName(shut).unionByName(fuzzy)
+    found = claims.join(cited_text(claims, lines, keys, doc), keys, "left").withColumn("n_missing", F.coalesce("n_missing", F.lit(0)))
+    claim = F.coalesce(F.col(text_col), F.lit(""))
+    void = (F.coalesce(F.col("n_cited"), F.lit(0)) == 0) | (F.col("n_missing") > 0)
+    ascii_ = lambda c: F.octet_length(c) == F.char_length(c)
+    k, k1 = _folded(claim), _folded(F.col("joined"))
+    whole = (F.char_length(k) >= MIN_EXACT) & ascii_(claim) & ascii_(F.col("joined")) & contains_word(k1, k)
+    known = F.when(void, 0.0).when(whole, 100.0)
+    rows = found.withColumn("__known", known)
+    pending = F.col("__known").isNull()
+    asked = [F.when(pending, c) for c in (claim, F.col("joined"), F.col("apart"))]
+    return rows.withColumn("score", F.coalesce("__known", claim_score(*asked))).drop("__known", "joined", "apart", "n_cited")
 
 
 def verify(claims: DataFrame, lines: DataFrame, keys: list[str] | None = None, doc: str = "doc_id") -> DataFrame:

@@ -2,110 +2,214 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyproof.functions import text as T
 from tallyproof.operators import claims as K, coverage as C, verify as V, views
 from tallyproof.plans.base import DL, query, table
-from tallyproof.plans.lines import document_lines
-
-#: Claims on the lines of documents: most lines, every fifth claim made up, some citing what isn't there.
-_CLAIMS = DL + """,
-c0 AS (SELECT doc_id, CAST(no AS BIGINT) AS claim_id, CASE WHEN no % 5 = 0 THEN 'Zq' || no || ' xw unfounded vk statement' ELSE text END AS text, no AS cited, no % 5 = 0 AS made_up
-       FROM dl WHERE no % 7 <> 0 AND trim(text) <> ''),
-c1 AS (SELECT doc_id, CAST(0 AS BIGINT) AS claim_id, 'Out of range' AS text, 100000 AS cited, true AS made_up FROM documents WHERE doc_id % 10 = 0),
-claims AS (SELECT * FROM c0 UNION ALL SELECT * FROM c1),
-judged AS (SELECT c.*, NOT made_up AND CASE WHEN length(trim(c.text)) >= 4 THEN true ELSE true END AS ok FROM claims c)
+from tallyproof.plans.lines import KEY, document_lines
+from tallyproof.sources.files import settled
+
+#: The key of a text, the test for one in another between word boundaries, and (for text that isn't in the other word for
+#: word) whether a likeness of 95 is out of the question: it leaves room for m / 10 changed letters, so that one of more pieces of the
+#: shorter string than that would stand whole in the other.
+_WORDS_IN = r"({k1} LIKE '%' || replace(replace(replace({k}, '\', '\\'), '%', '\%'), '_', '\_') || '%' ESCAPE '\' AND regexp_matches({k1}, '(^|[^\pL\pM\pN_])' || regexp_escape({k}) || '($|[^\pL\pM\pN_])'))"
+
+
+def _judged(rows: str, keys: str) -> str:
+    """CTEs that judge `rows`(keys, text, joined, apart, missing, n_cited): containment by regular expression, short strings by their longest
+    common subsequence, worked out row by row; long ones by changed letters and by pieces. What can't be decided is null, and would show."""
+    inside = " OR ".join(f"coalesce({_WORDS_IN.format(k="k", k1=x)}, false)" for x in ("k1", "k2"))
+    return rf"""
+kd AS (SELECT *, {KEY.replace('{t}', 'trim(text)')} AS k, {KEY.replace('{t}', 'trim(joined)')} AS k1, {KEY.replace('{t}', 'trim(apart)')} AS k2 FROM {rows}),
+ex AS (SELECT *, CASE WHEN n_cited = 0 OR missing > 0 OR k = '' THEN false WHEN length(k) >= 4 AND ({inside}) THEN true END AS sure FROM kd),
+sh AS (SELECT DISTINCT k, k1, string_split(k, '') AS a, string_split(k1, '') AS b FROM ex WHERE sure IS NULL AND length(k) < 12 AND length(k1) BETWEEN length(k) - 2 AND length(k) + 2),
+lc AS (SELECT k, k1, a, b, 0 AS i, [0 for x IN b] AS r FROM sh
+  UNION ALL SELECT k, k1, a, b, i + 1, [list_max([greatest(r[h], CASE WHEN a[i + 1] = b[h] THEN 1 + CASE WHEN h > 1 THEN r[h - 1] ELSE 0 END ELSE 0 END) FOR h IN generate_series(1, j)]) FOR j IN generate_series(1, len(b))] FROM lc WHERE i < len(a)),
+ls AS (SELECT k, k1, 200.0 * r[len(b)] / (len(a) + len(b)) >= 95 AS like95 FROM lc WHERE i = len(a)),
+pc AS (SELECT DISTINCT k, k1, k2, least(length(k), length(k1)) AS m, CASE WHEN length(k) <= length(k1) THEN k ELSE k1 END AS s, CASE WHEN length(k) <= length(k1) THEN k1 ELSE k END AS l FROM ex WHERE sure IS NULL AND length(k) >= 12),
+pp AS (SELECT k, k1, m, s, l, m // 10 + 1 AS n, unnest(generate_series(0, m // 10)) AS j FROM pc WHERE m > 0),
+po AS (SELECT k, k1, bool_or(contains(l, s[1 + j * m // n : (j + 1) * m // n])) AS may FROM pp GROUP BY 1, 2),
+jd AS (SELECT {keys}, ex.text, n_cited, missing, CASE WHEN sure IS NOT NULL THEN sure
+    WHEN length(ex.k) < 12 THEN coalesce(ls.like95, false)
+    WHEN length(ex.k) = length(ex.k1) AND 20 * len([1 FOR p IN list_zip(string_split(ex.k, ''), string_split(ex.k1, '')) IF p[1] <> p[2]]) <= length(ex.k) THEN true
+    WHEN NOT coalesce(po.may, false) THEN false END AS ok
+  FROM ex LEFT JOIN ls ON ls.k = ex.k AND ls.k1 = ex.k1 LEFT JOIN po ON po.k = ex.k AND po.k1 = ex.k1)
+"""
+
+
+#: Claims on the lines of documents: most as they are; some made up, with a letter changed, over two lines in either order, cut to three or
+#: four letters, by the halves of a joined line, citing nothing or what isn't there.
+_CLAIMS = DL + r""",
+du AS (SELECT doc_id, no, text, CASE WHEN no % 9 = 0 THEN text[1 : length(text) // 2] || '- ' || text[length(text) // 2 + 1 :] END AS halves FROM dl),
+dn AS (SELECT *, lead(text) OVER w AS nt, coalesce(lead(halves) OVER w, lead(text) OVER w) AS nh, lead(halves) OVER w AS nx FROM du WINDOW w AS (PARTITION BY doc_id ORDER BY no)),
+c0 AS (SELECT doc_id, CAST(no AS BIGINT) AS claim_id, text AS line, no, halves, nt, nh, nx, no % 10 AS r, length(text) AS n FROM dn WHERE no % 7 <> 0 AND NOT regexp_matches(text, '^\s*$')),
+c1 AS (SELECT doc_id, claim_id,
+    CASE WHEN r = 0 THEN 'Zq' || no || ' xw unfounded vk statement' WHEN r = 1 THEN line[1:3] WHEN r = 2 THEN line[1:4] WHEN r = 3 AND nt IS NOT NULL THEN line || ' ' || nt
+      WHEN r = 5 AND (n >= 20 OR n <= 11) THEN line[1 : n // 2] || '§' || line[n // 2 + 2 :] WHEN halves IS NOT NULL THEN halves ELSE line END AS text,
+    CASE WHEN r = 3 AND nt IS NOT NULL THEN [no, no + 1] WHEN r = 4 AND nt IS NOT NULL THEN [no + 1, no] WHEN r = 6 THEN [no, 100000] WHEN r = 8 THEN CAST([] AS INT[]) ELSE [no] END AS cited,
+    CASE WHEN r = 3 AND nt IS NOT NULL THEN line || ' ' || nt WHEN r = 4 AND nt IS NOT NULL THEN nt || ' ' || line WHEN r = 8 THEN NULL ELSE line END AS joined,
+    CASE WHEN r = 3 AND nt IS NOT NULL AND coalesce(halves, nx) IS NOT NULL THEN coalesce(halves, line) || ' ' || nh WHEN r = 4 AND nt IS NOT NULL AND coalesce(halves, nx) IS NOT NULL THEN nh || ' ' || coalesce(halves, line) WHEN r NOT IN (3, 4, 8) OR (r IN (3, 4) AND nt IS NULL) THEN halves END AS apart,
+    CASE WHEN r = 6 THEN 1 ELSE 0 END AS missing FROM c0),
+c2 AS (SELECT doc_id, CAST(0 AS BIGINT) AS claim_id, 'Out of range' AS text, [100000] AS cited, '' AS joined, CAST(NULL AS VARCHAR) AS apart, 1 AS missing FROM documents WHERE doc_id % 10 = 0),
+claims AS (SELECT *, len(cited) AS n_cited FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c2)),
+""" + _judged("claims", "doc_id, claim_id, cited") + """,
+judged AS (SELECT * FROM jd),
+fl AS (SELECT doc_id, unnest(CASE WHEN len(cited) = 0 THEN [0] ELSE cited END) AS no, CASE WHEN missing > 0 THEN 'source_line_out_of_range' ELSE 'hallucinated_span' END AS reason FROM judged WHERE NOT ok)
 """
 
 
+def claimed_document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents; every ninth counts as joined of two halves."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    halves = F.array(F.concat(F.substring(F.col("text"), F.lit(1), half), F.lit("-")), F.substring(F.col("text"), half + 1, F.length("text")))
+    return document_lines(spark, sf_dir).withColumn("unjoined", F.when(F.col("no") % 9 == 0, halves).otherwise(F.array().cast("array<string>")))
+
+
 def document_claims(lines: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    made_up = F.concat(F.lit("Zq"), F.col("no").cast("string"), F.lit(" xw unfounded vk statement"))
-    own = lines.where((F.col("no") % 7 != 0) & ~T.is_blank(F.col("text"))).select(
-        "doc_id", F.col("no").cast("long").alias("claim_id"), F.when(F.col("no") % 5 == 0, made_up).otherwise(F.col("text")).alias("text"), F.array("no").alias("source_lines"))
+    r, n, no, text = F.col("no") % 10, F.length("text"), F.col("no"), F.col("text")
+    after = F.lead("text").over(Window.partitionBy("doc_id").orderBy("no"))
+    rows = lines.withColumn("nt", after).where((no % 7 != 0) & ~T.is_blank(text))
+    half = F.floor(n / 2).cast("int")
+    changed = F.concat(F.substring(text, F.lit(1), half), F.lit("§"), F.substring(text, half + 2, n))
+    two = F.col("nt").isNotNull()
+    said = (
+        F.when(r == 0, F.concat(F.lit("Zq"), no.cast("string"), F.lit(" xw unfounded vk statement")))
+        .when(r == 1, F.substring("text", 1, 3))
+        .when(r == 2, F.substring("text", 1, 4))
+        .when((r == 3) & two, F.concat_ws(" ", "text", "nt"))
+        .when((r == 5) & ((n >= 20) | (n <= 11)), changed)
+        .when(F.size("unjoined") > 0, F.array_join("unjoined", " "))
+        .otherwise(text)
+    )
+    cited = F.when((r == 3) & two, F.array(no, no + 1)).when((r == 4) & two, F.array(no + 1, no)).when(r == 6, F.array(no, F.lit(100000))).when(r == 8, F.array().cast("array<int>")).otherwise(F.array(no))
+    own = rows.select("doc_id", no.cast("long").alias("claim_id"), said.alias("text"), cited.alias("source_lines"))
     docs = table(spark, sf_dir, "documents").where("doc_id % 10 = 0")
     return own.unionByName(docs.select("doc_id", F.lit(0).cast("long").alias("claim_id"), F.lit("Out of range").alias("text"), F.array(F.lit(100000)).alias("source_lines")))
 
 
 def judged_claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lines = document_lines(spark, sf_dir)
+    lines = claimed_document_lines(spark, sf_dir)
     return lines, V.verify(document_claims(lines, spark, sf_dir), lines)
 
 
-@query(f"""WITH {_CLAIMS} SELECT doc_id, claim_id, ok AS verified, CASE WHEN ok THEN 'ok' ELSE 'hallucinated' END AS flag,
- CASE WHEN ok THEN NULL WHEN cited = 100000 THEN 'source_line_out_of_range' ELSE 'hallucinated_span' END AS reason FROM judged""")
+@query(f"""WITH RECURSIVE {_CLAIMS} SELECT doc_id, claim_id, ok AS verified, CASE WHEN ok THEN 'ok' ELSE 'hallucinated' END AS flag,
+ CASE WHEN ok THEN NULL WHEN missing > 0 THEN 'source_line_out_of_range' ELSE 'hallucinated_span' END AS reason FROM judged""")
 def verify_claims(spark, sf_dir):
     return judged_claims(spark, sf_dir)[1].select("doc_id", "claim_id", "verified", "flag", "reason")
 
 
-_STATES = _CLAIMS + """,
-st AS (SELECT l.doc_id, l.no, trim(l.text) <> '' AS live, bool_or(j.cited IS NOT NULL) AS claimed, bool_or(coalesce(j.ok, false)) AS represented
-       FROM dl l LEFT JOIN judged j ON j.doc_id = l.doc_id AND j.cited = l.no GROUP BY 1, 2, 3),
+#: A plain field of each document: its first line, made up, or two words of it; its object cites up to three lines.
+_FIELDS = r"""
+f0 AS (SELECT doc_id, no, text FROM dl WHERE no <= 3),
+f1 AS (SELECT doc_id, list(no ORDER BY no) AS cited, string_agg(text, ' ' ORDER BY no) AS joined, any_value(text) FILTER (WHERE no = 1) AS line FROM f0 GROUP BY 1),
+f2 AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN line WHEN 1 THEN 'Qx' || doc_id || ' Holdings' ELSE split_part(line, ' ', 1) || ' ' || split_part(line, ' ', 2) END AS text FROM f1),
+f3 AS (SELECT doc_id, 0 AS no, text, joined, cited FROM f2 WHERE length(trim(text)) >= 4 UNION ALL SELECT f2.doc_id, f0.no, f2.text, f0.text, cited FROM f2 JOIN f0 USING (doc_id) WHERE length(trim(f2.text)) >= 4),
+f4 AS (SELECT *, CAST(NULL AS VARCHAR) AS apart, 0 AS missing, 1 AS n_cited FROM f3),
+""" + _judged("f4", "doc_id, no").replace("\nkd AS", "\nfkd AS").replace(" FROM kd)", " FROM fkd)")
+for _name in ("ex", "sh", "lc", "ls", "pc", "pp", "po", "jd"):
+    _FIELDS = re.sub(rf"\b{_name}\b(?=[ .)\n])", f"f{_name}", _FIELDS)
+
+
+def document_fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    lines = document_lines(spark, sf_dir)
+    k, words = F.col("doc_id") % 4, F.split("text", " ")
+    two = F.concat(F.coalesce(F.get(words, F.lit(0)), F.lit("")), F.lit(" "), F.coalesce(F.get(words, F.lit(1)), F.lit("")))
+    value = F.when(k == 0, F.col("text")).when(k == 1, F.concat(F.lit("Qx"), F.col("doc_id").cast("string"), F.lit(" Holdings"))).otherwise(two)
+    cited = F.array_sort(F.collect_set("no")).alias("source_lines")
+    fields = lines.where("no <= 3").withColumn("value", F.when(F.col("no") == 1, value)).groupBy("doc_id").agg(F.max("value").alias("value"), cited)
+    return fields.select("doc_id", F.lit("experience.0").alias("object_path"), F.lit("company").alias("field"), "value", "source_lines"), lines
+
+
+@query(f"WITH RECURSIVE {DL}, {_FIELDS} SELECT doc_id, 1 AS no, 'unsourced_company' AS reason FROM fjd WHERE no = 0 AND NOT ok")
+def bare_field_flags(spark, sf_dir):
+    fields, lines = document_fields(spark, sf_dir)
+    return V.bare_fields(fields, lines)[0]
+
+
+@query(f"WITH RECURSIVE {DL}, {_FIELDS} SELECT doc_id, no FROM fjd WHERE no > 0 AND ok")
+def bare_field_lines(spark, sf_dir):
+    fields, lines = document_fields(spark, sf_dir)
+    return V.bare_fields(fields, lines)[1]
+
+
+_STATES = _CLAIMS + "," + _FIELDS + """,
+af AS (SELECT * FROM fl UNION ALL SELECT doc_id, 1 AS no, 'unsourced_company' AS reason FROM fjd WHERE no = 0 AND NOT ok),
+ci AS (SELECT doc_id, unnest(cited) AS no, ok FROM judged UNION ALL SELECT doc_id, no, true AS ok FROM fjd WHERE no > 0 AND ok),
+cl AS (SELECT doc_id, no, bool_or(ok) AS represented FROM ci GROUP BY 1, 2),
+st AS (SELECT l.doc_id, l.no, NOT regexp_matches(l.text, '^\\s*$') AS live, cl.no IS NOT NULL AS claimed, coalesce(cl.represented, false) AS represented FROM dl l LEFT JOIN cl ON cl.doc_id = l.doc_id AND cl.no = l.no),
+ag AS (SELECT doc_id, string_agg(no || ':' || reason, ',' ORDER BY no, reason) AS flagged FROM (SELECT DISTINCT doc_id, no, reason FROM af) GROUP BY 1),
 rp AS (SELECT doc_id, count(*) AS total_lines, count(*) FILTER (WHERE live) AS non_blank_lines, count(*) FILTER (WHERE live AND claimed) AS claimed_lines,
        count(*) FILTER (WHERE live AND represented) AS represented_lines,
        coalesce(string_agg(CAST(no AS VARCHAR), ',' ORDER BY no) FILTER (WHERE live AND NOT claimed), '') AS unassigned,
        coalesce(string_agg(CAST(no AS VARCHAR), ',' ORDER BY no) FILTER (WHERE live AND claimed AND NOT represented), '') AS claimed_not_represented FROM st GROUP BY doc_id),
-rq AS (SELECT *, CAST(CASE WHEN non_blank_lines > 0 THEN round_even(100.0 * claimed_lines / non_blank_lines, 2) ELSE 100 END AS DOUBLE) AS coverage_pct,
-       CAST(CASE WHEN non_blank_lines > 0 THEN round_even(100.0 * represented_lines / non_blank_lines, 2) ELSE 100 END AS DOUBLE) AS represented_pct FROM rp)
+rq AS (SELECT rp.*, coalesce(flagged, '') AS flagged, CAST(CASE WHEN non_blank_lines > 0 THEN round_even(100.0 * claimed_lines / non_blank_lines, 2) ELSE 100 END AS DOUBLE) AS coverage_pct,
+       CAST(CASE WHEN non_blank_lines > 0 THEN round_even(100.0 * represented_lines / non_blank_lines, 2) ELSE 100 END AS DOUBLE) AS represented_pct FROM rp LEFT JOIN ag ON ag.doc_id = rp.doc_id)
 """
 
 
 def document_report(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(states of all lines, report with flags, flags) of claims and plain fields together; verdicts are worked out once."""
     lines, judged = judged_claims(spark, sf_dir)
-    states = C.line_states(lines, C.claimed_lines(judged), C.represented_lines(judged))
-    return states, C.report(states), judged
+    judged = settled(judged.select("doc_id", "claim_id", "source_lines", "verified", "flag", "reason"))
+    unsourced, borne = V.bare_fields(*document_fields(spark, sf_dir))
+    borne = settled(borne)
+    states = C.line_states(lines, C.claimed_lines(judged).unionByName(borne), C.represented_lines(judged).unionByName(borne))
+    flags = V.flags(judged).unionByName(unsourced)
+    return states, C.report(states, flags), flags
 
 
 def _listed(name: str):
     return F.array_join(F.transform(name, lambda n: n.cast("string")), ",").alias(name)
 
 
-@query(f"WITH {_STATES} SELECT * FROM rq")
+@query(f"WITH RECURSIVE {_STATES} SELECT * FROM rq")
 def coverage_report(spark, sf_dir):
     _, report, _ = document_report(spark, sf_dir)
-    return report.select("doc_id", "total_lines", "non_blank_lines", "claimed_lines", "represented_lines", _listed("unassigned"), _listed("claimed_not_represented"), "coverage_pct", "represented_pct")
+    return report.select("doc_id", "total_lines", "non_blank_lines", "claimed_lines", "represented_lines", _listed("unassigned"), _listed("claimed_not_represented"), F.array_join(F.transform("flagged", lambda f: F.concat_ws(":", f["no"].cast("string"), f["reason"])), ",").alias("flagged"), "coverage_pct", "represented_pct")
 
 
-@query(f"""WITH {_STATES} SELECT count(*) AS n_docs, CAST(round_even(avg(coverage_pct), 4) AS DOUBLE) AS mean_coverage, min(coverage_pct) AS min_coverage,
+@query(f"""WITH RECURSIVE {_STATES} SELECT count(*) AS n_docs, CAST(round_even(avg(coverage_pct), 4) AS DOUBLE) AS mean_coverage, min(coverage_pct) AS min_coverage,
  CAST(round_even(avg(represented_pct), 4) AS DOUBLE) AS mean_represented, min(represented_pct) AS min_represented, CAST(round_even(avg(coverage_pct - represented_pct), 4) AS DOUBLE) AS mean_gap FROM rq""")
 def corpus_summary(spark, sf_dir):
     return C.summary(document_report(spark, sf_dir)[1])
 
 
-@query(f"WITH {_STATES} SELECT doc_id, represented_pct FROM rq ORDER BY represented_pct, doc_id LIMIT 5")
+@query(f"WITH RECURSIVE {_STATES} SELECT doc_id, represented_pct FROM rq ORDER BY represented_pct, doc_id LIMIT 5")
 def worst_documents(spark, sf_dir):
     return document_report(spark, sf_dir)[1].select("doc_id", "represented_pct").orderBy("represented_pct", "doc_id").limit(5)
 
 
-@query(f"""WITH {_CLAIMS}, fl AS (SELECT doc_id, cited AS no, CASE WHEN cited = 100000 THEN 'source_line_out_of_range' ELSE 'hallucinated_span' END AS reason FROM judged WHERE NOT ok)
-SELECT doc_id, no, reason, count(*) AS n FROM fl GROUP BY 1, 2, 3""")
+@query(f"""WITH RECURSIVE {_CLAIMS} SELECT doc_id, no, reason, count(*) AS n FROM fl GROUP BY 1, 2, 3""")
 def claim_flags(spark, sf_dir):
     return V.flags(judged_claims(spark, sf_dir)[1]).groupBy("doc_id", "no", "reason").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_STATES}, fl AS (SELECT DISTINCT doc_id, cited AS no FROM judged WHERE NOT ok)
-SELECT st.doc_id, st.no, CASE WHEN fl.no IS NOT NULL THEN 'flag' WHEN live AND NOT claimed THEN 'unassigned' ELSE 'claimed' END AS state
-FROM st LEFT JOIN fl ON fl.doc_id = st.doc_id AND fl.no = st.no""")
+@query(f"""WITH RECURSIVE {_STATES}, fn AS (SELECT DISTINCT doc_id, no FROM af)
+SELECT st.doc_id, st.no, CASE WHEN fn.no IS NOT NULL THEN 'flag' WHEN live AND NOT claimed THEN 'unassigned' ELSE 'claimed' END AS state
+FROM st LEFT JOIN fn ON fn.doc_id = st.doc_id AND fn.no = st.no""")
 def gutter(spark, sf_dir):
-    states, _, judged = document_report(spark, sf_dir)
-    return C.gutter(states, V.flags(judged))
+    states, _, flags = document_report(spark, sf_dir)
+    return C.gutter(states, flags)
 
 
-@query(f"WITH {_CLAIMS} SELECT doc_id, cited AS no, string_agg(CAST(claim_id AS VARCHAR), ',' ORDER BY claim_id) AS claim_ids FROM claims GROUP BY 1, 2")
+@query(f"WITH RECURSIVE {_CLAIMS} SELECT doc_id, no, string_agg(CAST(claim_id AS VARCHAR), ',' ORDER BY claim_id) AS claim_ids FROM (SELECT doc_id, claim_id, unnest(cited) AS no FROM claims) GROUP BY 1, 2")
 def reverse_index(spark, sf_dir):
-    lines = document_lines(spark, sf_dir)
+    lines = claimed_document_lines(spark, sf_dir)
     rows = C.reverse_index(document_claims(lines, spark, sf_dir))
     return rows.select("doc_id", "no", _listed("claim_ids"))
 
 
-@query(f"WITH {_STATES} SELECT st.doc_id, st.no, dl.text, CASE WHEN claimed THEN 'claimed_not_represented' ELSE 'unassigned' END AS kind FROM st JOIN dl ON dl.doc_id = st.doc_id AND dl.no = st.no WHERE live AND NOT represented")
+@query(f"WITH RECURSIVE {_STATES} SELECT st.doc_id, st.no, dl.text, CASE WHEN claimed THEN 'claimed_not_represented' ELSE 'unassigned' END AS kind FROM st JOIN dl ON dl.doc_id = st.doc_id AND dl.no = st.no WHERE live AND NOT represented")
 def proof_context(spark, sf_dir):
     states, _, _ = document_report(spark, sf_dir)
     return states.where(F.col("non_blank") & ~F.col("represented")).select("doc_id", "no", "text", F.when(F.col("claimed"), "claimed_not_represented").otherwise("unassigned").alias("kind"))
 
 
-@query(f"""WITH {_STATES} SELECT d.doc_id, r.coverage_pct, r.represented_pct, CASE WHEN r.doc_id IS NULL THEN 'empty_document' END AS failure
+@query(f"""WITH RECURSIVE {_STATES} SELECT d.doc_id, r.coverage_pct, r.represented_pct, CASE WHEN r.doc_id IS NULL THEN 'empty_document' END AS failure
 FROM documents d LEFT JOIN rq r ON r.doc_id = d.doc_id""")
 def coverage_table(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("input_ord"))
@@ -212,33 +316,6 @@ def span_fuzzy(spark, sf_dir):
     return fuzzy_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_FIELDS = DL + """,
-f AS (SELECT d.doc_id, CASE d.doc_id % 4 WHEN 0 THEN l.text WHEN 1 THEN 'Qx' || d.doc_id || ' Holdings' ELSE split_part(l.text, ' ', 1) || ' ' || split_part(l.text, ' ', 2) END AS value, l.text AS line
-      FROM documents d JOIN dl l ON l.doc_id = d.doc_id AND l.no = 1)
-"""
-
-
-def document_fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lines = document_lines(spark, sf_dir)
-    k, words = F.col("doc_id") % 4, F.split("text", " ")
-    two = F.concat(F.coalesce(F.get(words, F.lit(0)), F.lit("")), F.lit(" "), F.coalesce(F.get(words, F.lit(1)), F.lit("")))
-    value = F.when(k == 0, F.col("text")).when(k == 1, F.concat(F.lit("Qx"), F.col("doc_id").cast("string"), F.lit(" Holdings"))).otherwise(two)
-    fields = lines.where("no = 1").select("doc_id", F.lit("experience.0").alias("object_path"), F.lit("company").alias("field"), value.alias("value"), F.array(F.lit(1)).alias("source_lines"))
-    return fields, lines
-
-
-@query(f"WITH {_FIELDS} SELECT doc_id, 1 AS no, 'unsourced_company' AS reason FROM f WHERE doc_id % 4 = 1 AND length(trim(value)) >= 4")
-def bare_field_flags(spark, sf_dir):
-    fields, lines = document_fields(spark, sf_dir)
-    return V.bare_fields(fields, lines)[0]
-
-
-@query(f"WITH {_FIELDS} SELECT doc_id, 1 AS no FROM f WHERE doc_id % 4 <> 1 AND length(trim(value)) >= 4")
-def bare_field_lines(spark, sf_dir):
-    fields, lines = document_fields(spark, sf_dir)
-    return V.bare_fields(fields, lines)[1]
-
-
 @query("""SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'invalid' WHEN event_id % 5 = 0 THEN 'k_missing' ELSE 'ok' END AS verdict,
  CASE WHEN event_id % 9 = 0 OR event_id % 5 = 0 THEN NULL ELSE CAST(regexp_extract(props, '"k": ([0-9]+)', 1) AS INT) END AS k FROM events""")
 def json_validate(spark, sf_dir):
@@ -278,20 +355,22 @@ def structured_spans(spark, sf_dir):
     return K.spans_of(parsed).select("doc_id", "path", "text", F.array_join(F.transform("source_lines", lambda n: n.cast("string")), ",").alias("cited"))
 
 
-@query(f"""WITH {_STATES}, p AS (SELECT doc_id, CASE WHEN claim_id % 3 = 0 THEN 'other_sections.' || claim_id ELSE 'experience.' || claim_id % 2 || '.' || claim_id END AS path FROM claims),
+@query(f"""WITH RECURSIVE {_STATES}, p AS (SELECT doc_id, CASE WHEN claim_id % 3 = 0 THEN 'other_sections.' || claim_id ELSE 'experience.' || claim_id % 2 || '.' || claim_id END AS path FROM claims),
 q AS (SELECT doc_id, count(DISTINCT CASE WHEN path LIKE 'experience.%' THEN split_part(path, '.', 2) END) AS roles, bool_or(path LIKE 'other_sections.%') AS other FROM p GROUP BY 1)
 SELECT q.doc_id FROM q JOIN rq ON rq.doc_id = q.doc_id WHERE rq.coverage_pct = 100 AND (roles >= 2 OR other)""")
 def usable_parses(spark, sf_dir):
     n = F.col("claim_id").cast("string")
     path = F.when(F.col("claim_id") % 3 == 0, F.concat(F.lit("other_sections."), n)).otherwise(F.concat(F.lit("experience."), (F.col("claim_id") % 2).cast("string"), F.lit("."), n))
-    lines = document_lines(spark, sf_dir)
+    lines = claimed_document_lines(spark, sf_dir)
     return K.usable(document_claims(lines, spark, sf_dir).withColumn("path", path), document_report(spark, sf_dir)[1])
 
 
-@query(f"""WITH {_STATES} SELECT doc_id, coverage_pct, CAST(CASE WHEN non_blank_lines > 0 THEN 0 ELSE 100 END AS DOUBLE) AS represented_pct FROM rq""")
+@query(f"""WITH RECURSIVE {_STATES} SELECT doc_id, coverage_pct, CAST(CASE WHEN non_blank_lines > 0 THEN 0 ELSE 100 END AS DOUBLE) AS represented_pct FROM (
+ SELECT doc_id, count(*) FILTER (WHERE live) AS non_blank_lines, CAST(CASE WHEN count(*) FILTER (WHERE live) > 0 THEN round_even(100.0 * count(*) FILTER (WHERE live AND j.no IS NOT NULL) / count(*) FILTER (WHERE live), 2) ELSE 100 END AS DOUBLE) AS coverage_pct
+ FROM st LEFT JOIN (SELECT DISTINCT doc_id, unnest(cited) AS no FROM judged) j USING (doc_id, no) GROUP BY 1)""")
 def spans_deleted(spark, sf_dir):
     """All claims lose their text: coverage stays, nothing is represented."""
-    lines = document_lines(spark, sf_dir)
+    lines = claimed_document_lines(spark, sf_dir)
     emptied = K.without_spans(document_claims(lines, spark, sf_dir).withColumn("path", F.lit("x")))
     judged = V.verify(emptied, lines)
     return C.report(C.line_states(lines, C.claimed_lines(judged), C.represented_lines(judged))).select("doc_id", "coverage_pct", "represented_pct")

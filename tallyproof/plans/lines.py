@@ -45,15 +45,15 @@ def display_decomposed(spark, sf_dir):
     return rows.withColumn("s", T.display(F.col("text"))).select("doc_id", "no", F.col("s.text").alias("shown"), F.col("s.is_bullet").alias("is_bullet"))
 
 
-_KEY = "replace(lower(strip_accents(translate(regexp_replace({t}, '[ \\t]+', ' ', 'g'), '‘’‚‛“”„–—‒−―', '''''''''\"\"\"-----'))), 'ß', 'ss')"
+KEY = "replace(lower(strip_accents(translate(regexp_replace({t}, '[ \\t]+', ' ', 'g'), '‘’‚‛“”„–—‒−―', '''''''''\"\"\"-----'))), 'ß', 'ss')"
 
 
-@query(f"WITH {DL} SELECT {_KEY.replace('{t}', 'trim(text)')} AS match_key, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM dl GROUP BY 1")
+@query(f"WITH {DL} SELECT {KEY.replace('{t}', 'trim(text)')} AS match_key, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM dl GROUP BY 1")
 def match_key_lookup(spark, sf_dir):
-    distinct = document_lines(spark, sf_dir).groupBy("text").agg(F.collect_set("doc_id").alias("ids"), F.count("*").alias("n"))
-    keyed = distinct.select(T.match_key("text").alias("match_key"), "ids", "n")
-    docs = keyed.select("match_key", F.explode("ids").alias("doc_id")).groupBy("match_key").agg(F.countDistinct("doc_id").alias("n_docs"))
-    return keyed.groupBy("match_key").agg(F.sum("n").alias("n_lines")).join(docs, "match_key")
+    # equal lines of one document are counted before their key is worked out; no list of documents is gathered
+    each = document_lines(spark, sf_dir).groupBy("doc_id", "text").agg(F.count("*").alias("n"))
+    keyed = each.select("doc_id", T.match_key("text").alias("match_key"), "n").groupBy("match_key", "doc_id").agg(F.sum("n").alias("n"))
+    return keyed.groupBy("match_key").agg(F.sum("n").alias("n_lines"), F.count("*").alias("n_docs"))
 
 
 @query(f"""WITH {DL} SELECT CASE WHEN regexp_matches(text, '[\\x{{0590}}-\\x{{08FF}}\\x{{FB1D}}-\\x{{FDFF}}\\x{{FE70}}-\\x{{FEFF}}]') THEN 'rtl'
