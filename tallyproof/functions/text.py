@@ -30,28 +30,38 @@ BLANK = r"^\p{IsWhite_Space}*$"
 # ---- Unicode, in Arrow UDFs
 
 
+#: Encodings that UTF-8 is read by mistake as, with letters that then show, the shortest run that is taken for such a mistake.
+MISREAD = (("cp1252", "ÃÂâ€ðŸÄÅÐÑÎÏØÙ×", 2), ("cp1251", "РС", 4), ("mac_roman", "√¬‚Äàâ", 2), ("cp437", "├╬Γ┬", 2), ("cp1250", "ĂÂâĹÄ", 2))
+_MARKS = frozenset("".join(m for _, m, _ in MISREAD))
+_RUN = re.compile(r"[^\x00-\x7f]+")
+
+
 def repair(text: str) -> str:
-    """Undoes UTF-8 read as Windows-1252, where that gives valid text; only where
-    its marks are there. Quotes stay curled."""
-    if text.isascii() or not any(c in text for c in "ÃÂâ€ðŸ"):
-        return text
-    out = re.sub(r"[^\x00-\x7f]+", _undo, text)
-    return out
+    """Undoes UTF-8 read as one of MISREAD, also twice over, in runs where that gives
+    valid text; only where its marks are there. Quotes stay curled."""
+    for _ in range(3):
+        if text.isascii() or _MARKS.isdisjoint(text):
+            return text
+        was, text = text, _RUN.sub(_undo, text)
+        if was == text:
+            return text
+    return text
 
 
 def _undo(m: re.Match) -> str:
-    raw = bytearray()
-    for c in m.group():
+    run = m.group()
+    for name, marks, least in MISREAD:
+        if len(run) < least or run[0] not in marks:
+            continue
+        raw = bytearray()
         try:
-            raw += c.encode("cp1252")
-        except UnicodeEncodeError:
-            if ord(c) > 255:
-                return m.group()
-            raw.append(ord(c))
-    try:
-        return raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return m.group()
+            for c in run:
+                # bytes that the code page leaves open come through as control characters
+                raw += bytes([ord(c)]) if 128 <= ord(c) < 160 else c.encode(name)
+            return raw.decode("utf-8")
+        except UnicodeError:
+            continue
+    return run
 
 
 _DROP = re.compile("[-\U000f0000-\U000ffffd\U00100000-\U0010fffd​-‍﻿⁠­]")

@@ -3,8 +3,13 @@ specification; nothing to compare with exists)."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from tallyproof.functions.fuzzy import ratio
+from tallyproof.sources.files import settled
 
 
 def plain(html: Column) -> Column:
@@ -29,6 +34,54 @@ def sorted_tokens(text: Column) -> Column:
     return F.array_join(F.array_sort(F.split(text, " ")), " ")
 
 
+def token_ratio(a: str, b: str) -> float:
+    """Likeness of two keys with their words in alphabetical order, 0 to 100."""
+    return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+
+
+def near_keys(jobs: DataFrame, least: float = 92.0) -> DataFrame:
+    """(key, of): each distinct key of `jobs`(company, key) and the smallest key that
+    chains of likenesses of `least` or more lead to, within one company.
+
+    A likeness of 92 leaves room for few changed letters, so that of one more pieces
+    of the shorter string one stands whole in the other: keys meet over equal pieces,
+    never all with all. What is alike is checked in one Arrow UDF.
+    """
+    room = 2 * (1 - least / 100)
+    keys = jobs.select(F.trim(F.lower("company")).alias("co"), "key").distinct().withColumn("s", sorted_tokens(F.replace("key", F.lit("|"), F.lit(" "))))
+    n = F.length("s")
+    pieces = lambda m: F.floor(m * room).cast("int") + 1  # noqa: E731  letters that may differ if m is the shorter length, and one
+    size = lambda m: F.floor(m / pieces(m)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), pieces(n) - 1), lambda j: F.substring(F.col("s"), (j * size(n)).cast("int") + 1, size(n)))
+    own = keys.where("s <> ''").select("co", F.col("key").alias("a"), F.col("s").alias("sa"), F.explode(F.array_distinct(cut)).alias("gram"))
+    # the other side shows all its pieces, of each length that a shorter partner could have
+    shortest = F.greatest(F.lit(1), F.floor(n * (1 - room)).cast("int"))
+    sizes = F.array_distinct(F.transform(F.sequence(shortest, n), size))
+    grams = F.flatten(F.transform(sizes, lambda q: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - q + 1)), lambda i: F.substring(F.col("s"), i, q))))
+    other = keys.where("s <> ''").select("co", F.col("key").alias("b"), F.col("s").alias("sb"), F.explode(F.array_distinct(grams)).alias("gram"))
+    pairs = own.join(other, ["co", "gram"]).where("a <> b and length(sa) <= length(sb)").select("a", "b").distinct()
+    alike = pairs.where(_token_ratio("a", "b") >= least)
+    both = settled(alike.unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    found = settled(keys.select("key", F.col("key").alias("of")).distinct())
+    while True:  # the smallest key spreads along chains, one link or more a round
+        spread = both.join(found, both["b"] == found["key"]).groupBy("a").agg(F.min("of").alias("low"))
+        further = settled(found.join(spread, found["key"] == spread["a"], "left").select("key", F.least("of", "low").alias("of")))
+        if not further.join(found.withColumnRenamed("of", "was"), "key").where("of <> was").limit(1).count():
+            return further
+        found = further
+
+
+@F.pandas_udf(DoubleType())
+def _token_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([token_ratio(x.replace("|", " "), y.replace("|", " ")) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def near_duplicates(jobs: DataFrame, fields: list[str], least: float = 92.0) -> DataFrame:
+    """`duplicates`, with keys that are nearly alike counted as one."""
+    of = near_keys(jobs, least)
+    return duplicates(jobs.join(of, "key").withColumnRenamed("key", "__own").withColumnRenamed("of", "key"), fields).drop("key").withColumnRenamed("__own", "key")
+
+
 def duplicates(jobs: DataFrame, fields: list[str]) -> DataFrame:
     """`jobs(job_id, key, ...)` with duplicate_of: the fullest row of a key stays,
     ties go to the smallest id."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyproof.functions.text import slug, valid_id
+
 
 def patch(values: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
     """`values(keys, value)` with edits over them: an edit wins even if it is empty."""
@@ -71,6 +73,45 @@ def profile_rows(raw: DataFrame) -> DataFrame:
     return raw.select("person_id", F.coalesce(at["display_name"], F.lit("")).alias("display_name"), at["active_sha"].alias("active_sha"), F.coalesce(F.size(answers), F.lit(0)).alias("n_answers"), answers.isNotNull().alias("answered"))
 
 
+def lifted(legacy: DataFrame, people: DataFrame) -> DataFrame:
+    """A single profile of the old layout (content) as the person `default`, named Me:
+    only where there are no people yet and the content can be read; else no row."""
+    read = profile_rows(legacy.select(F.lit("default").alias("person_id"), "content"))
+    good = legacy.select(F.from_json("content", "version int, answers map<string, array<string>>, eeo struct<answers: map<string, array<string>>>").alias("at"))
+    sound = good.where("at.version is not null or at.answers is not null or at.eeo is not null").select(F.lit("default").alias("person_id")).distinct()
+    empty = people.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("default").alias("person_id"))  # one row or none
+    return read.withColumn("display_name", F.lit("Me")).join(sound, "person_id", "left_semi").join(empty, "person_id", "left_semi")
+
+
+def create_people(people: DataFrame, names: DataFrame) -> DataFrame:
+    """(person_id, display_name) of new people: the slug of the name, with -2, -3 and so
+    on where it is taken already or by another new one (names come in order `ord`). Names
+    that leave no slug get a null id."""
+    made = names.withColumn("slug", slug(F.col("display_name")))
+    taken = people.select(F.regexp_extract("person_id", r"^(.*?)(?:-(\d+))?$", 1).alias("stem"), "person_id").select("person_id", F.explode(F.array_distinct(F.array("stem", "person_id"))).alias("slug"))
+    held = taken.groupBy("slug").agg(F.collect_set("person_id").alias("held"))
+    nr = F.row_number().over(Window.partitionBy("slug").orderBy("ord"))
+    rows = made.withColumn("nr", nr).join(held, "slug", "left").withColumn("held", F.coalesce("held", F.array().cast("array<string>")))
+    most = (F.size("held") + F.col("nr")).cast("int")
+    tried = F.transform(F.sequence(F.lit(1), most), lambda k: F.when(k == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), k.cast("string"))))
+    free = F.get(F.filter(tried, lambda t: ~F.array_contains("held", t)), F.col("nr") - 1)
+    return rows.select(F.when(F.col("slug") != "", free).alias("person_id"), "display_name")
+
+
+def delete_person(people: DataFrame, person_id: str, edits: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(people left, stored parses that nobody names any more): the person goes, shared
+    parses stay, for others may have them too."""
+    left = people.where(F.col("person_id") != person_id)
+    named = edits.join(left.select("person_id"), "person_id", "left_semi").select("sha")
+    return left, orphans(stored, left.select(F.col("active_sha").alias("sha")), named)
+
+
+def active_person(pointer: DataFrame, people: DataFrame) -> DataFrame:
+    """(person_id) that the pointer names, if there is such a person and the id is a
+    valid one; no row otherwise, as if nobody had been chosen."""
+    return pointer.where(valid_id(F.col("person_id"))).select("person_id").distinct().join(people.select("person_id"), "person_id", "left_semi")
+
+
 def resolve_person(requests: DataFrame, people: DataFrame) -> DataFrame:
     """Who a request is for: the one it asks for, who must exist; else the active
     one; else the only one. (request_id, person_id, error)."""

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyproof.functions import text as T
-from tallyproof.operators import claims as K, coverage as C, verify as V, views
+from tallyproof.operators import claims as K, coverage as C, tree, verify as V, views
 from tallyproof.plans.base import DL, query, table
 from tallyproof.plans.lines import KEY, document_lines
 from tallyproof.sources.files import settled
@@ -339,20 +340,80 @@ class _Scripted:
         if self.left:
             self.left -= 1
             return ("" if self.left % 2 else "nonsense"), False
-        return '```json\n{"summary": [{"text": "ok", "source_lines": [1]}]}\n```', False
+        return f"```json\n{json.dumps(_answer(self.number))}\n```", False
+
+
+def _answer(number: int) -> dict:
+    """A tree of claims: of the role below the first, every other one is at another company."""
+    span = lambda text, *no: {"text": text, "source_lines": list(no)}
+    role = lambda company, bullet, *below: {"company": company, "title": "T", "start": {"raw": ""}, "end": {"raw": ""}, "bullets": [span(bullet, 1)], "sub_roles": list(below), "source_lines": [1, 2]}
+    return {
+        "contact": {"name": span(f"N{number}", 1), "links": [span(f"github.com/u{number}", 1), span("my portfolio", 1)], "source_lines": [1]},
+        "experience": [role("Acme", "b", role("ACME " if number % 2 else "Other", "c", role("Third", "d")))],
+        "skills": [{"name": "Python", "category": "language", "source": "skills_section", "evidence": span("e", 1, 2), "source_lines": [2]}],
+        "other_sections": [{"heading": "H", "lines": [span("o", 3)], "source_lines": [3]}],
+    }
 
 
 @query(f"""WITH {DL} SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'response_truncated' WHEN doc_id % 5 <= 2 THEN 'ok' ELSE 'validation_failed' END AS status,
  CASE WHEN doc_id % 11 = 0 THEN 1 WHEN doc_id % 5 <= 2 THEN CAST(doc_id % 5 + 1 AS INT) ELSE 3 END AS attempts FROM (SELECT DISTINCT doc_id FROM dl)""")
 def structuring_retry(spark, sf_dir):
-    asked = K.prompts(document_lines(spark, sf_dir))
+    asked = K.prompts(document_lines(spark, sf_dir), ahead="")
     return K.structured(asked, _Scripted).select("doc_id", "status", "attempts")
 
 
-@query(f"WITH {DL} SELECT doc_id, 'summary.0' AS path, 'ok' AS text, '1' AS cited FROM (SELECT DISTINCT doc_id FROM dl) WHERE doc_id % 11 <> 0 AND doc_id % 5 <= 2")
+_ANSWERED = f"""{DL}, an AS (SELECT doc_id, doc_id % 2 = 1 AS same FROM (SELECT DISTINCT doc_id FROM dl) WHERE doc_id % 11 <> 0 AND doc_id % 5 <= 2)"""
+
+
+def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.taken_apart(K.structured(K.prompts(document_lines(spark, sf_dir), ahead=""), _Scripted).where("status = 'ok'"))
+
+
+def _cited():
+    return F.array_join(F.transform("source_lines", lambda n: n.cast("string")), ",").alias("cited")
+
+
+@query(f"""WITH {_ANSWERED}, sp AS (SELECT doc_id, unnest([
+  {{'path': 'contact.name', 'text': 'N' || doc_id, 'cited': '1'}}, {{'path': 'contact.links.0', 'text': 'github.com/u' || doc_id, 'cited': '1'}}, {{'path': 'contact.links.1', 'text': 'my portfolio', 'cited': '1'}},
+  {{'path': 'experience.0.bullets.0', 'text': 'b', 'cited': '1'}}, {{'path': CASE WHEN same THEN 'experience.0.sub_roles.0.bullets.0' ELSE 'experience.1.bullets.0' END, 'text': 'c', 'cited': '1'}},
+  {{'path': CASE WHEN same THEN 'experience.1.bullets.0' ELSE 'experience.2.bullets.0' END, 'text': 'd', 'cited': '1'}},
+  {{'path': 'skills.0.evidence', 'text': 'e', 'cited': '1,2'}}, {{'path': 'other_sections.0.lines.0', 'text': 'o', 'cited': '3'}}]) AS s FROM an)
+SELECT doc_id, s.path AS path, s.text AS text, s.cited AS cited FROM sp""")
 def structured_spans(spark, sf_dir):
-    parsed = K.structured(K.prompts(document_lines(spark, sf_dir)), _Scripted).where("status = 'ok'")
-    return K.spans_of(parsed).select("doc_id", "path", "text", F.array_join(F.transform("source_lines", lambda n: n.cast("string")), ",").alias("cited"))
+    return tree.claims(answered(spark, sf_dir)).select("doc_id", "path", "text", _cited())
+
+
+@query(f"""WITH {_ANSWERED}, sp AS (SELECT doc_id, unnest([
+  {{'path': 'experience.0', 'field': 'company', 'v': 'Acme', 'cited': '1,2'}}, {{'path': 'experience.0', 'field': 'title', 'v': 'T', 'cited': '1,2'}},
+  {{'path': CASE WHEN same THEN 'experience.0.sub_roles.0' ELSE 'experience.1' END, 'field': 'company', 'v': CASE WHEN same THEN 'ACME ' ELSE 'Other' END, 'cited': '1,2'}}, {{'path': CASE WHEN same THEN 'experience.0.sub_roles.0' ELSE 'experience.1' END, 'field': 'title', 'v': 'T', 'cited': '1,2'}},
+  {{'path': CASE WHEN same THEN 'experience.1' ELSE 'experience.2' END, 'field': 'company', 'v': 'Third', 'cited': '1,2'}}, {{'path': CASE WHEN same THEN 'experience.1' ELSE 'experience.2' END, 'field': 'title', 'v': 'T', 'cited': '1,2'}},
+  {{'path': 'skills.0', 'field': 'name', 'v': 'Python', 'cited': '2'}}]) AS s FROM an)
+SELECT doc_id, s.path AS object_path, s.field AS field, s.v AS value, s.cited AS cited FROM sp""")
+def structured_fields(spark, sf_dir):
+    return tree.fields(answered(spark, sf_dir)).select("doc_id", "object_path", "field", "value", _cited())
+
+
+@query(f"""WITH {_ANSWERED} SELECT doc_id, path, label FROM an, (VALUES ('contact.links.0', 'GitHub'), ('contact.links.1', 'Portfolio')) v(path, label)""")
+def structured_links(spark, sf_dir):
+    """Both links name their service themselves."""
+    parts = settled(answered(spark, sf_dir))
+    return tree.labelled(tree.claims(parts), document_lines(spark, sf_dir)).select("doc_id", "path", "label")
+
+
+#: Payloads that are sound or not, by the rest of a key, and what is wrong with each.
+_PAYLOADS = (
+    (_answer(1), ""), ({}, "contact: missing"), ([], "an object is needed"), ({"contact": {"emails": "x"}}, "contact.emails: a list is needed"),
+    ({"contact": {}, "summary": {"text": "t", "source_lines": ["1"]}}, "summary.source_lines: a list of numbers is needed"),
+    ({"contact": {}, "experience": [{**_answer(1)["experience"][0], "sub_roles": [{"company": "A"}]}]}, "experience.0.sub_roles.0.title: missing"),
+    ({"contact": {}, "other_sections": [{"heading": 3, "source_lines": []}]}, "other_sections.0.heading: text is needed"),
+    ({"contact": {"name_confidence": "sure"}}, "contact.name_confidence: not one of high, low"), ({"contact": {}, "more": 1, "experience": []}, ""),
+)
+
+
+@query(f"""SELECT c_custkey, CASE c_custkey % {len(_PAYLOADS)} {" ".join(f"WHEN {k} THEN '{why}'" for k, (_, why) in enumerate(_PAYLOADS))} END AS problem FROM customer""")
+def payload_problems(spark, sf_dir):
+    raw = F.element_at(F.array(*(F.lit(json.dumps(p)) for p, _ in _PAYLOADS)), (F.col("c_custkey") % len(_PAYLOADS) + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", tree.problem_in(raw).alias("problem"))
 
 
 @query(f"""WITH RECURSIVE {_STATES}, p AS (SELECT doc_id, CASE WHEN claim_id % 3 = 0 THEN 'other_sections.' || claim_id ELSE 'experience.' || claim_id % 2 || '.' || claim_id END AS path FROM claims),

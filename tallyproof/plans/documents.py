@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyproof.operators import claims as K, coverage as C, lines as L, verify as V, views
+from tallyproof.operators import claims as K, coverage as C, lines as L, tree, verify as V, views
 from tallyproof.sources import docx, files
 
 
@@ -22,7 +23,7 @@ class EchoProvider:
             no, _, text = row.partition(": ")
             if text.strip():
                 spans.append({"text": text, "source_lines": [int(no)]})
-        return json.dumps({"other_sections": spans}), False
+        return json.dumps({"contact": {}, "other_sections": [{"heading": "", "lines": spans, "source_lines": []}]}), False
 
 
 K.register("echo", EchoProvider)
@@ -46,26 +47,37 @@ def extract(spark: SparkSession, path: str, recursive: bool = False) -> tuple[Da
     return files.settled(found.drop("content")), files.settled(lines), dropped
 
 
-def structure(lines: DataFrame, provider: str = "echo") -> DataFrame:
-    """(sha, json, status, attempts, error); the provider is made where it runs."""
-    K.provider(provider)  # an unknown name fails here and not in every task
-    factory = K.PROVIDERS[provider]
-    return files.settled(K.structured(K.prompts(lines, "sha"), lambda _: factory(), "sha"))
+def structure(lines: DataFrame, provider: str | None = "echo", model: str | None = None) -> DataFrame:
+    """(sha, json, status, attempts, error); providers are made where they run, one for
+    each partition."""
+    name, of = K.resolved(provider, model)  # an unknown name fails here and not in every task
+    factory = K.PROVIDERS[name]
+    made = (lambda _: factory(model=of)) if "model" in inspect.signature(factory).parameters else (lambda _: factory())
+    return files.settled(K.structured(K.prompts(lines, "sha"), made, "sha", each=False))
 
 
 def verify(parsed: DataFrame, lines: DataFrame, dropped: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(judged claims, coverage report)."""
-    made = K.spans_of(parsed.where("status = 'ok'"), "sha")
-    judged = files.settled(V.verify(made, lines, ["sha", "claim_id"], "sha"))
-    states = C.line_states(lines, C.claimed_lines(judged, "sha"), C.represented_lines(judged, "sha"), dropped, "sha")
-    return judged, C.report(states, V.flags(judged, "sha"), "sha")
-
-
-def parse_many(spark: SparkSession, path: str, provider: str = "echo") -> DataFrame:
-    """A row for each file in order of its name: percentages or what went wrong."""
+    """(judged claims with the labels of links, coverage report). Roles at another
+    company are promoted as payloads are taken apart; plain fields count as
+    represented on the lines that bear them out, and are flagged where none does."""
+    parts = files.settled(tree.taken_apart(parsed.where("status = 'ok'"), "sha"))
+    made, fields = tree.claims(parts, "sha"), tree.fields(parts, "sha")
+    labels = tree.labelled(made, lines, "sha").select("sha", "claim_id", "label")
+    judged = files.settled(V.verify(made, lines, ["sha", "claim_id"], "sha").join(labels, ["sha", "claim_id"], "left"))
+    unsourced, borne = V.bare_fields(fields, lines, "sha")
+    states = C.line_states(lines, C.claimed_lines(parts, "sha"), C.represented_lines(judged, "sha").unionByName(borne), dropped, "sha")
+    return judged, C.report(states, V.flags(judged, "sha").unionByName(unsourced), "sha")
+
+
+def parse_many(spark: SparkSession, path: str, provider: str | None = "echo", model: str | None = None, out: str | None = None) -> DataFrame:
+    """A row for each file in order of its name: percentages or what went wrong. With
+    `out`, lines, claims and reports are kept there, a folder for each content key."""
     found, lines, dropped = extract(spark, path)
-    parsed = structure(lines, provider)
-    _, report = verify(parsed, lines, dropped)
+    parsed = structure(lines, provider, model)
+    judged, report = verify(parsed, lines, dropped)
+    if out:
+        for name, table in (("lines", lines), ("claims", judged), ("reports", report)):
+            files.save_keyed(table, f"{out}/{name}")
     failed = found.where("reject_code is not null").select("sha", F.col("reject_code").alias("failure"))
     failed = failed.unionByName(parsed.where("status <> 'ok'").select("sha", F.col("status").alias("failure"))).dropDuplicates(["sha"])
     targets = found.select("name", "sha", F.col("name").alias("input_ord"))

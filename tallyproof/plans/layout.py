@@ -179,10 +179,10 @@ def stream_equals_batch(spark, sf_dir):
     """Documents taken in as a stream of files; the same lines as `lines_explode`."""
     import uuid
 
+    from tallyproof.sources.files import shared_folder
     from tallyproof.streaming.ingest import ingest_lines
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/tallyproof-stream"
-    work = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    work = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "documents").schema
     ingest_lines(spark, f"{sf_dir}/documents.parque[t]", schema, f"{work}/lines", f"{work}/progress")
     return spark.read.parquet(f"{work}/lines").select("doc_id", "no", "text")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 # Elements that never become content.
 SKIPPED = frozenset(("del", "delText", "commentReference", "commentRangeStart", "commentRangeEnd", "footnoteReference", "endnoteReference", "proofErr", "bookmarkStart", "bookmarkEnd"))
+#: Bytes that the parts of one file may inflate to.
+MAX_INFLATED = 100 << 20
 _BREAKS = {"tab": "\t", "br": "\n", "cr": "\n"}
 
 
@@ -60,7 +63,7 @@ def part_blocks(xml: bytes) -> list[tuple[str, bool, bool]]:
 
 def blocks(content: bytes) -> list[tuple[int, str, str, bool, bool]] | None:
     """(seq, zone, text, from_table, is_bullet): headers, body, footers; None for a
-    file that isn't a readable DOCX."""
+    file that isn't a readable DOCX, or whose parts inflate to more than MAX_INFLATED."""
     try:
         archive = zipfile.ZipFile(io.BytesIO(content))
     except zipfile.BadZipFile:
@@ -69,8 +72,13 @@ def blocks(content: bytes) -> list[tuple[int, str, str, bool, bool]] | None:
         names = archive.namelist()
         if "word/document.xml" not in names:
             return None
+        if sum(i.file_size for i in archive.infolist() if i.filename.startswith("word/")) > MAX_INFLATED:
+            return None
         parts = [("header", n) for n in sorted(set(names)) if n.startswith("word/header")] + [("body", "word/document.xml")] + [("footer", n) for n in sorted(set(names)) if n.startswith("word/footer")]
-        rows = [(zone, *b) for zone, n in parts for b in part_blocks(archive.read(n))]
+        try:
+            rows = [(zone, *b) for zone, n in parts for b in part_blocks(archive.read(n))]
+        except (zipfile.BadZipFile, zlib.error, ElementTree.ParseError, EOFError):
+            return None
     return [(k, *r) for k, r in enumerate(rows)]
 
 

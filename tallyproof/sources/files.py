@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import io
+import os
 import tempfile
 import zipfile
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -17,12 +18,40 @@ from tallyproof.operators.lines import split_lines, text_lines
 MAX_BYTES, MIN_CHARS = 10 * 1024 * 1024, 50
 
 
+def listed(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """(path, name, size) of the files under a path, from the file system itself:
+    files of no bytes too, which Spark's readers pass over. Names alone are held."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    rows, todo = [], list(fs.globStatus(at) or [])
+    top = True
+    while todo:
+        below = []
+        for status in todo:
+            if status.isDirectory():
+                below += list(fs.listStatus(status.getPath())) if top or recursive else []
+            else:
+                rows.append((status.getPath().toString(), status.getPath().getName(), status.getLen()))
+        todo, top = below, False
+    return spark.createDataFrame(rows, "path string, name string, size long").where(~F.startswith(F.col("name"), F.lit(".")))
+
+
 def scan(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """(path, name, content) of a file or of a folder's files that aren't hidden,
-    by name. Spark's readers pass over files of no bytes at all."""
+    """(path, name, content) of a file or of a folder's files that aren't hidden, empty
+    ones included."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select("path", name.alias("name"), "content").where(~F.startswith(F.col("name"), F.lit("."))).orderBy("path")
+    full = files.select("path", name.alias("name"), "content").where(~F.startswith(F.col("name"), F.lit(".")) & (F.octet_length("content") > 0))
+    empty = listed(spark, path, recursive).where("size = 0").select("path", "name", F.lit(b"").alias("content"))
+    return full.unionByName(empty)
+
+
+def received(spark: SparkSession, uploads: list[tuple[str, bytes]]) -> DataFrame:
+    """(path, name, content) of files that come with a request, a few at a time; paths in
+    their names are cut off."""
+    rows = [(name, name.replace("\\", "/").rpartition("/")[2], bytearray(raw)) for name, raw in uploads]
+    return spark.createDataFrame(rows, "path string, name string, content binary")
 
 
 def content_key(content: Column) -> Column:
@@ -97,14 +126,26 @@ def tally(classified: DataFrame) -> DataFrame:
     return classified.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "verdict")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """`df`, computed once and kept in the shared checkpoint folder: what follows
-    neither repeats its work (or a model's answers) nor depends on lost executors.
-    Only where no folder is set, a temporary one of this machine is."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only where that isn't set and the session is
+    a local one, a temporary one of this machine."""
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not folder and sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = sc._jsc.sc().getCheckpointDir().get()
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tallyproof-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyproof-"))
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """`df`, computed once and kept in the shared checkpoint folder: what follows
+    neither repeats its work (or a model's answers) nor depends on lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -117,6 +158,45 @@ def save_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+def save_keyed(df: DataFrame, path: str, key: str = "sha") -> None:
+    """A folder for each key, replaced as a whole where the key comes again; other
+    keys stay as they are."""
+    df.withColumn("__key", F.col(key)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__key").parquet(path)
+
+
+def load_keyed(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    """All that `save_keyed` kept, or one key's own: only its folder is read."""
+    rows = spark.read.parquet(path)
+    return (rows if key is None else rows.where(F.col("__key") == key)).drop("__key")
+
+
+def copies(classified: DataFrame, folder: str) -> DataFrame:
+    """(path, target): where accepted files go if they are sorted into a folder for
+    each kind; equal names get a number, in order of their paths."""
+    good = classified.where("reject_code is null").select("path", "name", "kind")
+    nr = F.row_number().over(Window.partitionBy("kind", "name").orderBy("path"))
+    stem, end = F.regexp_extract("name", r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"^.+?(\.[^.]*)?$", 1)
+    name = F.when(nr == 1, F.col("name")).otherwise(F.concat(stem, F.lit("-"), nr.cast("string"), end))
+    return good.select("path", F.concat_ws("/", F.lit(folder.rstrip("/")), "kind", name).alias("target"))
+
+
+def copy_sorted(spark: SparkSession, classified: DataFrame, folder: str) -> DataFrame:
+    """Copies accepted files as `copies` says, on the executors by pyarrow; gives what was copied."""
+    from pyarrow import fs
+
+    def run(batches):
+        for batch in batches:
+            for target, content in zip(batch["target"], batch["content"], strict=True):
+                at, path = fs.FileSystem.from_uri(target)
+                at.create_dir(path.rpartition("/")[0], recursive=True)
+                with at.open_output_stream(path, compression=None) as out:
+                    out.write(bytes(content))
+            yield batch[["path", "target"]]
+
+    root = folder if "://" in folder else f"file://{os.path.abspath(folder)}"
+    return settled(copies(classified, root).join(classified.select("path", "content"), "path").mapInPandas(run, "path string, target string"))
+
+
 def cached(spark: SparkSession, path: str, sha: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("sha") == sha)
 

@@ -1,10 +1,12 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyproof.__main__ import main
 from tallyproof.operators import claims as K
 from tallyproof.plans import documents as D
+from tallyproof.sources import files
 
 from tests.test_store import DOC, zipped
 
@@ -40,6 +42,33 @@ def test_batch(spark, folder):
     assert got == [("a.txt", 100.0, 100.0, None), ("b.txt", 100.0, 100.0, None), ("c.rtf", None, None, "unsupported_format"), ("d.txt", None, None, "empty_document"), ("e.docx", 100.0, 100.0, None), ("f.docx", None, None, "empty_document")]
 
 
+class Nested:
+    """Claims with a role at another company, plain fields of which one is made up, and a link."""
+
+    def propose(self, messages):
+        span = lambda text, *no: {"text": text, "source_lines": list(no)}
+        role = lambda company, title, bullet, *below: {"company": company, "title": title, "start": {"raw": ""}, "end": {"raw": ""}, "bullets": [bullet], "sub_roles": list(below), "source_lines": bullet["source_lines"]}
+        inner = role("Northern Lights", "Ran it for years", span("Ran it for years and years", 4))
+        outer = role("Jane Morgan", "Builder of orders", span("Built a high-throughput pipeline for orders.", 3), inner)
+        return json.dumps({"contact": {"name": span("Jane Morgan", 1), "links": [span("github.com/jane", 1)], "source_lines": [1]}, "experience": [outer]}), False
+
+
+def test_nested_claims(spark, folder, tmp_path):
+    K.register("nested", Nested)
+    _, lines, dropped = D.extract(spark, folder)
+    parsed = D.structure(lines, "nested")
+    judged, report = D.verify(parsed, lines, dropped)
+    sha = lines.where("text = 'Jane Morgan'").first()["sha"]
+    own = {r["path"]: (r["flag"], r["label"]) for r in judged.where(F.col("sha") == sha).collect()}
+    assert own == {"contact.name": ("ok", None), "contact.links.0": ("hallucinated", "GitHub"), "experience.0.bullets.0": ("ok", None), "experience.1.bullets.0": ("ok", None)}
+    r = report.where(F.col("sha") == sha).first()
+    assert (r["coverage_pct"], r["represented_pct"]) == (100.0, 100.0)
+    assert [tuple(f) for f in r["flagged"]] == [(1, "hallucinated_span"), (3, "unsourced_company"), (3, "unsourced_title"), (4, "unsourced_company")]
+    D.parse_many(spark, folder, "nested", out=str(tmp_path / "kept")).collect()
+    kept = files.load_keyed(spark, str(tmp_path / "kept/claims"), sha)
+    assert kept.count() == 4
+
+
 def test_failing_provider(spark, folder):
     K.register("mute", lambda: K.TableProvider([]))
     got = {r["name"]: r["failure"] for r in D.parse_many(spark, folder, "mute").collect()}

@@ -21,11 +21,11 @@ def test_patch_keeps_empty_edits(spark):
 
 def test_carry(spark):
     kv = "path string, value string"
-    edits = spark.createDataFrame([("name", "E"), ("experience.9.title", "F"), ("experience.0.title", "G")], kv)
-    old = spark.createDataFrame([("name", "n"), ("experience.0.title", "Aiva")], kv)
-    new = spark.createDataFrame([("name", "n"), ("experience.0.title", "Northwind")], kv)
-    got = O.carry(edits, new, old, new, ["path"]).collect()
-    assert [tuple(r) for r in got] == [("name", "E")]
+    edits = spark.createDataFrame([("summary", "kept"), ("skills.4.name", "no such place"), ("projects.1.name", "value moved on"), ("education.0.degree", "was null")], kv)
+    old = spark.createDataFrame([("summary", "s"), ("projects.1.name", "Tidal map"), ("education.0.degree", None)], kv)
+    new = spark.createDataFrame([("summary", "s"), ("projects.1.name", "River map"), ("education.0.degree", None)], kv)
+    got = sorted(tuple(r) for r in O.carry(edits, new, old, new, ["path"]).collect())
+    assert got == [("education.0.degree", "was null"), ("summary", "kept")]
 
 
 def test_orphans_and_upsert(spark):
@@ -58,6 +58,41 @@ def test_roles(spark):
     assert [(r["depth"], r["parse_path"]) for r in flat] == [(0, "experience.0"), (1, "experience.0.sub_roles.0"), (2, "experience.0.sub_roles.0.sub_roles.0")]
 
 
+def test_deep_roles(spark):
+    """Deeper than any fixed number of levels, and positions beyond six digits."""
+    n = 70
+    chain = [(1, i, i - 1 if i else None, 2_000_000 if i == 1 else 0, "A", f"t{i}") for i in range(n)] + [(1, 900, 0, 3, "A", "small"), (1, 901, 902, 0, "A", "ring"), (1, 902, 901, 0, "A", "ring"), (1, 903, 77_777, 0, "A", "orphan")]
+    roles = spark.createDataFrame(chain, ROLES)
+    flat = R.flatten(roles).orderBy("position").collect()
+    assert len(flat) == n + 1 and flat[1]["title"] == "small" and flat[-1]["depth"] == n - 1
+    assert flat[2]["parse_path"] == "experience.0.sub_roles.2000000"
+    assert sorted(r["role_id"] for r in R.unreached(roles).collect()) == [901, 902, 903]
+    with pytest.raises(ValueError):
+        R.walk(spark.createDataFrame([(1, 1, None, 0, "A", "t"), (1, 2, 1, 0, "A", "t"), (1, 1, 2, 0, "A", "t")], ROLES))
+
+
+def test_people(spark):
+    people = spark.createDataFrame([("eva", "Eva", "s1"), ("eva-2", "Eva", "s2"), ("lin-2", "Lin 2", None)], "person_id string, display_name string, active_sha string")
+    names = spark.createDataFrame([(1, "Éva"), (2, "Lin 2"), (3, "eva"), (4, "?!"), (5, "Lin")], "ord int, display_name string")
+    got = {(r["display_name"]): r["person_id"] for r in O.create_people(people, names).collect()}
+    assert got == {"Éva": "eva-3", "eva": "eva-4", "Lin 2": "lin-2-2", "Lin": "lin", "?!": None}
+    edits = spark.createDataFrame([("eva-2", "s3"), ("eva", "s2")], "person_id string, sha string")
+    stored = spark.createDataFrame([("s1",), ("s2",), ("s3",), ("s4",)], "sha string")
+    left, orphaned = O.delete_person(people, "eva", edits, stored)
+    assert sorted(r["person_id"] for r in left.collect()) == ["eva-2", "lin-2"] and sorted(r["sha"] for r in orphaned.collect()) == ["s1", "s4"]
+    point = lambda *ids: spark.createDataFrame([(i,) for i in ids], "person_id string")
+    assert O.active_person(point("eva"), left).count() == 0 and O.active_person(point("eva-2"), left).first()[0] == "eva-2" and O.active_person(point("../x", None), left).count() == 0
+
+
+def test_old_layout(spark):
+    old = lambda text: spark.createDataFrame([(text,)], "content string")
+    nobody = spark.createDataFrame([], "person_id string")
+    got = O.lifted(old('{"answers": {"gender": ["Male"]}}'), nobody).collect()
+    assert [(r["person_id"], r["display_name"], r["n_answers"]) for r in got] == [("default", "Me", 1)]
+    assert O.lifted(old("{broken"), nobody).count() == 0
+    assert O.lifted(old('{"answers": {}}'), spark.createDataFrame([("eva",)], "person_id string")).count() == 0
+
+
 def test_survey(spark):
     rows = [("p", "gender", "Robot"), ("p", "veteran", "Yes"), ("p", "veteran", "No"), ("p", "nope", "Yes"), ("q", "sexual_orientation", "Gay"), ("q", "sexual_orientation", "Queer"), ("r", "race", "Prefer not to say")]
     answers = spark.createDataFrame(rows, "person_id string, question string, option string")
@@ -67,36 +102,68 @@ def test_survey(spark):
     assert {r["person_id"]: r["state"] for r in survey.states(people, answers).collect()} == {"q": "answered", "r": "declined", "s": "never_asked"}
 
 
-VALID = json.dumps({"summary": [{"text": "a", "source_lines": [1]}]})
+SOUND = json.dumps({"contact": {}, "awards": [{"text": "Prize of the harbour", "source_lines": [3]}]})
 
 
-@pytest.mark.parametrize(
-    ("answers", "cut", "want"),
-    [
-        ([VALID], False, ("ok", 1)),
-        (["```json\n" + VALID + "\n```"], False, ("ok", 1)),
-        (["not json at all", VALID], False, ("ok", 2)),
-        ([json.dumps({"emails": "x"}), VALID], False, ("ok", 2)),
-        (["", VALID], False, ("ok", 2)),
-        (["nonsense"] * 3, False, ("validation_failed", 3)),
-        ([VALID[:20]], True, ("response_truncated", 1)),
-    ],
-)
-def test_structuring(answers, cut, want):
-    source = K.TableProvider(answers, cut)
-    _, status, attempts, _ = K.structure("p", source)
-    assert (status, attempts) == want
-    if want == ("ok", 2):
-        assert len(source.seen[1]) == 3 and "failed" in source.seen[1][2]
+@pytest.mark.parametrize("fence", ["{}", "```json\n{}\n```", "```\n{}\n```", "  {}\n"])
+@pytest.mark.parametrize("bad", [[], ["[1, 2"], [""], ['{"contact": {"phones": [{"e164": "+1"}]}}'], ["{}", "null"]])
+def test_structuring(fence, bad):
+    """Bad answers are asked for again, with what was wrong; then the good one counts."""
+    source = K.TableProvider([*bad, fence.replace("{}", SOUND)])
+    got, status, attempts, _ = K.structure("start", source)
+    assert (json.loads(got), status, attempts) == (json.loads(SOUND), "ok", len(bad) + 1)
+    for k, messages in enumerate(source.seen):
+        assert messages[0] == "start" and len(messages) == 1 + 2 * k
+        assert k == 0 or (messages[-2] == bad[k - 1] and "failed" in messages[-1])
+
+
+def test_structuring_gives_up():
+    assert K.structure("start", K.TableProvider(["{}"] * 9))[1:3] == ("validation_failed", K.RETRIES + 1)
+    assert K.structure("start", K.TableProvider([SOUND], cut=True))[:3] == (None, "response_truncated", 1)
 
 
 def test_providers():
     with pytest.raises(K.ProviderError, match="unknown_provider"):
         K.provider("nobody")
-    K.register("table", lambda: K.TableProvider([VALID]))
+    K.register("table", lambda: K.TableProvider([SOUND]))
     assert K.structure("p", K.provider("table"))[1] == "ok"
 
 
+def test_resolution(monkeypatch):
+    K.register("one", lambda model="": ("one", model))
+    assert K.provider("one", "m") == K.provider("one:m") == ("one", "m")
+    monkeypatch.setenv("CLAIM_PROVIDER", "one")
+    monkeypatch.setenv("CLAIM_MODEL", "big")
+    assert K.resolved() == ("one", "big") and K.resolved(None, "small") == ("one", "small") and K.resolved("one:x") == ("one", "x")
+
+
+@pytest.mark.parametrize(
+    ("form", "answer", "cut", "url"),
+    [
+        ("chat", {"choices": [{"message": {"content": SOUND}, "finish_reason": "stop"}], "usage": {"completion_tokens": 9, "completion_tokens_details": {"reasoning_tokens": 4}}}, {"choices": [{"message": {"content": "{"}, "finish_reason": "length"}]}, "http://h/v1/chat/completions"),
+        ("messages", {"content": [{"type": "text", "text": SOUND}], "usage": {"output_tokens": 9}}, {"content": [{"text": "{"}], "stop_reason": "max_tokens"}, "http://h/v1/messages"),
+        ("local", {"message": {"content": SOUND}, "eval_count": 9}, {"message": {"content": "{"}, "done_reason": "length"}, "http://h/v1/api/chat"),
+    ],
+)
+def test_forms(form, answer, cut, url):
+    seen = []
+
+    def send(to, headers, body, timeout):
+        seen.append((to, headers, json.loads(body)))
+        return json.dumps(answer).encode()
+
+    source = K.http_provider(form, "http://h/v1/", key="k", send=send)(model="m")
+    assert K.structure("start", source)[1] == "ok" and source.used[0] == 9
+    assert seen[0][0] == url and seen[0][2]["model"] == "m" and seen[0][2]["messages"] == [{"role": "user", "content": "start"}]
+    assert K.structure("start", K.http_provider(form, "http://h", send=lambda *_: json.dumps(cut).encode())())[1] == "response_truncated"
+    assert K.structure("start", K.http_provider(form, "http://h", send=lambda *_: b"{}")())[1] == "provider_failed"
+
+    def slow(*_):
+        raise TimeoutError
+
+    assert K.structure("start", K.http_provider(form, "http://h", send=slow)())[1] == "provider_timeout"
+
+
 def zipped(**parts):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
@@ -132,8 +199,10 @@ def test_classify(spark, tmp_path):
     for name, (raw, _) in cases.items():
         (tmp_path / name).write_bytes(raw)
     (tmp_path / ".hidden").write_bytes(b"x")
-    nothing = spark.createDataFrame([("p", "g.txt", bytearray())], "path string, name string, content binary")  # readers pass over empty files
-    got = {r["name"]: (r["kind"], r["reject_code"]) for r in files.classify(files.scan(spark, str(tmp_path)).unionByName(nothing)).collect()}
+    (tmp_path / "below").mkdir()
+    (tmp_path / "below" / "empty.txt").write_bytes(b"")
+    assert files.scan(spark, str(tmp_path), recursive=True).count() == len(cases) + 1
+    got = {r["name"]: (r["kind"], r["reject_code"]) for r in files.classify(files.scan(spark, str(tmp_path))).collect()}
     assert {n: c for n, (_, c) in got.items()} == {n: c for n, (_, c) in cases.items()}
     assert got["a.pdf"][0] == "pdf" and got["d.txt"][0] == "txt" and got["e.MD"][0] == "md" and got["j.pdf"][0] == "docx"
 
@@ -146,6 +215,66 @@ def test_stored_tables(spark, tmp_path):
     assert spark.read.schema("sha string, n int").json(str(tmp_path / "j")).count() == 2
 
 
+def test_keyed_folders(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "sha string, n int")
+    files.save_keyed(rows(("a", 1), ("b", 2)), str(tmp_path / "k"))
+    files.save_keyed(rows(("b", 3), ("b", 4), ("c", 5)), str(tmp_path / "k"))
+    assert sorted(tuple(r) for r in files.load_keyed(spark, str(tmp_path / "k")).collect()) == [("a", 1), ("b", 3), ("b", 4), ("c", 5)]
+    assert [tuple(r) for r in files.load_keyed(spark, str(tmp_path / "k"), "a").collect()] == [("a", 1)]
+
+
+def test_sorted_copies(spark, tmp_path):
+    text = b"plain words that go on and on until there are more than fifty of them"
+    up = files.received(spark, [("x/one.txt", text), ("C:\\y\\one.txt", text + b"!"), ("z/one.txt", text), ("two.md", text), ("no.bin", b"\xff\xfe\x00" * 40)])
+    assert sorted(r["name"] for r in up.collect()) == ["no.bin", "one.txt", "one.txt", "one.txt", "two.md"]
+    done = files.copy_sorted(spark, files.classify(up), str(tmp_path / "sorted"))
+    assert done.count() == 4
+    assert sorted(str(p.relative_to(tmp_path / "sorted")) for p in (tmp_path / "sorted").rglob("*.*")) == ["md/two.md", "txt/one-2.txt", "txt/one-3.txt", "txt/one.txt"]
+    assert (tmp_path / "sorted/txt/one.txt").read_bytes() == text + b"!"
+
+
+def test_docx_that_inflates_too_much(monkeypatch):
+    raw = zipped(word__document_xml=DOC)
+    assert docx.blocks(raw)
+    monkeypatch.setattr(docx, "MAX_INFLATED", 100)
+    assert docx.blocks(raw) is None
+
+
+def test_near_job_keys(spark):
+    import itertools
+    import random
+
+    rng, titles = random.Random(4), []
+    for _ in range(40):
+        words = rng.sample("senior data platform engineer backend python lead analyst cloud security remote".split(), rng.randint(1, 5))
+        for _ in range(3):
+            own = list(words)
+            rng.shuffle(own)
+            t = list(" ".join(own))
+            for _ in range(rng.randrange(3)):
+                t[rng.randrange(len(t))] = rng.choice("abcx")
+            titles.append((rng.choice(("Acme", "acme ", "Other")), "".join(t)))
+    df = spark.createDataFrame([(i, c, t, i) for i, (c, t) in enumerate(titles)], "job_id long, company string, title string, salary int").withColumn("key", J.dedupe_key(F.col("company"), F.col("title")))
+    keys = sorted({(r["company"].strip().lower(), r["key"]) for r in df.collect()})
+    up = {k: k for _, k in keys}
+
+    def top(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for (c, a), (d, b) in itertools.combinations(keys, 2):
+        if c == d and J.token_ratio(a.replace("|", " "), b.replace("|", " ")) >= 92:
+            up[max(top(a), top(b))] = min(top(a), top(b))
+    assert {r["key"]: r["of"] for r in J.near_keys(df).collect()} == {k: top(k) for k in up}
+    assert any(top(k) != k for k in up)
+    got = {r["job_id"]: r["duplicate_of"] for r in J.near_duplicates(df, ["salary"]).collect()}
+    group = {}
+    for r in df.collect():
+        group.setdefault(top(r["key"]), []).append(r["job_id"])
+    assert got == {i: None if i == min(ids) else min(ids) for ids in group.values() for i in ids}
+
+
 def test_jobs(spark):
     rows = [(1, "ACME", "Dev (m/f)", None, "x"), (2, "acme", "DEV", 5, "x"), (3, "other", "Dev", 1, None)]
     df = spark.createDataFrame(rows, "job_id long, company string, title string, salary int, place string").withColumn("key", J.dedupe_key(F.col("company"), F.col("title")))
