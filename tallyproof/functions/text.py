@@ -30,9 +30,11 @@ BLANK = r"^\p{IsWhite_Space}*$"
 # ---- Unicode, in Arrow UDFs
 
 
-#: Encodings that UTF-8 is read by mistake as, with letters that then show, the shortest run that is taken for such a mistake.
-MISREAD = (("cp1252", "ÃÂâ€ðŸÄÅÐÑÎÏØÙ×", 2), ("cp1251", "РС", 4), ("mac_roman", "√¬‚Äàâ", 2), ("cp437", "├╬Γ┬", 2), ("cp1250", "ĂÂâĹÄ", 2))
-_MARKS = frozenset("".join(m for _, m, _ in MISREAD))
+#: Code pages that UTF-8 is read as by mistake, and the shortest run that is taken for such a mistake where it begins with one of the
+#: frequent lead bytes (C2, C3, E2, F0). With other lead bytes, whose letters sound text has as well, and for Cyrillic, it takes four.
+MISREAD = (("cp1252", 2), ("cp1251", 4), ("mac_roman", 2), ("cp437", 2), ("cp1250", 2))
+_LEADS = {name: {bytes([b]).decode(name): least if b in (0xC2, 0xC3, 0xE2, 0xF0) else 4 for b in range(0xC2, 0xF5)} for name, least in MISREAD}
+_MARKS = frozenset().union(*_LEADS.values())
 _RUN = re.compile(r"[^\x00-\x7f]+")
 
 
@@ -50,8 +52,8 @@ def repair(text: str) -> str:
 
 def _undo(m: re.Match) -> str:
     run = m.group()
-    for name, marks, least in MISREAD:
-        if len(run) < least or run[0] not in marks:
+    for name, leads in _LEADS.items():
+        if len(run) < leads.get(run[0], len(run) + 1):
             continue
         raw = bytearray()
         try:

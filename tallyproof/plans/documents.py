@@ -9,8 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyproof.operators import claims as K, coverage as C, lines as L, tree, verify as V, views
-from tallyproof.sources import docx, files
+from tallyproof.functions import values
+from tallyproof.operators import claims as K, coverage as C, layout as O, lines as L, tree, verify as V, views
+from tallyproof.sources import docx, files, pdf
 
 
 class EchoProvider:
@@ -30,8 +31,9 @@ K.register("echo", EchoProvider)
 
 
 def extract(spark: SparkSession, path: str, recursive: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(files, lines, dropped) of the text, Markdown and DOCX files under a path;
-    files that are refused keep their row and its code."""
+    """(files, lines, dropped) of the text, Markdown, DOCX and PDF files under a path;
+    files that are refused keep their row and its code. Blocks of PDFs are put in
+    reading order, with zones by their place on the page."""
     found = files.settled(files.classify(files.scan(spark, path, recursive)).withColumn("sha", files.content_key(F.col("content"))))
     good = found.where("reject_code is null")
     text = files.plain_blocks(good.where("kind in ('txt', 'md')").dropDuplicates(["sha"])).select("sha", "seq", "page", "column", "zone", "text", F.lit(False).alias("is_bullet"))
@@ -41,9 +43,14 @@ def extract(spark: SparkSession, path: str, recursive: bool = False) -> tuple[Da
     held = word.groupBy("sha").agg(refused.alias("late"), F.lit(True).alias("read"))
     docs = good.where("kind = 'docx'").select("sha").distinct().join(held, "sha", "left")
     late = docs.select("sha", F.when(F.col("read").isNull(), "empty_document").otherwise(F.col("late")).alias("late")).where("late is not null")
+    drawn = files.settled(pdf.pdf_blocks(good.where("kind = 'pdf'").dropDuplicates(["sha"])))
+    late = late.unionByName(pdf.verdicts(drawn).where("code is not null").select("sha", F.col("code").alias("late")))
     found = found.join(late, "sha", "left").withColumn("reject_code", F.coalesce("reject_code", "late")).drop("late")
     word = word.join(late, "sha", "left_anti").select("sha", "seq", "page", F.lit(None).cast("int").alias("column"), "zone", "text", "is_bullet")
-    lines, dropped = L.to_lines(files.settled(text.unionByName(word)), doc="sha")
+    placed = O.reading_order(drawn.where("text is not null").join(late, "sha", "left_anti").drop("pages", "error"), "sha")
+    zone = values.zone(F.col("y0"), F.col("y1"), F.col("page_height"))
+    placed = placed.select("sha", F.col("position").alias("seq"), "page", F.col("column").cast("int").alias("column"), zone.alias("zone"), "text", F.lit(False).alias("is_bullet"))
+    lines, dropped = L.to_lines(files.settled(text.unionByName(word).unionByName(placed)), doc="sha")
     return files.settled(found.drop("content")), files.settled(lines), dropped
 
 

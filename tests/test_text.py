@@ -176,3 +176,70 @@ def test_values(spark):
     assert [r[0] for r in nums.select(values.percent(F.col("a"), F.col("b"))).collect()] == [66.67, 100.0, 3.12]
     colors = spark.createDataFrame([(0xFFFFFF,), (0xF7F7F7,), (0xF6FFFF,), (0,)], "c int")
     assert [r[0] for r in colors.select(values.near_white(F.col("c"))).collect()] == [True, True, False, False]
+
+
+@pytest.mark.parametrize("encoding", ["cp1252", "cp1251", "mac_roman", "cp437", "cp1250"])
+def test_misread_text(encoding):
+    """UTF-8 read as another code page, also twice over, comes back; sound text stays."""
+    for text in ("Größe für Ufer — déjà vu", "Привет, мир", "naïve “quotes” and €"):
+        if encoding == "cp1251" and "П" not in text:
+            continue  # two Cyrillic letters alone may be sound
+        try:
+            once = text.encode().decode(encoding)
+            assert T.repair(once) == text, once
+            assert T.repair(once.encode().decode("cp1252")) == text
+        except UnicodeDecodeError:
+            continue  # bytes that the code page leaves open
+        assert T.repair(text) == text
+
+
+def test_sound_text_stays():
+    for text in ("Рёв, Сыр и Россия", "√2 × 3", "Ää Öö Üü", "Ângela Ã", "São Paulo: €5", "ΓΔ"):
+        assert T.repair(text) == text
+
+
+def test_decomposed_display_against_python(spark):
+    """The display form of all lines of the smallest tables, worked out by other means."""
+    import re
+    import unicodedata
+
+    from tallyproof.plans.lines import display_decomposed, document_lines
+
+    data = "/root/testdata/sf0.001"
+    raw = {(r["doc_id"], r["no"]): r["text"] for r in document_lines(spark, data).collect()}
+    got = {(r["doc_id"], r["no"]): (r["shown"], r["is_bullet"]) for r in display_decomposed(spark, data).collect()}
+    assert raw.keys() == got.keys()
+    for place, text in raw.items():
+        fixed = T.repair(text)
+        glyph = unicodedata.category(fixed.lstrip()[:1] or "x") == "Co"
+        kept = unicodedata.normalize("NFKD", "".join(c for c in fixed if unicodedata.category(c) != "Co" and c not in "​‌‍﻿⁠­"))
+        rest = re.sub(r"^[•·◦▪‣∙⁃▸►−*‐\-–—]+\s+", "", kept)
+        contact = re.match(r"\s*(?:[^@\s]+@[^@\s]+\.\w+|\+?[\d()][\d\s()./-]{6,}|(?:https?://|www\.)\S+|(?:linkedin|github|gitlab|twitter|x)\.com/\S+)", rest, re.I)
+        assert got[place] == (re.sub("[ \t  -   　]+", " ", rest).strip(), bool((rest != kept or glyph) and not contact)), text
+
+
+def test_fuzzy_spans_against_all_pairs(spark):
+    """Every item against every line by the plain ratio: items in capitals, with letters
+    changed at either end, within longer lines, and lines within items."""
+    import random
+
+    from tallyproof.plans.claims import fuzzy_spans
+
+    rng = random.Random(6)
+    items = [" ".join("".join(rng.choices("abcdeéfgh", k=rng.randint(2, 9))) for _ in range(rng.choice((1, 2, 3, 8, 14)))) for _ in range(30)]
+    lines = []
+    for item in items:
+        t = list(item)
+        for _ in range(rng.randrange(3)):
+            t[rng.choice((0, len(t) // 2, len(t) - 1))] = rng.choice("xyz")
+        lines += [item.upper(), "".join(t), "before it " + "".join(t) + " and behind", item[: rng.randint(1, len(item))], item[rng.randrange(len(item)) :]]
+    docs = spark.createDataFrame([(i, "\n".join(lines[i::5])) for i in range(5)], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["no"]) for r in fuzzy_spans(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    want = set()
+    for d in range(5):
+        for no, line in enumerate(lines[d::5], 1):
+            for k, item in enumerate(items):
+                a, b = T.match_key_of(line), T.match_key_of(item)
+                if (len(line) >= 12 or len(a) >= len(b)) and round(brute_partial(a, b), 4) >= 95:
+                    want.add((d, k, no))
+    assert len(want) > 60 and got == want
