@@ -94,7 +94,7 @@ def _within(key: str, claim: str) -> bool:
 
 
 @lru_cache(maxsize=20_000)
-def _score(claim: str, texts: tuple[str, ...]) -> float:
+def _score(claim: str, texts: tuple[str, ...], floor: float) -> float:
     k = match_key_of(claim)
     if not k:
         return 0.0
@@ -102,18 +102,20 @@ def _score(claim: str, texts: tuple[str, ...]) -> float:
     for key in map(match_key_of, texts):
         if len(k) >= MIN_EXACT and _within(key, k):
             return 100.0
-        best = max(best, ratio(k, key))
+        if 200.0 * min(len(k), len(key)) > max(best, floor) * (len(k) + len(key)):
+            best = max(best, ratio(k, key))
         if len(k) >= MIN_PARTIAL:
-            best = partial_ratio(k, key, best)
-    return best
+            best = partial_ratio(k, key, max(best, floor))
+    return best if best > floor else 0.0
 
 
 @F.pandas_udf(DoubleType())
-def claim_score(claim: pd.Series, joined: pd.Series, apart: pd.Series) -> pd.Series:
+def claim_score(claim: pd.Series, joined: pd.Series, apart: pd.Series, floor: pd.Series) -> pd.Series:
     """How well cited text bears a claim out; null where the claim is. `apart` is the
-    cited text in its other form, or null."""
-    rows = zip(claim, joined, apart, strict=True)
-    return pd.Series([None if c is None else _score(c, tuple(t for t in (j, a) if t is not None)) for c, j, a in rows], dtype="float64")
+    cited text in its other form, or null. Figures that aren't above `floor` are 0: with
+    a high one, hardly any window of a long text has to be looked at."""
+    rows = zip(claim, joined, apart, floor, strict=True)
+    return pd.Series([None if c is None else _score(c, tuple(t for t in (j, a) if t is not None), f) for c, j, a, f in rows], dtype="float64")
 
 
 def _grams(codes: np.ndarray, at: np.ndarray, q: int) -> np.ndarray:
