@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyproof.functions.text import slug, valid_id
+from tallyproof.sources.files import settled
 
 
 def patch(values: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,6 +74,16 @@ def profile_rows(raw: DataFrame) -> DataFrame:
     return raw.select("person_id", F.coalesce(at["display_name"], F.lit("")).alias("display_name"), at["active_sha"].alias("active_sha"), F.coalesce(F.size(answers), F.lit(0)).alias("n_answers"), answers.isNotNull().alias("answered"))
 
 
+def positions(rows: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """`rows` numbered from 1 in a global order: sorted in ranges, each of which begins
+    behind the counts of those before it, so that no task sorts them all."""
+    cut = settled(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    ahead = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    before = cut.groupBy("__range").agg(F.count("*").alias("n")).select("__range", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("__before"))
+    nr = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return cut.join(F.broadcast(before), "__range").withColumn(name, (nr + F.col("__before")).cast("int")).drop("__range", "__before")
+
+
 def lifted(legacy: DataFrame, people: DataFrame) -> DataFrame:
     """A single profile of the old layout (content) as the person `default`, named Me:
     only where there are no people yet and the content can be read; else no row."""

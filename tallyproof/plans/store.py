@@ -97,11 +97,8 @@ def last_writer_wins(spark, sf_dir):
 
 @query("SELECT c_custkey, CAST(row_number() OVER (ORDER BY lower(c_mktsegment || c_nationkey), c_custkey) AS INT) AS position FROM customer")
 def people_order(spark, sf_dir):
-    """One list of people for a page: a global order, hence one window."""
-    from pyspark.sql import Window
-
     people = table(spark, sf_dir, "customer").select("c_custkey", F.lower(F.concat("c_mktsegment", F.col("c_nationkey").cast("string"))).alias("name"))
-    return people.select("c_custkey", F.row_number().over(Window.orderBy("name", "c_custkey")).alias("position"))
+    return O.positions(people, ["name", "c_custkey"]).select("c_custkey", "position")
 
 
 @query("""WITH r AS (SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey * 2 END AS asked, CASE WHEN o_orderkey % 3 = 1 THEN o_custkey * 2 END AS active FROM orders)
@@ -218,6 +215,34 @@ def job_duplicates(spark, sf_dir):
     return J.duplicates(event_jobs(spark, sf_dir), ["salary", "place"]).select("job_id", "key", "duplicate_of")
 
 
+#: Titles of few firms, with words in another order, a plural, or a wrong letter; near ones have a likeness of 92 or more with their words sorted.
+_PART_JOBS = """
+pj AS (SELECT p_partkey AS job_id, 'Firm ' || p_partkey % 6 AS company, ['Senior', 'Lead', 'Junior', 'Principal'][1 + p_partkey // 6 % 4] AS w, ['platform engineer', 'data analyst', 'harbour pilot'][1 + p_partkey // 24 % 3] AS t, p_partkey // 72 % 4 AS v, CASE WHEN p_partkey % 5 > 0 THEN p_retailprice END AS salary FROM part),
+pk AS (SELECT job_id, company, salary, lower(company) || '|' || lower(CASE v WHEN 0 THEN w || ' ' || t WHEN 1 THEN t || ' ' || w WHEN 2 THEN w || ' ' || t || 's' ELSE replace(w || ' ' || t, 'a', 'o') END) AS key FROM pj),
+ps AS (SELECT company, key, list_sort(string_split(string_agg(DISTINCT replace(key, '|', ' '), ''), ' ')) AS words FROM pk GROUP BY 1, 2),
+pt AS (SELECT company, key, string_split(array_to_string(words, ' '), '') AS c FROM ps),
+pp AS (SELECT a.key AS x, b.key AS y, a.c AS a, b.c AS b FROM pt a JOIN pt b ON a.company = b.company AND a.key < b.key),
+lc AS (SELECT x, y, a, b, 0 AS i, [0 FOR q IN b] AS r FROM pp
+  UNION ALL SELECT x, y, a, b, i + 1, [list_max([greatest(r[h], CASE WHEN a[i + 1] = b[h] THEN 1 + CASE WHEN h > 1 THEN r[h - 1] ELSE 0 END ELSE 0 END) FOR h IN generate_series(1, j)]) FOR j IN generate_series(1, len(b))] FROM lc WHERE i < len(a)),
+nk AS (SELECT x, y FROM lc WHERE i = len(a) AND 200.0 * r[len(b)] / (len(a) + len(b)) >= 92),
+nb AS (SELECT x, y FROM nk UNION ALL SELECT y, x FROM nk),
+rk AS (SELECT key AS x, key AS y FROM pt UNION SELECT rk.x, nb.y FROM rk JOIN nb ON rk.y = nb.x),
+ok AS (SELECT x AS key, min(y) AS of FROM rk GROUP BY 1),
+nw AS (SELECT job_id, pk.key, first_value(job_id) OVER (PARTITION BY of ORDER BY salary IS NULL, job_id) AS winner FROM pk JOIN ok ON ok.key = pk.key)
+"""
+
+
+@query(f"WITH RECURSIVE {_PART_JOBS} SELECT job_id, key, CASE WHEN job_id <> winner THEN winner END AS duplicate_of FROM nw")
+def job_near_duplicates(spark, sf_dir):
+    k = F.col("p_partkey")
+    word, rest, v = F.element_at(F.array(*map(F.lit, ("Senior", "Lead", "Junior", "Principal"))), (F.floor(k / 6) % 4 + 1).cast("int")), F.element_at(F.array(*map(F.lit, ("platform engineer", "data analyst", "harbour pilot"))), (F.floor(k / 24) % 3 + 1).cast("int")), F.floor(k / 72) % 4
+    plain = F.concat_ws(" ", word, rest)
+    title = F.when(v == 0, plain).when(v == 1, F.concat_ws(" ", rest, word)).when(v == 2, F.concat(plain, F.lit("s"))).otherwise(F.translate(plain, "a", "o"))
+    rows = table(spark, sf_dir, "part").select(k.alias("job_id"), F.concat(F.lit("Firm "), (k % 6).cast("string")).alias("company"), title.alias("title"), F.when(k % 5 > 0, F.col("p_retailprice")).alias("salary"))
+    rows = rows.withColumn("key", J.dedupe_key(F.col("company"), F.col("title")))
+    return J.near_duplicates(rows, ["salary"]).select("job_id", "key", "duplicate_of")
+
+
 _LEDGER = _JOBS + """,
 j3 AS (SELECT *, CASE WHEN job_id <> winner THEN 'filtered_global' WHEN salary < 5 THEN 'filtered_global' WHEN coalesce(lower(place), '') NOT LIKE '%remote%' AND user_ % 2 = 0 THEN 'filtered_person' ELSE 'shown' END AS bucket,
   CASE WHEN job_id <> winner THEN 'duplicate' WHEN salary < 5 THEN 'low salary' WHEN coalesce(lower(place), '') NOT LIKE '%remote%' AND user_ % 2 = 0 THEN 'not remote' END AS rule FROM (SELECT *, job_id % 7 AS user_ FROM j2))
