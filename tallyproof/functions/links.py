@@ -31,6 +31,7 @@ WRITTEN = {
     "blog": "Blog", "twitter": "X", "behance": "Behance", "dribbble": "Dribbble", "medium": "Medium",
     "youtube": "YouTube", "orcid": "ORCID", "scholar": "Google Scholar", "kaggle": "Kaggle",
 }
+# Hosts that shorten links, and what makes a text a link at all.
 SHORT = r"\b(bit\.ly|shorturl\.at|tinyurl\.com|t\.co|rb\.gy|lnkd\.in)\b"
 URL = r"https?://|\bwww\."
 
