@@ -58,11 +58,11 @@ def score(claims: DataFrame, lines: DataFrame, keys: list[str], text_col: str =
     return rows.withColumn("score", F.coalesce("__known", claim_score(*asked, F.lit(floor)))).drop("__known", "joined", "apart", "n_cited")
 
 
-def verify(claims: DataFrame, lines: DataFrame, keys: list[str] | None = None, doc: str = "doc_id") -> DataFrame:
+def verify(claims: DataFrame, lines: DataFrame, keys: list[str] | None = None, doc: str = "doc_id", verdicts_only: bool = False) -> DataFrame:
     """`claims` with score, verified, flag and reason; verdicts that came along are
-    thrown away."""
+    thrown away. With `verdicts_only`, scores that don't verify are 0, not worked out."""
     keys = keys or [doc, "claim_id"]
-    judged = score(claims.drop("verified", "flag"), lines, keys, doc=doc)
+    judged = score(claims.drop("verified", "flag"), lines, keys, doc=doc, floor=THRESHOLD - 1e-6 if verdicts_only else 0.0)
     ok = F.col("score") >= THRESHOLD
     reason = F.when(~ok, F.when(F.col("n_missing") > 0, "source_line_out_of_range").otherwise("hallucinated_span"))
     return judged.withColumn("verified", ok).withColumn("flag", F.when(ok, "ok").otherwise("hallucinated")).withColumn("reason", reason).drop("n_missing")

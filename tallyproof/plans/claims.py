@@ -94,7 +94,7 @@ def document_claims(lines: DataFrame, spark: SparkSession, sf_dir: str) -> DataF
 
 def judged_claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     lines = claimed_document_lines(spark, sf_dir)
-    return lines, V.verify(document_claims(lines, spark, sf_dir), lines)
+    return lines, V.verify(document_claims(lines, spark, sf_dir), lines, verdicts_only=True)
 
 
 @query(f"""WITH RECURSIVE {_CLAIMS} SELECT doc_id, claim_id, ok AS verified, CASE WHEN ok THEN 'ok' ELSE 'hallucinated' END AS flag,
