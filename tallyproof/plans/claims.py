@@ -26,7 +26,7 @@ def _judged(rows: str, keys: str) -> str:
     inside = " OR ".join(f"coalesce({_WORDS_IN.format(k="k", k1=x)}, false)" for x in ("k1", "k2"))
     return rf"""
 kd AS (SELECT *, {KEY.replace('{t}', 'trim(text)')} AS k, {KEY.replace('{t}', 'trim(joined)')} AS k1, {KEY.replace('{t}', 'trim(apart)')} AS k2 FROM {rows}),
-ex AS (SELECT *, CASE WHEN n_cited = 0 OR missing > 0 OR k = '' THEN false WHEN length(k) >= 4 AND ({inside}) THEN true END AS sure FROM kd),
+ex AS MATERIALIZED (SELECT *, CASE WHEN n_cited = 0 OR missing > 0 OR k = '' THEN false WHEN length(k) >= 4 AND ({inside}) THEN true END AS sure FROM kd),
 sh AS (SELECT DISTINCT k, k1, string_split(k, '') AS a, string_split(k1, '') AS b FROM ex WHERE sure IS NULL AND length(k) < 12 AND length(k1) BETWEEN length(k) - 2 AND length(k) + 2),
 lc AS (SELECT k, k1, a, b, 0 AS i, [0 for x IN b] AS r FROM sh
   UNION ALL SELECT k, k1, a, b, i + 1, [list_max([greatest(r[h], CASE WHEN a[i + 1] = b[h] THEN 1 + CASE WHEN h > 1 THEN r[h - 1] ELSE 0 END ELSE 0 END) FOR h IN generate_series(1, j)]) FOR j IN generate_series(1, len(b))] FROM lc WHERE i < len(a)),
