@@ -7,7 +7,9 @@ Efraimidis-Spirakis sampling: every document gets the exponential key
 -ln(u) / quality weight, the smallest keys win, and their prefix sum meets the
 budget (the last document is taken in part). Prefix sums go by ranges of
 (source, key): sums of each range first, then within each range, so a source
-with a third of all rows is spread over as many tasks as its share.
+with a third of all rows is spread over as many tasks as its share. Rows alike in
+all that (one id, or null ids, of one size) are put in order by a number of the
+written row, so that they too are spread; which of them is taken doesn't show.
 """
 
 from __future__ import annotations
@@ -82,13 +84,13 @@ def mix(
     drawn = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("long")
     rows = rows.withColumn("key", -F.ln((drawn + 1).cast("double") / F.lit(float(1 << 52))) / F.col("q")).drop("q")
     # one scan of the texts; from here on rows are a few numbers
-    sized = written(rows, "sized")
-    cut = written(sized.repartitionByRange("skey", "key", "id", "size", *also).withColumn("part", F.spark_partition_id()), "ranges")
+    sized = written(rows.withColumn("nr", F.monotonically_increasing_id()), "sized")
+    cut = written(sized.repartitionByRange("skey", "key", "id", "size", *also, "nr").withColumn("part", F.spark_partition_id()), "ranges")
     sums = cut.groupBy("skey", "part").agg(F.sum("size").alias("part_size"))
     before = Window.partitionBy("skey").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     per_source = targets(sums.groupBy("skey").agg(F.sum("part_size").alias("source_size")), weights, cap)
     ranges = sums.withColumn("before", F.coalesce(F.sum("part_size").over(before), F.lit(0))).join(per_source, "skey").drop("part_size")
-    within = Window.partitionBy("skey", "part").orderBy("key", "id", "size", *also).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("skey", "part").orderBy("key", "id", "size", *also, "nr").rowsBetween(Window.unboundedPreceding, -1)
     out = cut.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0))).join(small_or_not(written(ranges, "source-ranges")), ["skey", "part"])
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.floor("target") - whole * F.col("source_size") - F.col("before") - F.col("ahead")

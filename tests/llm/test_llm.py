@@ -406,6 +406,24 @@ def test_quality_weighs(spark):
     assert taken(1) > taken(0) and len(part) <= 2
 
 
+def test_mix_spreads_rows_that_are_alike(spark, monkeypatch):
+    """Null ids of one size lie in several ranges; the target is met to the word all the same."""
+    kept = {}
+    real = mixing.written
+    monkeypatch.setattr(mixing, "written", lambda df, name: kept.setdefault(name, real(df, name)))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = [(None, "one two three", "a")] * 3000 + [(i, "four five", "b") for i in range(300)]
+        got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert kept["ranges"].where("id is null").select("part").distinct().count() > 1
+    for source in (9000, 600):
+        of = [r for r in got if r["source_size"] == source]
+        assert sum(r["taken"] for r in of) == int(of[0]["target"]) and len(of) == (3000 if source == 9000 else 300)
+        assert sum(r["taken"] % r["size"] > 0 for r in of) <= 1
+
+
 # ---- 7: nearest neighbours
 
 
@@ -939,6 +957,20 @@ def test_near_dedup_by_row(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([(3, a), (5, b), (None, c), (None, None), (7, "")], key=str)
 
 
+def test_mixing_stage_of_clashing_columns(spark):
+    """Columns that bear names of the stage's own come through as they were, with repeated ids and without."""
+    import corpus_pipeline as cp
+
+    names = ["size", "taken", "tie", "take", "nr", "row", "id", "part", "a.b"]
+    for ids in (range(40), [None] * 20 + [7] * 20):
+        rows = [(i, "some words here", "en", "s", 15, *[f"{n}{k % 2}" for n in names]) for k, i in enumerate(ids)]
+        schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+        df = spark.createDataFrame(rows, schema).repartition(3)
+        left = cp.mixing_stage(spark, df, DATA)
+        assert left.columns == df.columns
+        assert sorted(left.collect(), key=str) == sorted(df.collect(), key=str)
+
+
 def test_mixing_of_repeated_ids(spark):
     """Rows of one id and size: each source gives the words that the plan takes from it."""
     import corpus_pipeline as cp
