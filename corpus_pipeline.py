@@ -42,34 +42,48 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pii.redact(docs)
 
 
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    """`rows` with nr, a number among those of one (id, size, tie): counted by blocks of
+    written rows first, then within each, so that no group of equal rows is one task."""
+    keys = ["id", "size", "tie"]
+    rows = written(rows.withColumn("at", F.monotonically_increasing_id()), name).withColumn("block", F.shiftright("at", 33))
+    before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys, "block").agg(F.count("*").alias("n"))
+    counts = counts.select(*keys, "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    own = rows.withColumn("own", F.row_number().over(Window.partitionBy(*keys, "block").orderBy("at")))
+    return own.join(counts, [*keys, "block"]).withColumn("nr", F.col("own") + F.col("before")).drop("at", "block", "own", "before")
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mix takes a document; where it takes a part,
     the text ends behind that many words and is as it was before. A null text has no
-    words and is not taken."""
-    tie = F.xxhash64(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t")), F.coalesce("text", F.lit("")))
+    words and is not taken. Other columns, whatever their names, come along."""
+    full = F.coalesce("text", F.lit(""))
+    tie = F.xxhash64(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t")), full)
     plan = written(mixing.mix(docs, tie=tie).select("doc_id", "size", "taken", "tie"), "mix")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     odd = plan.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
     if odd:  # rows that repeat an id are told apart by their source and text; equal ones have a number
-        number = Window.partitionBy("doc_id", "size", "tie").orderBy("size")
-        size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(mixing.WORD)).cast("long")
-        left = docs.withColumn("size", size).withColumn("tie", tie).withColumn("nr", F.row_number().over(number))
-        right = plan.withColumn("nr", F.row_number().over(number)).select(F.col("doc_id").alias("id_"), F.col("size").alias("size_"), F.col("tie").alias("tie_"), F.col("nr").alias("nr_"), "taken")
-        joined = left.join(right, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("size") == F.col("size_")) & (F.col("tie") == F.col("tie_")) & (F.col("nr") == F.col("nr_")))
+        name = F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit("n")).alias("id")
+        size = F.regexp_count(full, F.lit(mixing.WORD)).cast("long").alias("size")
+        left = _numbered(docs.select(name, size, tie.alias("tie"), row), "mix-rows")
+        right = _numbered(plan.select(name, "size", "tie", "taken"), "mix-plan")
+        joined = left.join(right, ["id", "size", "tie", "nr"])
     else:
-        joined = docs.join(small_or_not(plan.where("taken > 0")), "doc_id")
+        few = small_or_not(plan.where("taken > 0").select(F.col("doc_id").alias("id"), "size", "taken"))
+        joined = docs.select(F.col("doc_id").alias("id"), row).join(few, "id")
     joined = joined.where("taken > 0")
     whole, part = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("long")
     takes = F.concat(F.array_repeat(F.col("size"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    rows = joined.withColumn("take", F.explode(takes))
+    rows = joined.select("row", "size", F.explode(takes).alias("take"))
     # all behind the words taken comes as the last part; blanks in front give an empty part
-    blank = r"[\x20\x09-\x0D]+"
-    lead = F.when(F.regexp_like("text", F.lit(rf"\A{blank}")), 1).otherwise(0)
-    behind = F.element_at(F.split("text", blank, (F.col("take") + 1 + lead).cast("int")), -1)
-    first = F.rtrim(F.substring(F.col("text"), F.lit(1), F.length("text") - F.length(behind)), F.lit(" \t\n\x0b\f\r"))
-    cut = F.col("take") < F.col("size")
-    rows = rows.withColumn("text", F.when(cut, first).otherwise(F.col("text")))
-    rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(docs.columns)
+    text, blank = F.col("row.text"), r"[\x20\x09-\x0D]+"
+    lead = F.when(F.regexp_like(text, F.lit(rf"\A{blank}")), 1).otherwise(0)
+    behind = F.element_at(F.split(text, blank, (F.col("take") + 1 + lead).cast("int")), -1)
+    first = F.rtrim(F.substring(text, F.lit(1), F.length(text) - F.length(behind)), F.lit(" \t\n\x0b\f\r"))
+    rows = rows.withColumn("cut", F.when(F.col("take") < F.col("size"), first))
+    now = {"text": F.coalesce("cut", text), "n_chars": F.coalesce(F.length("cut").cast("long"), F.col("row.n_chars"))}
+    return rows.select(*(now.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
