@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyproof.llm import ann, audio, mixing, near_dup, packing, pii, quality, token_counts, token_output, warc
+from tallyproof.llm import ann, audio, html_template, mixing, near_dup, packing, pii, prefix_trie, quality, token_counts, token_output, warc, whitening
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +54,20 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.audio_features(_documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op13_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_pii_weak_supervision, op2_quality_weak_labels, op3_warc_segments, op4_pattern_packing, op5_linear_word_pieces, op6_weighted_mixing, op7_permutation_index, op8_seekable_token_frames, op9_multi_index_hamming, op10_audio_features)
+    own = (op1_pii_weak_supervision, op2_quality_weak_labels, op3_warc_segments, op4_pattern_packing, op5_linear_word_pieces, op6_weighted_mixing, op7_permutation_index, op8_seekable_token_frames, op9_multi_index_hamming, op10_audio_features, op11_prefix_trie, op12_template_text, op13_jacobi_whitening)
     return {f.__name__: f for f in own}
 
 
@@ -77,4 +89,4 @@ FROM m LEFT JOIN n ON n.doc_id = m.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_segments": warc.WARC_SQL, "op6_weighted_mixing": mixing.MIX_SQL, "op9_multi_index_hamming": NEAR_SQL}
+    return {"op3_warc_segments": warc.WARC_SQL, "op6_weighted_mixing": mixing.MIX_SQL, "op9_multi_index_hamming": NEAR_SQL, "op11_prefix_trie": prefix_trie.TRIE_SQL}
