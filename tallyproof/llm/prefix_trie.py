@@ -150,8 +150,10 @@ def prefix_trie(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     top = whole.withColumn("chars", F.lit(0).cast("long")).agg(*sums).first()
     if not top["n"]:
         return spark.createDataFrame([], SCHEMA)
-    levels = [written(spark.createDataFrame([(None, *top)], "parent long, node long, n long, same boolean, chars long"), "level")]
-    members = whole.withColumn("node", F.lit(top["node"]))
+    root = {"parent": None, **top.asDict()}
+    kinds = {"parent": "long", "node": "long", "n": "long", "same": "boolean", "chars": "long"}
+    levels = [spark.range(1).select(*(F.lit(root[c]).cast(t).alias(c) for c, t in kinds.items()))]
+    members = whole.withColumn("node", F.lit(top["node"]).cast("long"))
     live = members if not top["same"] else members.limit(0)
     ends, rolled = workspace(spark, "ends"), workspace(spark, "rolled")
     members.where("len = 0" if not top["same"] else "true").select(F.col("len").alias("depth"), "node", "conv").write.parquet(ends)
@@ -205,7 +207,7 @@ def prefix_trie(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
             up = written(both.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("kids"), F.sum("leaves").alias("leaves"), F.sum("saved").alias("below")), "sums")
     if depth:
         found = found.unionByName(spark.read.schema(found.schema).parquet(*(f"{rolled}/{k}" for k in range(depth))))
-    marks = written(digests(spark.read.parquet(ends)), "digests")
+    marks = written(digests(spark.read.schema("depth long, node long, conv long").parquet(ends)), "digests")
     out = found.join(marks, ["depth", "node"], "left")
     return out.select(
         F.col("node").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), F.col("n").alias("n_convs"), F.col("kids").alias("n_children"),
