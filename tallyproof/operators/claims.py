@@ -6,6 +6,7 @@ import inspect
 import json
 import os
 import re
+import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyproof.functions.text import numbered
-from tallyproof.operators.tree import json_schema, problem
+from tallyproof.operators.tree import json_schema, problem, read, sound, written_out
 from tallyproof.schema import SKILL_CATEGORIES
 
 RETRIES = 2
@@ -64,7 +65,8 @@ class HttpProvider:
     and an answer read: `ask(model, messages)` gives path, headers and body, `read`
     gives (text, whether it was cut off, tokens used, of these on reasoning)."""
 
-    def __init__(self, base: str, model: str, ask: Callable, read: Callable, key: str | None = None, timeout: float = 300, send: Callable | None = None):
+    def __init__(self, base: str, model: str, ask: Callable, read: Callable, key: str | None = None, timeout: float = 300, send: Callable | None = None, waits: tuple[float, ...] = (1, 4, 16), sleep: Callable[[float], None] = time.sleep):
+        self.waits, self.sleep = waits, sleep
         self.base, self.model, self.ask, self.read, self.key, self.timeout = base.rstrip("/"), model, ask, read, key, timeout
         self.send, self.used = send or self._send, (None, None)
 
@@ -73,17 +75,27 @@ class HttpProvider:
             return answer.read()
 
     def propose(self, messages: list[str]) -> tuple[str, bool]:
-        path, headers, body = self.ask(self.model, messages, self.key)
-        try:
-            raw = self.send(self.base + path, {"Content-Type": "application/json", **headers}, json.dumps(body).encode(), self.timeout)
-            text, cut, *self.used = self.read(json.loads(raw))
-        except TimeoutError:
-            raise ProviderError("provider_timeout") from None
-        except urllib.error.HTTPError as e:
-            raise ProviderError("provider_refused" if e.code in (401, 403) else "provider_busy" if e.code == 429 else "provider_failed") from None
-        except (OSError, ValueError, KeyError, IndexError, TypeError):
-            raise ProviderError("provider_failed") from None
-        return text or "", cut
+        """A service that is busy, down for a moment or slow is asked again after each of
+        `waits` (as long as it says itself, if it does, up to the longest of them)."""
+        path, headers, body = self.ask(self.model, [sound(m) for m in messages], self.key)
+        for wait in (*self.waits, None):
+            try:
+                raw = self.send(self.base + path, {"Content-Type": "application/json", **headers}, json.dumps(body).encode(), self.timeout)
+                text, cut, *self.used = self.read(read(raw.decode("utf-8", "replace")))
+                return text or "", cut
+            except TimeoutError:
+                code, told = "provider_timeout", None
+            except urllib.error.HTTPError as e:
+                code = "provider_refused" if e.code in (401, 403) else "provider_busy" if e.code == 429 else "provider_failed"
+                told = (e.headers or {}).get("Retry-After")
+                if e.code != 429 and e.code < 500:
+                    raise ProviderError(code) from None
+            except (OSError, ValueError, KeyError, IndexError, TypeError, AttributeError):
+                raise ProviderError("provider_failed") from None
+            if wait is None:
+                raise ProviderError(code)
+            self.sleep(min(float(told), max(self.waits)) if told and told.strip().isdigit() else wait)
+        raise AssertionError("unreachable")
 
 
 def _turns(messages: list[str]) -> list[dict[str, str]]:
@@ -142,7 +154,8 @@ class TableProvider:
 def structure(prompt: str, source: ClaimProvider) -> tuple[str | None, str, int, str]:
     """(json, status, attempts, last error). An answer that is cut off is refused at
     once; one that is no JSON, empty, or breaks the rules is asked for again, with
-    the error, RETRIES times."""
+    the error, RETRIES times. Whatever the answer holds, the outcome is a status: nothing
+    that a service sends ends the batch."""
     messages, error = [prompt], ""
     for attempt in range(1, RETRIES + 2):
         try:
@@ -152,14 +165,15 @@ def structure(prompt: str, source: ClaimProvider) -> tuple[str | None, str, int,
         if cut:
             return None, "response_truncated", attempt, ""
         try:
-            payload = json.loads(_FENCE.sub("", answer.strip()))
+            payload = read(_FENCE.sub("", answer.strip()))
             error = problem(payload)
+            made = written_out(payload)
         except ValueError as e:
             error = "the answer is empty" if not answer.strip() else str(e)
         if not error:
-            return json.dumps(payload, ensure_ascii=False), "ok", attempt, ""
+            return made, "ok", attempt, ""
         messages += [answer, f"That answer failed: {error}. Give corrected JSON only."]
-    return None, "validation_failed", RETRIES + 1, error
+    return None, "validation_failed", RETRIES + 1, sound(error)
 
 
 def structured(prompts: DataFrame, make: Callable[[object], ClaimProvider], doc: str = "doc_id", each: bool = True) -> DataFrame:

@@ -2,13 +2,15 @@
 
 A payload nests contact, roles within roles, education, projects, skills and more;
 wherever a node has `text` and `source_lines` it is a claim on those lines. Nesting
-may go to any depth, which column functions can't follow, so a tree is walked in one
-pass over its JSON; everything after that is tables.
+goes deeper than column functions can follow (MAX_DEPTH levels), so a tree is walked in
+one pass over its JSON; everything after that is tables. An answer may be anything at
+all: what can't be read says why, and ends nothing but itself.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,9 +38,48 @@ SHAPE: dict[str, dict[str, str]] = {
     "other": {"heading": "text", "lines": "[span]", "source_lines": "lines"},
     "payload": {"language": "text?", "contact": "contact", "summary": "span?", "experience": "[role]", "education": "[education]", "skills": "[skill]", "projects": "[project]", "certifications": "[span]", "publications": "[span]", "awards": "[span]", "languages": "[span]", "other_sections": "[other]"},
 }
+#: Levels of brackets up to which an answer is read, and the largest number that a line can have.
+MAX_DEPTH, MAX_LINE = 400, (1 << 31) - 1
+_BRACKETS = re.compile(r'"(?:[^"\\]|\\.)*+"|[\[\]{}]', re.S)
+_LONE = re.compile("[\ud800-\udfff]")
 _PLAIN = {"text": str, "int": int, "bool": bool}
 
 
+def _too_deep(text: str) -> bool:
+    """Whether brackets outside strings nest deeper than MAX_DEPTH."""
+    level = 0
+    for m in _BRACKETS.finditer(text):
+        if m[0] in ("[", "{"):
+            level += 1
+            if level > MAX_DEPTH:
+                return True
+        elif m[0] in ("]", "}"):
+            level -= 1
+    return False
+
+
+def _no_number(name: str) -> float:
+    raise ValueError(f"{name} is no number of JSON")
+
+
+def read(text: str) -> object:
+    """The value of a JSON text. ValueError, and nothing else, for one that isn't sound:
+    broken, deeper than MAX_DEPTH, with NaN or infinity, or with numbers of thousands of digits."""
+    if _too_deep(text):
+        raise ValueError(f"nested more than {MAX_DEPTH} levels deep")
+    return json.loads(text, parse_constant=_no_number)
+
+
+def sound(text: str) -> str:
+    """Halves of surrogate pairs that stand alone become U+FFFD."""
+    return text if text.isascii() else _LONE.sub("\ufffd", text)
+
+
+def written_out(payload: object) -> str:
+    """A payload as JSON that any reader takes; ValueError where a number has no form in it."""
+    return sound(json.dumps(payload, ensure_ascii=False, allow_nan=False))
+
+
 def _number(value: object) -> bool:
     return isinstance(value, int) and not isinstance(value, bool)
 
@@ -83,7 +124,7 @@ def problem_in(payload: pd.Series) -> pd.Series:
 
     def one(text: str) -> str:
         try:
-            return problem(json.loads(text))
+            return sound(problem(read(text)))
         except ValueError:
             return "no JSON"
 
@@ -112,47 +153,68 @@ def _company(role: dict) -> str:
     return str(role.get("company") or "").strip().casefold()
 
 
-def promoted(roles: list[dict]) -> list[dict]:
-    """Roles nested under one at another company go to the top level, in document order."""
+def _roles(value: object) -> list[dict]:
+    return [r for r in value if isinstance(r, dict)] if isinstance(value, list) else []
+
+
+def promoted(roles: object) -> list[dict]:
+    """Roles nested under one at another company go to the top level, in document order.
+    What is no role is left out."""
     top: list[dict] = []
-    todo: list[tuple[dict, dict | None]] = [(r, None) for r in reversed(roles)]
+    todo: list[tuple[dict, dict | None]] = [(r, None) for r in reversed(_roles(roles))]
     while todo:
         role, above = todo.pop()
         own = {**role, "sub_roles": []}
         (top if above is None or _company(above) != _company(role) else above["sub_roles"]).append(own)
-        todo += [(s, own) for s in reversed(role.get("sub_roles") or [])]
+        todo += [(s, own) for s in reversed(_roles(role.get("sub_roles")))]
     return top
 
 
+def _lines(cited: list) -> list[int]:
+    """Numbers of lines as whole numbers of 32 bits. One beyond stays a line that no
+    document has, and so does what is no number."""
+    return [max(-MAX_LINE, min(MAX_LINE, n)) if _number(n) else -1 for n in cited]
+
+
 def nodes(payload: dict) -> Iterator[tuple[str, str, str | None, str | None, list[int]]]:
     """(what, path, field, text, source_lines): a `span` for each claim, a `field` for
     each plain field that is held against its object's lines, an `object` for all
     other nodes that cite lines."""
-    todo: list[tuple[str, object]] = [("", {**payload, "experience": promoted(payload.get("experience") or [])})]
+    todo: list[tuple[str, object]] = [("", {**payload, "experience": promoted(payload.get("experience"))})]
     while todo:
         path, node = todo.pop()
         if isinstance(node, dict):
             cited = node.get("source_lines")
             if isinstance(cited, list):
+                cited = _lines(cited)
                 if isinstance(node.get("text"), str):
-                    yield "span", path, None, node["text"], cited
+                    yield "span", path, None, sound(node["text"]), cited
                     continue
                 yield "object", path, None, None, cited
-                yield from (("field", path, f, node[f], cited) for f in CHECKED_FIELDS if isinstance(node.get(f), str))
+                yield from (("field", path, f, sound(node[f]), cited) for f in CHECKED_FIELDS if isinstance(node.get(f), str))
             inner = node.items()
         elif isinstance(node, list):
             inner = enumerate(node)
         else:
             continue
-        todo += [(f"{path}.{k}" if path else str(k), v) for k, v in reversed(list(inner)) if isinstance(v, (dict, list))]
+        todo += [(sound(f"{path}.{k}" if path else str(k)), v) for k, v in reversed(list(inner)) if isinstance(v, (dict, list))]
 
 
 def taken_apart(parsed: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """(doc, what, path, field, text, source_lines) of the payloads in `parsed`(doc, json)."""
+    """(doc, what, path, field, text, source_lines) of the payloads in `parsed`(doc, json).
+    A payload that is null, can't be read or is no object gives no rows (`problem_in` says
+    why); a line number beyond 32 bits becomes the largest one, which no document has."""
+
+    def opened(text: str | None) -> dict:
+        try:
+            payload = read(text) if isinstance(text, str) else None
+        except ValueError:
+            return {}
+        return payload if isinstance(payload, dict) else {}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(d, *n) for d, j in zip(batch[doc], batch["json"], strict=True) for n in nodes(json.loads(j))]
+            rows = [(d, *n) for d, j in zip(batch[doc], batch["json"], strict=True) for n in nodes(opened(j))]
             yield pd.DataFrame(rows, columns=[doc, "what", "path", "field", "text", "source_lines"])
 
     kind = parsed.schema[doc].dataType.simpleString()

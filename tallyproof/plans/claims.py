@@ -400,6 +400,42 @@ def structured_links(spark, sf_dir):
     return tree.labelled(tree.claims(parts), document_lines(spark, sf_dir)).select("doc_id", "path", "label")
 
 
+def _hostile(number: int) -> str:
+    """Answers that some readers break on."""
+    claim = lambda text, *no: json.dumps({"contact": {"name": {"text": text, "source_lines": list(no)}}})
+    role: dict = {}
+    for _ in range(50):
+        role = {"company": "A", "title": "T", "start": {"raw": ""}, "end": {"raw": ""}, "bullets": [{"text": "b", "source_lines": [1]}], "sub_roles": [role] if role else [], "source_lines": [1]}
+    return [
+        claim("plain", 1), "[" * 20_000, claim("far", 10**12), claim("half \ud800 pair", 1), '{"contact": {}, "more": NaN}', json.dumps({"contact": {}, "experience": [role]}),
+        '{"contact": {"source_lines": [' + "9" * 5_000 + "]}}", claim("below", -(10**30), 1), '{"contact": {}, "more": 1e999}', '{"a":' * 5_000 + "1" + "}" * 5_000,
+    ][number % 10]
+
+
+class _Hostile:
+    def __init__(self, number: int):
+        self.number = number
+
+    def propose(self, messages: list[str]) -> tuple[str, bool]:
+        return _hostile(self.number), False
+
+
+@query(f"""WITH {DL}, n AS (SELECT doc_id, max(no) AS lines, doc_id % 10 AS r FROM dl GROUP BY 1)
+SELECT doc_id, CASE WHEN r IN (1, 4, 6, 8, 9) THEN 'validation_failed' ELSE 'ok' END AS status, CASE WHEN r IN (1, 4, 6, 8, 9) THEN 3 ELSE 1 END AS attempts,
+ CASE WHEN r IN (1, 4, 6, 8, 9) THEN 0 WHEN r = 5 THEN 50 ELSE 1 END AS n_spans, CASE WHEN r IN (2, 7) THEN 1 ELSE 0 END AS n_flagged, CASE WHEN r = 3 THEN 1 ELSE 0 END AS n_replaced
+FROM n WHERE lines >= 1""")
+def hostile_answers(spark, sf_dir):
+    """Answers of any content: each is judged by itself, the documents beside it stay."""
+    lines = settled(document_lines(spark, sf_dir))
+    got = settled(K.structured(K.prompts(lines, ahead=""), _Hostile))
+    spans = settled(tree.claims(tree.taken_apart(got.where("status = 'ok'"))))
+    missing = spans.select("doc_id", "claim_id", F.explode("source_lines").alias("no")).join(lines, ["doc_id", "no"], "left_anti").select("doc_id", "claim_id").distinct().withColumn("beyond", F.lit(1))
+    counts = spans.join(missing, ["doc_id", "claim_id"], "left").groupBy("doc_id").agg(
+        F.count("*").alias("n_spans"), F.count("beyond").alias("n_flagged"), F.count_if(F.contains("text", F.lit("\ufffd"))).alias("n_replaced")
+    )
+    return got.select("doc_id", "status", "attempts").join(counts, "doc_id", "left").na.fill(0, ["n_spans", "n_flagged", "n_replaced"])
+
+
 #: Payloads that are sound or not, by the rest of a key, and what is wrong with each.
 _PAYLOADS = (
     (_answer(1), ""), ({}, "contact: missing"), ([], "an object is needed"), ({"contact": {"emails": "x"}}, "contact.emails: a list is needed"),

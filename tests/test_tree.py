@@ -63,3 +63,93 @@ def test_promotion_keeps_the_given_tree():
     assert given == before
     shape = lambda r: (r["company"], [shape(s) for s in r["sub_roles"]])
     assert [shape(r) for r in got] == [("A", [("a", [])]), ("b", [("B ", [])]), ("c", []), ("b", []), (None, [])]
+
+
+# ---- answers of any content
+
+
+ANSWERS = {
+    "brackets": "[" * 20_000,
+    "braces": '{"a":' * 20_000,
+    "a string of brackets": json.dumps({"contact": {"name": {"text": "[" * 5000 + '\\"' + "{" * 5000, "source_lines": [1]}}}),
+    "far line": json.dumps({"contact": {"name": {"text": "t", "source_lines": [10**12, -(10**40), 3]}}}),
+    "half a pair": '{"contact": {"name": {"text": "a\\ud800b \\ud83d\\ude00", "source_lines": [1]}}}',
+    "key of half a pair": '{"contact": {}, "x\\udfff": {"text": "t", "source_lines": [1]}}',
+    "NaN": '{"contact": {}, "m": NaN}',
+    "infinite": '{"contact": {}, "m": 1e999}',
+    "digits": '{"contact": {"source_lines": [' + "7" * 6000 + "]}}",
+    "open string": '{"contact": "' + "\\\\" * 9999,
+    "not an object": "[1, 2]",
+    "nothing": "",
+}
+
+
+@pytest.mark.parametrize("name", ANSWERS)
+def test_any_answer_gets_a_status(name):
+    from tallyproof.operators.claims import TableProvider, structure
+
+    made, status, attempts, error = structure("p", TableProvider([ANSWERS[name]] * 3))
+    good = name in ("a string of brackets", "far line", "half a pair", "key of half a pair")
+    assert (status, attempts) == (("ok", 1) if good else ("validation_failed", 3)), error
+    if good:
+        made.encode("utf-8")
+        assert list(tree.nodes(tree.read(made)))
+    error.encode("utf-8")
+
+
+def test_depth_is_bounded_and_deep_roles_are_read():
+    deep = lambda n: "[" * n + "]" * n
+    assert tree.read(deep(tree.MAX_DEPTH)) is not None
+    with pytest.raises(ValueError, match="levels deep"):
+        tree.read(deep(tree.MAX_DEPTH + 1))
+
+
+def test_taken_apart_of_anything(spark):
+    """One payload of each kind in one batch: all others come through whole."""
+    rows = [(k, a) for k, a in enumerate(ANSWERS.values())] + [(99, None), (100, '{"experience": [1, {"company": "A", "sub_roles": 3, "source_lines": ["x", true, 2]}]}')]
+    got = {}
+    for r in tree.taken_apart(spark.createDataFrame(rows, "doc_id long, json string").coalesce(1)).collect():
+        got.setdefault(r["doc_id"], []).append((r["what"], r["path"], r["text"], r["source_lines"]))
+    names = list(ANSWERS)
+    assert got[names.index("far line")] == [("span", "contact.name", "t", [tree.MAX_LINE, -tree.MAX_LINE, 3])]
+    assert got[names.index("half a pair")][0][2] == "a�b \U0001f600"
+    assert got[names.index("key of half a pair")] == [("span", "x�", "t", [1])]
+    assert got[100] == [("object", "experience.0", None, [-1, -1, 2]), ("field", "experience.0", "A", [-1, -1, 2])]
+    assert {names[k] for k in got if k < 50} == {"a string of brackets", "far line", "half a pair", "key of half a pair"}
+
+
+def test_busy_services_are_asked_again():
+    import io
+    import urllib.error
+
+    from tallyproof.operators.claims import ProviderError, chat_answer, chat_request, HttpProvider
+
+    def service(*codes, header=None):
+        left = list(codes)
+
+        def send(url, headers, body, timeout):
+            code = left.pop(0)
+            if code == "slow":
+                raise TimeoutError
+            if code != 200:
+                raise urllib.error.HTTPError(url, code, "", {"Retry-After": header} if header else {}, io.BytesIO())
+            return b'{"choices": [{"message": {"content": "fine"}}]}'
+
+        return send
+
+    def asked(*codes, header=None):
+        slept = []
+        try:
+            out = HttpProvider("http://x", "m", chat_request, chat_answer, send=service(*codes, header=header), sleep=slept.append).propose(["hello \ud800"])[0]
+        except ProviderError as e:
+            out = e.code
+        return out, slept
+
+    assert asked(200) == ("fine", [])
+    assert asked(429, 503, 200) == ("fine", [1, 4])
+    assert asked(429, 200, header="9") == ("fine", [9])
+    assert asked(429, 200, header="900") == ("fine", [16])
+    assert asked("slow", 200) == ("fine", [1])
+    assert asked(429, 429, 429, 429) == ("provider_busy", [1, 4, 16])
+    assert asked("slow", "slow", "slow", "slow") == ("provider_timeout", [1, 4, 16])
+    assert asked(401) == ("provider_refused", []) and asked(400) == ("provider_failed", [])
