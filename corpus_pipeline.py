@@ -3,6 +3,9 @@ mixing, packing. Each stage gets all that the one before kept."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -11,6 +14,27 @@ from tallyproof.llm import mixing, near_dup, packing, pii, quality
 from tallyproof.llm.common import small_or_not, workspace, written
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Columns of documents; a stage sees all others under names of its own choosing.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def any_names(stage: Stage) -> Stage:
+    """A stage for tables with further columns of whatever names, names that a stage uses
+    inside or that differ by case alone from others among them. Columns are told apart by
+    their place: all but those of documents are renamed ahead of the stage and get their
+    names back behind it, if it returns the columns it got."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in COLUMNS else f"also_{k}_" for k, c in enumerate(docs.columns)]
+        out = stage(spark, docs.toDF(*names), sf_dir)
+        return out.toDF(*docs.columns) if out.columns == names else out
+
+    return run
+
+
+@any_names
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text the classifier, fitted on these documents, accepts. Texts
     without words, null included, go; rows that repeat, or have null ids, are decided
@@ -18,6 +42,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.accepted(docs)
 
 
+@any_names
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest id. Rows are decided one
     by one: of those with one id, each stays or goes by its own text, and a null id
@@ -37,6 +62,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
+@any_names
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; n_chars follows. All rows stay."""
     return pii.redact(docs)
@@ -54,6 +80,7 @@ def _numbered(rows: DataFrame, name: str) -> DataFrame:
     return own.join(counts, [*keys, "block"]).withColumn("nr", F.col("own") + F.col("before")).drop("at", "block", "own", "before")
 
 
+@any_names
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mix takes a document; where it takes a part,
     the text ends behind that many words and is as it was before. A null text has no
@@ -86,6 +113,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return rows.select(*(now.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
+@any_names
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece and place; a document that the mix takes several times
     has its pieces in as many places (sequence_id, offset), by which its rows differ.
