@@ -8,9 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 from functools import lru_cache
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -22,9 +20,6 @@ from tallyproof.functions.text import match_key_of
 # Key lengths from which containment and partial likeness count.
 MIN_EXACT, MIN_PARTIAL = 4, 12
 
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
-
-
 def _masks(a: str) -> dict[str, int]:
     masks: dict[str, int] = {}
     for i, c in enumerate(a):
@@ -118,130 +113,35 @@ def claim_score(claim: pd.Series, joined: pd.Series, apart: pd.Series, floor: pd
     return pd.Series([None if c is None else _score(c, tuple(t for t in (j, a) if t is not None), f) for c, j, a, f in rows], dtype="float64")
 
 
-def _grams(codes: np.ndarray, at: np.ndarray, q: int) -> np.ndarray:
-    """A 64-bit hash of the `q` characters at each place."""
-    h = np.zeros(len(at), np.uint64)
-    for j in range(q):
-        h = (h ^ codes[at + j]) * _PRIME
-        h ^= h >> np.uint64(29)
-    return h
-
-
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
-class Finder:
-    """All of many needles whose partial_ratio with a text is `least` or more.
-
-    A score of `least` leaves room for few letters taken out or put in, so that of
-    one more pieces of the shorter string than there may be such letters, one stands
-    whole in the longer string. Pairs without such a piece are not scored, others
-    only where the piece lets the windows begin. Nothing that counts is left out.
-    """
-
-    def __init__(self, needles: list[str], least: float = 95.0):
-        self.needles, self.least = needles, least
-        self.lengths = np.array([len(k) for k in needles], np.int64)
-        self.codes, self.first = _codes("".join(needles)), np.concatenate([[0], np.cumsum(self.lengths)])
-        self.pieces: dict[int, tuple[np.ndarray, ...]] = {}  # by gram length: the needles' own pieces
-        q = self.gram(self.lengths)
-        for k in np.unique(q[self.lengths > 0]).tolist():
-            owner, offset = self.cut(np.where(q == k, self.lengths, 0))
-            self.pieces[k] = self.sorted(owner, offset, k)
-        self.all: dict[int, tuple[np.ndarray, ...]] = {}  # by gram length: the needles' grams at all places
-
-    def room(self, m):
-        """Letters that may differ if a string of m letters is the shorter one; rounding of scores included."""
-        return np.floor(2 * m * (1.000001 - self.least / 100)).astype(np.int64)
-
-    def gram(self, m: np.ndarray) -> np.ndarray:
-        return np.minimum(m // (self.room(m) + 1), 9)
-
-    def cut(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the string and offset in it, of the pieces of strings of these lengths."""
-        n = np.where(m > 0, self.room(m) + 1, 0)
-        owner = np.repeat(np.arange(len(m)), n)
-        j = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        return owner, j * m[owner] // n[owner]
-
-    def sorted(self, owner: np.ndarray, offset: np.ndarray, q: int) -> tuple[np.ndarray, ...]:
-        h = _grams(self.codes, self.first[owner] + offset, q)
-        order = np.argsort(h, kind="stable")
-        sieve = np.zeros(1 << 20, bool)
-        sieve[(h >> np.uint64(44)).astype(np.int64)] = True
-        return h[order], owner[order], offset[order], sieve
-
-    def everywhere(self, q: int) -> tuple[np.ndarray, ...]:
-        if q not in self.all:
-            n = np.maximum(self.lengths - q + 1, 0)
-            owner = np.repeat(np.arange(len(n)), n)
-            self.all[q] = self.sorted(owner, np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n), q)
-        return self.all[q]
-
-    @staticmethod
-    def met(h: np.ndarray, table: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each hash that the table has: its index, the needle and the offset in it."""
-        hashes, owner, offset, sieve = table
-        at = np.flatnonzero(sieve[(h >> np.uint64(44)).astype(np.int64)])
-        lo, hi = np.searchsorted(hashes, h[at]), np.searchsorted(hashes, h[at], side="right")
-        n = hi - lo
-        k = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(at, n), owner[k], offset[k]
-
-    def find(self, texts: list[str]) -> Iterator[tuple[int, int, float]]:
-        """(index of the text, index of the needle, score)."""
-        lengths = np.array([len(t) for t in texts], np.int64)
-        codes, first = _codes("".join(texts)), np.concatenate([[0], np.cumsum(lengths)])
-        found = []  # text, needle, start of the shorter one in the longer, whether the text is the longer one
-        for q, table in self.pieces.items():
-            at = np.arange(max(len(codes) - q + 1, 0))
-            at, needle, offset = self.met(_grams(codes, at, q), table)
-            text = np.searchsorted(first, at, side="right") - 1
-            ok = (at + q <= first[text + 1]) & (self.lengths[needle] <= lengths[text])
-            found.append((text[ok], needle[ok], (at - first[text] - offset)[ok], np.ones(ok.sum(), bool)))
-        grams = self.gram(lengths)
-        for q in np.unique(grams[lengths > 0]).tolist():
-            if not len(self.codes):
-                break
-            text, offset = self.cut(np.where((grams == q) & (lengths <= self.lengths.max()), lengths, 0))
-            at, needle, place = self.met(_grams(codes, first[text] + offset, q), self.everywhere(q))
-            text, start = text[at], place - offset[at]
-            ok = lengths[text] <= self.lengths[needle]
-            found.append((text[ok], needle[ok], start[ok], np.zeros(ok.sum(), bool)))
-        if not found:
-            return
-        text, needle, start, longer = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((start, longer, needle, text))
-        rows = zip(text[order].tolist(), needle[order].tolist(), longer[order].tolist(), start[order].tolist(), strict=True)
-        for (t, k), group in groupby(rows, lambda r: r[:2]):
-            best = 0.0
-            for long, same in groupby(group, lambda r: r[2]):
-                a, b = (self.needles[k], texts[t]) if long else (texts[t], self.needles[k])
-                best = max(best, self.score(a, b, sorted({r[3] for r in same})))
-            if best >= self.least - 1e-4:
-                yield t, k, best
-
-    def score(self, a: str, b: str, starts: list[int]) -> float:
-        """The best ratio of `a` with the windows of `b` that can reach the least, for one of its pieces begins at a place
-        that puts `a` at one of `starts`."""
-        if a in b:
-            return 100.0
-        m, room = len(a), int(self.room(len(a)))
-        best, done, masks = 0.0, 1 - m, None
-        own = {a[i : i + 4] for i in range(m - 3)}
-        for s in starts:
-            lo, hi = max(s - 2 * room, done), min(s + room, len(b) - 1)
-            if lo > hi:
-                continue
-            # a letter taken out spoils four runs of four letters at most, one put in three
-            part = b[max(lo, 0) : hi + m]
-            if len(own.difference([part[i : i + 4] for i in range(len(part) - 3)])) > 4 * room:
-                continue
-            masks = masks or _masks(a)
-            for i in range(lo, hi + 1):
-                window = b[max(i, 0) : i + m]
-                if window and 200.0 * min(m, len(window)) / (m + len(window)) > best:
-                    best = max(best, 200.0 * common(masks, m, window) / (m + len(window)))
+def windows_score(a: str, b: str, starts: list[int], least: float = 95.0) -> float:
+    """The best ratio of `a` with the windows of its length of `b` that can reach `least`, one of `a`'s pieces
+    beginning at a place of `b` that puts `a` at one of `starts`."""
+    if a in b:
+        return 100.0
+    m = len(a)
+    room = int(2 * m * (1.000001 - least / 100))
+    best, done, masks = 0.0, 1 - m, None
+    own = {a[i : i + 4] for i in range(m - 3)}
+    for s in starts:
+        lo, hi = max(s - 2 * room, done), min(s + room, len(b) - 1)
+        if lo > hi:
+            continue
+        # a letter taken out spoils four runs of four letters at most, one put in three
+        part = b[max(lo, 0) : hi + m]
+        if len(own.difference([part[i : i + 4] for i in range(len(part) - 3)])) > 4 * room:
+            continue
+        masks = masks or _masks(a)
+        # no window has more of `a` in order than all of them together
+        if common(masks, m, part) < least * m / (200 - least) - 1e-3:
             done = hi + 1
-        return best
+            continue
+        for i in range(lo, hi + 1):
+            window = b[max(i, 0) : i + m]
+            if window and 200.0 * min(m, len(window)) / (m + len(window)) > best:
+                best = max(best, 200.0 * common(masks, m, window) / (m + len(window)))
+        done = hi + 1
+    return best

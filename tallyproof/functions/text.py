@@ -84,6 +84,11 @@ def match_key(text: pd.Series) -> pd.Series:
     return text.map(match_key_of, na_action="ignore")
 
 
+def folded_ascii(text: Column) -> Column:
+    """The key of a text that is ASCII alone: `match_key` without leaving the JVM."""
+    return F.lower(stripped(F.regexp_replace(text, r"[ \t]+", " ")))
+
+
 @F.pandas_udf(StringType())
 def mojibake(text: pd.Series) -> pd.Series:
     return text.map(repair, na_action="ignore")

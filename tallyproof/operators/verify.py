@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyproof.functions.fuzzy import MIN_EXACT, claim_score
-from tallyproof.functions.text import contains_word, stripped
+from tallyproof.functions.text import contains_word, folded_ascii
 
 # Fixed value: the score that verifies.
 THRESHOLD = 95.0
@@ -30,11 +30,6 @@ def cited_text(claims: DataFrame, lines: DataFrame, keys: list[str], doc: str =
     )
 
 
-def _folded(text: Column) -> Column:
-    """The key of a text that is ASCII alone: `match_key` without leaving the JVM."""
-    return F.lower(stripped(F.regexp_replace(text, r"[ \t]+", " ")))
-
-
 def score(claims: DataFrame, lines: DataFrame, keys: list[str], text_col: str = "text", doc: str = "doc_id", floor: float = 0.0) -> DataFrame:
     """`claims` with `score` (0 to 100) and `n_missing`.
 
@@ -49,7 +44,7 @@ def score(claims: DataFrame, lines: DataFrame, keys: list[str], text_col: str =
     claim = F.coalesce(F.col(text_col), F.lit(""))
     void = (F.coalesce(F.col("n_cited"), F.lit(0)) == 0) | (F.col("n_missing") > 0)
     ascii_ = lambda c: F.octet_length(c) == F.char_length(c)
-    k, k1 = _folded(claim), _folded(F.col("joined"))
+    k, k1 = folded_ascii(claim), folded_ascii(F.col("joined"))
     whole = (F.char_length(k) >= MIN_EXACT) & ascii_(claim) & ascii_(F.col("joined")) & contains_word(k1, k)
     known = F.when(void, 0.0).when(whole, 100.0)
     rows = found.withColumn("__known", known)

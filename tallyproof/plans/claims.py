@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyproof.functions import text as T
-from tallyproof.operators import claims as K, coverage as C, tree, verify as V, views
-from tallyproof.plans.base import DL, query, table
+from tallyproof.operators import claims as K, coverage as C, spans, tree, verify as V, views
+from tallyproof.plans.base import DL, documents, query, table
 from tallyproof.plans.lines import KEY, document_lines
 from tallyproof.sources.files import settled
 
@@ -252,69 +252,10 @@ def span_exact_containment(spark, sf_dir):
     return benchmark_candidates(spark, sf_dir).where(T.contains_word(F.col("text"), F.col("item"))).select("doc_id", "item_id")
 
 
-#: Items that one pass over the lines looks for, and characters of lines that are looked through at once.
-ITEMS_AT_ONCE, CHARACTERS_AT_ONCE = 2000, 1 << 19
-
-
-def _fuzzy_pass(lines: DataFrame, ids: list, keys: list[str], kind: str) -> DataFrame:
-    from tallyproof.functions.fuzzy import Finder
-
-    def run(batches):
-        import pyarrow as pa
-
-        finder = Finder(keys)
-
-        def looked(part: dict) -> pa.RecordBatch:
-            texts = list(part)
-            out = [(d, ids[k], n, score) for t, k, score in finder.find(texts) for d, n, long in part[texts[t]] if long or len(texts[t]) >= len(keys[k])]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(fields)], names=["doc_id", "item_id", "no", "score"])
-
-        for batch in batches:
-            fields = [batch.schema.field("doc_id"), pa.field("item_id", item_type), pa.field("no", pa.int32()), pa.field("score", pa.float64())]
-            part, size = {}, 0  # equal lines are looked through once
-            for d, n, line in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                key = T.match_key_of(line)
-                if key not in part:
-                    size += len(key)
-                part.setdefault(key, []).append((d, n, len(line) >= 12))
-                if size >= CHARACTERS_AT_ONCE:
-                    yield looked(part)
-                    part, size = {}, 0
-            yield looked(part)
-
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import _parse_datatype_string
-
-    item_type = to_arrow_type(_parse_datatype_string(kind))
-    return lines.mapInArrow(run, f"doc_id {lines.schema['doc_id'].dataType.simpleString()}, item_id {kind}, no int, score double")
-
-
-def fuzzy_spans(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, no, score) of all items and all single lines of documents
-    whose keys score 95 or more. A line that is shorter than its item has 12
-    characters at least; an item with an empty key is nowhere. Items come in blocks
-    of a bounded number, each held against all lines."""
-    from functools import reduce
-    from itertools import batched
-
-    from tallyproof.operators.lines import split_lines
-
-    lines = docs.select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("no", "line")).select("doc_id", (F.col("no") + 1).alias("no"), "line")
-    kind = items.schema["item_id"].dataType.simpleString()
-    each = ((r[0], key) for r in items.select("item_id", "text").where("text IS NOT NULL").toLocalIterator() if (key := T.match_key_of(r[1])))
-    passes = []
-    for block in batched(each, ITEMS_AT_ONCE):
-        shortest = min(12, *(len(k) for _, k in block))
-        passes.append(_fuzzy_pass(lines.where(F.length("line") >= shortest), [i for i, _ in block], [k for _, k in block], kind))
-    if not passes:
-        return _fuzzy_pass(lines.limit(0), [], [], kind)
-    return reduce(DataFrame.unionByName, passes).withColumn("score", F.round("score", 4)).where("score >= 95")
-
-
 @query()
 def span_fuzzy(spark, sf_dir):
     """Benchmark items against the single lines of all documents."""
-    return fuzzy_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return spans.fuzzy_spans(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'invalid' WHEN event_id % 5 = 0 THEN 'k_missing' ELSE 'ok' END AS verdict,

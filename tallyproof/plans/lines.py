@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from tallyproof.functions import links, text as T, values
 from tallyproof.operators import lines as L
-from tallyproof.plans.base import BREAK, DL, DZ, query, table
+from tallyproof.plans.base import BREAK, DL, DZ, documents, query, table
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.text_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return L.text_lines(documents(spark, sf_dir).select("doc_id", "text"))
 
 
 def zoned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's first line counts as header, its last as footer."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
     # split once for each document: a count beside the generator would be worked out for each line
     docs = docs.select("source", "doc_id", L.split_lines(F.col("text")).alias("parts"))
     rows = docs.select("source", "doc_id", F.size("parts").alias("n"), F.posexplode("parts").alias("no", "text")).withColumn("no", F.col("no") + 1)

@@ -149,6 +149,19 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """`df` dealt out by `key` where its scan has fewer tasks than the session has cores, as a
+    single file of one row group has: what is done to each text then runs on all of them.
+    A scan of more tasks, like that of any large table, stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def few(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """`df`, to be broadcast if a count shows that it has `rows` rows at most; a plain join side beyond."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def save(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Tables keyed by sha; readers see a whole version or none."""
     df.write.mode(mode).parquet(path)
