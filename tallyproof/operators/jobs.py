@@ -39,41 +39,77 @@ def token_ratio(a: str, b: str) -> float:
     return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
 
 
+def near_candidates(strings: DataFrame, least: float = 92.0) -> DataFrame:
+    """(co, a, b), a before b: pairs of strings `strings`(co, s) of one company that may
+    have a likeness of `least`, all that do among them.
+
+    Such strings are few letters apart, and each letter put in or taken out costs a
+    string three of its runs of three letters at most. So of the runs of either one,
+    ordered by how rare they are in the company, one among the first three times as many
+    as there may be such letters, and one more, is among those of the other. Only these
+    are posted: what all titles of a company share, like its own name, is at the end of
+    that order and brings nobody together. Lengths must fit as well.
+    """
+    off = 1 - least / 100
+    if not 0 <= off <= 0.12:
+        raise ValueError("a likeness of 88 to 100 is needed: below, alike strings may share no run of three letters")
+    n = F.length("s")
+    letters = F.floor(2 * off * n / (1 - off) + 1e-9).cast("int")
+    runs = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(F.col("s"), i, F.lit(3)))
+    # shorter ones leave no room for another letter, so they are like nothing else
+    each = strings.where(n > 2).select("co", "s", n.alias("n"), (3 * letters + 1).alias("most"), F.explode(runs).alias("gram"))
+    # a run that comes again in a string counts as another one, with a number
+    grams = each.groupBy("co", "s", "n", "most", "gram").agg(F.count("*").cast("int").alias("times"))
+    grams = grams.select("co", "s", "n", "most", "gram", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nr"))
+    common = grams.groupBy("co", "gram", "nr").agg(F.count("*").alias("held"))
+    ranked = grams.join(common, ["co", "gram", "nr"])
+    rarest = Window.partitionBy("co", "s").orderBy("held", "gram", "nr")
+    posted = settled(ranked.withColumn("place", F.row_number().over(rarest)).where("place <= most").select("co", "s", "n", "gram", "nr"))
+    one, two = posted.withColumnsRenamed({"s": "a", "n": "na"}), posted.withColumnsRenamed({"s": "b", "n": "nb"})
+    fits = 2 * F.least("na", "nb") + 1e-9 >= (1 - off) * (F.col("na") + F.col("nb"))
+    return one.join(two, ["co", "gram", "nr"]).where((F.col("a") < F.col("b")) & fits).select("co", "a", "b").distinct()
+
+
+def smallest_reached(links: DataFrame) -> DataFrame:
+    """(key, of): for each end of `links`(a, b) the smallest key that chains of links lead
+    to. Links are turned into stars round by round: each node's larger neighbours are
+    linked to the smallest around it, then its smaller ones; rounds grow with the logarithm
+    of the longest chain, and no round has more links than were given and ends together."""
+    star = settled(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    while True:
+        both = star.unionByName(star.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).withColumnsRenamed({"hi": "u", "lo": "v"})
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        small = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        joined = large.join(small, "hi")
+        down = joined.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(small.select("hi", F.col("m").alias("lo"))).distinct()
+        again = settled(down)
+        if not again.exceptAll(star).limit(1).count() and not star.exceptAll(again).limit(1).count():
+            return again.select(F.col("hi").alias("key"), F.col("lo").alias("of")).unionByName(again.select(F.col("lo").alias("key"), F.col("lo").alias("of")).distinct())
+        star = again
+
+
 def near_keys(jobs: DataFrame, least: float = 92.0) -> DataFrame:
     """(key, of): each distinct key of `jobs`(company, key) and the smallest key that
     chains of likenesses of `least` or more lead to, within one company.
 
-    A likeness of 92 leaves room for few changed letters, so that of one more pieces
-    of the shorter string one stands whole in the other: keys meet over equal pieces,
-    never all with all. What is alike is checked in one Arrow UDF.
+    Keys of the same words are alike at once; others meet by `near_candidates`, and
+    what meets is scored, each pair of strings once.
     """
-    room = 2 * (1 - least / 100)
-    keys = jobs.select(F.trim(F.lower("company")).alias("co"), "key").distinct().withColumn("s", sorted_tokens(F.replace("key", F.lit("|"), F.lit(" "))))
-    n = F.length("s")
-    pieces = lambda m: F.floor(m * room).cast("int") + 1  # noqa: E731  letters that may differ if m is the shorter length, and one
-    size = lambda m: F.floor(m / pieces(m)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), pieces(n) - 1), lambda j: F.substring(F.col("s"), (j * size(n)).cast("int") + 1, size(n)))
-    own = keys.where("s <> ''").select("co", F.col("key").alias("a"), F.col("s").alias("sa"), F.explode(F.array_distinct(cut)).alias("gram"))
-    # the other side shows all its pieces, of each length that a shorter partner could have
-    shortest = F.greatest(F.lit(1), F.floor(n * (1 - room)).cast("int"))
-    sizes = F.array_distinct(F.transform(F.sequence(shortest, n), size))
-    grams = F.flatten(F.transform(sizes, lambda q: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - q + 1)), lambda i: F.substring(F.col("s"), i, q))))
-    other = keys.where("s <> ''").select("co", F.col("key").alias("b"), F.col("s").alias("sb"), F.explode(F.array_distinct(grams)).alias("gram"))
-    pairs = own.join(other, ["co", "gram"]).where("a <> b and length(sa) <= length(sb)").select("a", "b").distinct()
-    alike = pairs.where(_token_ratio("a", "b") >= least)
-    both = settled(alike.unionByName(alike.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    found = settled(keys.select("key", F.col("key").alias("of")).distinct())
-    while True:  # the smallest key spreads along chains, one link or more a round
-        spread = both.join(found, both["b"] == found["key"]).groupBy("a").agg(F.min("of").alias("low"))
-        further = settled(found.join(spread, found["key"] == spread["a"], "left").select("key", F.least("of", "low").alias("of")))
-        if not further.join(found.withColumnRenamed("of", "was"), "key").where("of <> was").limit(1).count():
-            return further
-        found = further
+    keys = settled(jobs.select(F.trim(F.lower("company")).alias("co"), "key").where("key is not null").distinct().withColumn("s", sorted_tokens(F.replace("key", F.lit("|"), F.lit(" ")))))
+    strings = keys.groupBy("co", "s").agg(F.min("key").alias("first"))
+    pairs = near_candidates(strings.select("co", "s"), least)
+    alike = pairs.where(_ratio("a", "b") >= least)
+    first = lambda side: strings.select("co", F.col("s").alias(side), F.col("first").alias(f"key_{side}"))
+    links = alike.join(first("a"), ["co", "a"]).join(first("b"), ["co", "b"]).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    same = keys.join(strings, ["co", "s"]).where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
+    reached = smallest_reached(links.unionByName(same))
+    return keys.select("key").distinct().join(reached, "key", "left").select("key", F.coalesce("of", "key").alias("of"))
 
 
 @F.pandas_udf(DoubleType())
-def _token_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_ratio(x.replace("|", " "), y.replace("|", " ")) for x, y in zip(a, b, strict=True)], dtype="float64")
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def near_duplicates(jobs: DataFrame, fields: list[str], least: float = 92.0) -> DataFrame:

@@ -275,6 +275,27 @@ def test_near_job_keys(spark):
     assert got == {i: None if i == min(ids) else min(ids) for ids in group.values() for i in ids}
 
 
+def test_titles_that_share_a_word_do_not_all_meet(spark):
+    """Three thousand titles of one company, all with one word: what meets is bounded by what is alike."""
+    import random
+
+    rng = random.Random(2)
+    own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(14)) for _ in range(1500)]
+    titles = [f"engineer {w}" for w in own] + [f"engineer {w[:7]}x{w[8:]}" for w in own]
+    strings = spark.createDataFrame([("acme", " ".join(sorted(f"acme {t}".split()))) for t in titles], "co string, s string")
+    met = {(r["a"], r["b"]) for r in J.near_candidates(strings).collect()}
+    assert len(met) < 20 * len(titles)  # all pairs would be 4.5 million
+    want = {tuple(sorted(" ".join(sorted(f"acme {t}".split())) for t in pair)) for pair in zip(titles[:1500], titles[1500:], strict=True)}
+    assert {p for p in want if p[0] != p[1]} <= met
+
+
+def test_components_of_long_chains(spark):
+    links = [(f"k{i:03}", f"k{i + 1:03}") for i in range(150)] + [("x3", "x1"), ("x1", "x2"), ("y", "y"), ("z9", "k100")]
+    got = {r["key"]: r["of"] for r in J.smallest_reached(spark.createDataFrame(links, "a string, b string")).collect()}
+    assert got == {f"k{i:03}": "k000" for i in range(151)} | {"x1": "x1", "x2": "x1", "x3": "x1", "z9": "k000"}
+    assert J.smallest_reached(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
 def test_jobs(spark):
     rows = [(1, "ACME", "Dev (m/f)", None, "x"), (2, "acme", "DEV", 5, "x"), (3, "other", "Dev", 1, None)]
     df = spark.createDataFrame(rows, "job_id long, company string, title string, salary int, place string").withColumn("key", J.dedupe_key(F.col("company"), F.col("title")))
