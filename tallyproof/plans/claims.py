@@ -115,26 +115,25 @@ for _name in ("ex", "sh", "lc", "ls", "pc", "pp", "po", "jd"):
     _FIELDS = re.sub(rf"\b{_name}\b(?=[ .)\n])", f"f{_name}", _FIELDS)
 
 
-def document_fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lines = document_lines(spark, sf_dir)
+def document_fields(lines: DataFrame) -> DataFrame:
     k, words = F.col("doc_id") % 4, F.split("text", " ")
     two = F.concat(F.coalesce(F.get(words, F.lit(0)), F.lit("")), F.lit(" "), F.coalesce(F.get(words, F.lit(1)), F.lit("")))
     value = F.when(k == 0, F.col("text")).when(k == 1, F.concat(F.lit("Qx"), F.col("doc_id").cast("string"), F.lit(" Holdings"))).otherwise(two)
     cited = F.array_sort(F.collect_set("no")).alias("source_lines")
     fields = lines.where("no <= 3").withColumn("value", F.when(F.col("no") == 1, value)).groupBy("doc_id").agg(F.max("value").alias("value"), cited)
-    return fields.select("doc_id", F.lit("experience.0").alias("object_path"), F.lit("company").alias("field"), "value", "source_lines"), lines
+    return fields.select("doc_id", F.lit("experience.0").alias("object_path"), F.lit("company").alias("field"), "value", "source_lines")
 
 
 @query(f"WITH RECURSIVE {DL}, {_FIELDS} SELECT doc_id, 1 AS no, 'unsourced_company' AS reason FROM fjd WHERE no = 0 AND NOT ok")
 def bare_field_flags(spark, sf_dir):
-    fields, lines = document_fields(spark, sf_dir)
-    return V.bare_fields(fields, lines)[0]
+    lines = document_lines(spark, sf_dir)
+    return V.bare_fields(document_fields(lines), lines)[0]
 
 
 @query(f"WITH RECURSIVE {DL}, {_FIELDS} SELECT doc_id, no FROM fjd WHERE no > 0 AND ok")
 def bare_field_lines(spark, sf_dir):
-    fields, lines = document_fields(spark, sf_dir)
-    return V.bare_fields(fields, lines)[1]
+    lines = document_lines(spark, sf_dir)
+    return V.bare_fields(document_fields(lines), lines)[1]
 
 
 _STATES = _CLAIMS + "," + _FIELDS + """,
@@ -152,15 +151,15 @@ rq AS (SELECT rp.*, coalesce(flagged, '') AS flagged, CAST(CASE WHEN non_blank_l
 """
 
 
-def document_report(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(states of all lines, report with flags, flags) of claims and plain fields together; verdicts are worked out once."""
-    lines, judged = judged_claims(spark, sf_dir)
-    judged = settled(judged.select("doc_id", "claim_id", "source_lines", "verified", "flag", "reason"))
-    unsourced, borne = V.bare_fields(*document_fields(spark, sf_dir))
-    borne = settled(borne)
-    states = C.line_states(lines, C.claimed_lines(judged).unionByName(borne), C.represented_lines(judged).unionByName(borne))
-    flags = V.flags(judged).unionByName(unsourced)
-    return states, C.report(states, flags), flags
+def document_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines with what claims and plain fields together say of them; lines are split once, and each verdict is worked out once."""
+    lines = settled(claimed_document_lines(spark, sf_dir))
+    judged = V.judge(document_claims(lines, spark, sf_dir), document_fields(lines), lines)
+    return C.accounts(lines, V.marks(judged))
+
+
+def document_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.account_report(document_accounts(spark, sf_dir))
 
 
 def _listed(name: str):
@@ -169,19 +168,19 @@ def _listed(name: str):
 
 @query(f"WITH RECURSIVE {_STATES} SELECT * FROM rq")
 def coverage_report(spark, sf_dir):
-    _, report, _ = document_report(spark, sf_dir)
+    report = document_report(spark, sf_dir)
     return report.select("doc_id", "total_lines", "non_blank_lines", "claimed_lines", "represented_lines", _listed("unassigned"), _listed("claimed_not_represented"), F.array_join(F.transform("flagged", lambda f: F.concat_ws(":", f["no"].cast("string"), f["reason"])), ",").alias("flagged"), "coverage_pct", "represented_pct")
 
 
 @query(f"""WITH RECURSIVE {_STATES} SELECT count(*) AS n_docs, CAST(round_even(avg(coverage_pct), 4) AS DOUBLE) AS mean_coverage, min(coverage_pct) AS min_coverage,
  CAST(round_even(avg(represented_pct), 4) AS DOUBLE) AS mean_represented, min(represented_pct) AS min_represented, CAST(round_even(avg(coverage_pct - represented_pct), 4) AS DOUBLE) AS mean_gap FROM rq""")
 def corpus_summary(spark, sf_dir):
-    return C.summary(document_report(spark, sf_dir)[1])
+    return C.summary(document_report(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {_STATES} SELECT doc_id, represented_pct FROM rq ORDER BY represented_pct, doc_id LIMIT 5")
 def worst_documents(spark, sf_dir):
-    return document_report(spark, sf_dir)[1].select("doc_id", "represented_pct").orderBy("represented_pct", "doc_id").limit(5)
+    return document_report(spark, sf_dir).select("doc_id", "represented_pct").orderBy("represented_pct", "doc_id").limit(5)
 
 
 @query(f"""WITH RECURSIVE {_CLAIMS} SELECT doc_id, no, reason, count(*) AS n FROM fl GROUP BY 1, 2, 3""")
@@ -193,8 +192,7 @@ def claim_flags(spark, sf_dir):
 SELECT st.doc_id, st.no, CASE WHEN fn.no IS NOT NULL THEN 'flag' WHEN live AND NOT claimed THEN 'unassigned' ELSE 'claimed' END AS state
 FROM st LEFT JOIN fn ON fn.doc_id = st.doc_id AND fn.no = st.no""")
 def gutter(spark, sf_dir):
-    states, _, flags = document_report(spark, sf_dir)
-    return C.gutter(states, flags)
+    return C.account_gutter(document_accounts(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {_CLAIMS} SELECT doc_id, no, string_agg(CAST(claim_id AS VARCHAR), ',' ORDER BY claim_id) AS claim_ids FROM (SELECT doc_id, claim_id, unnest(cited) AS no FROM claims) GROUP BY 1, 2")
@@ -206,15 +204,14 @@ def reverse_index(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_STATES} SELECT st.doc_id, st.no, dl.text, CASE WHEN claimed THEN 'claimed_not_represented' ELSE 'unassigned' END AS kind FROM st JOIN dl ON dl.doc_id = st.doc_id AND dl.no = st.no WHERE live AND NOT represented")
 def proof_context(spark, sf_dir):
-    states, _, _ = document_report(spark, sf_dir)
-    return states.where(F.col("non_blank") & ~F.col("represented")).select("doc_id", "no", "text", F.when(F.col("claimed"), "claimed_not_represented").otherwise("unassigned").alias("kind"))
+    return document_accounts(spark, sf_dir).where(F.col("non_blank") & ~F.col("represented")).select("doc_id", "no", "text", F.when(F.col("claimed"), "claimed_not_represented").otherwise("unassigned").alias("kind"))
 
 
 @query(f"""WITH RECURSIVE {_STATES} SELECT d.doc_id, r.coverage_pct, r.represented_pct, CASE WHEN r.doc_id IS NULL THEN 'empty_document' END AS failure
 FROM documents d LEFT JOIN rq r ON r.doc_id = d.doc_id""")
 def coverage_table(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("input_ord"))
-    report = document_report(spark, sf_dir)[1].select("doc_id", "coverage_pct", "represented_pct")
+    report = document_report(spark, sf_dir).select("doc_id", "coverage_pct", "represented_pct")
     failed = docs.join(report, "doc_id", "left_anti").select("doc_id", F.lit("empty_document").alias("failure"))
     return views.batch_table(docs, report, failed, "doc_id").select("doc_id", "coverage_pct", "represented_pct", "failure")
 
@@ -400,7 +397,7 @@ def usable_parses(spark, sf_dir):
     n = F.col("claim_id").cast("string")
     path = F.when(F.col("claim_id") % 3 == 0, F.concat(F.lit("other_sections."), n)).otherwise(F.concat(F.lit("experience."), (F.col("claim_id") % 2).cast("string"), F.lit("."), n))
     lines = claimed_document_lines(spark, sf_dir)
-    return K.usable(document_claims(lines, spark, sf_dir).withColumn("path", path), document_report(spark, sf_dir)[1])
+    return K.usable(document_claims(lines, spark, sf_dir).withColumn("path", path), document_report(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {_STATES} SELECT doc_id, coverage_pct, CAST(CASE WHEN non_blank_lines > 0 THEN 0 ELSE 100 END AS DOUBLE) AS represented_pct FROM (

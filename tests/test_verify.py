@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from tallyproof.operators import coverage as C, verify as V
@@ -77,3 +79,41 @@ def test_mutations(spark):
     assert fewer["coverage_pct"] < 100
     emptied, _ = report(spark, texts, [("made up entirely", [i]) for i in range(1, 9)])
     assert emptied["coverage_pct"] == 100.0 and emptied["represented_pct"] == 0.0
+
+
+def test_one_judged_table(spark):
+    """Claims and plain fields in one relation say of each line what they say apart."""
+    texts = ["Halcyon Systems", "Engineer", "", "Built things there", "nobody's line"]
+    lines, cl, judged = judge(spark, [(t, []) for t in texts], [("Built things there", [4]), ("invented words here", [4, 9]), ("a claim of nothing", []), ("Halcyon", [1, 1]), (None, [2])])
+    fields = spark.createDataFrame(
+        [(1, "experience.0", "company", "Northlight", [1, 2]), (1, "experience.0", "title", "Engineer", [1, 2, 2]), (1, "experience.1", "company", "abc", [1]), (1, "x", "name", "Halcyon Systems", [99])],
+        "doc_id long, object_path string, field string, value string, source_lines array<int>",
+    )
+    unsourced, borne = V.bare_fields(fields, lines)
+    states = C.line_states(lines, C.claimed_lines(judged).unionByName(borne), C.represented_lines(judged).unionByName(borne))
+    flagged = V.flags(judged).unionByName(unsourced)
+    rows = C.accounts(lines, V.marks(V.judge(cl, fields, lines)))
+    want, got = C.report(states, flagged).first().asDict(), C.account_report(rows).first().asDict()
+    assert got == want and (0, "hallucinated_span") in map(tuple, got["flagged"]) and (99, "unsourced_name") in map(tuple, got["flagged"])
+    by = lambda df: sorted(map(tuple, df.collect()))
+    assert by(C.account_gutter(rows)) == by(C.gutter(states, flagged))
+    gone = spark.createDataFrame([(1, 5)], "doc_id long, no int")
+    assert C.account_report(C.accounts(lines, V.marks(V.judge(cl, fields, lines)), gone)).first()["non_blank_lines"] == 3
+
+
+def test_verdicts_with_and_without_figures(spark):
+    """What is told without the UDF, or from pieces that stand whole, is what the figure says."""
+    rnd = random.Random(5)
+    pairs = []
+    for n in range(600):
+        text = "".join(rnd.choice("abcde fgh") for _ in range(rnd.choice([3, 9, 11, 12, 18, 19, 20, 27, 38, 57, 120])))
+        a = rnd.randrange(len(text))
+        claim = list(text if n % 3 else text[a : a + rnd.randrange(1, 60)])
+        for _ in range(rnd.randrange(0, 2 + len(claim) // 15)):
+            i = rnd.randrange(len(claim) + 1)
+            claim[i : i + rnd.randrange(2)] = rnd.choice(["", "x", "é", "ß"] if n % 2 else ["", "x"])
+        pairs.append((text, "".join(claim)))
+    lines = spark.createDataFrame([(1, i, t, []) for i, (t, _) in enumerate(pairs, 1)], LINES)
+    claims = spark.createDataFrame([(1, i, f"p.{i}", "span", c, [i]) for i, (_, c) in enumerate(pairs, 1)], CLAIMS)
+    whole, quick = ({r["claim_id"]: r["verified"] for r in V.verify(claims, lines, verdicts_only=x).collect()} for x in (False, True))
+    assert whole == quick and len(whole) == 600 and 100 < sum(whole.values()) < 550
