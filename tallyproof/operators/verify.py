@@ -43,8 +43,8 @@ def _hopeless(k: Column, text: Column, floor: float) -> Column:
 
     Strings that alike differ in at most a twentieth of their letters together, which is
     less than a ninth of the shorter one's: of one more pieces of it than that, one stands
-    whole in the longer one. A short claim is only measured against the whole text, whose
-    length must then be about the same.
+    whole in the longer one. A short claim that the text doesn't contain is only measured
+    against the whole text, whose length must then be about the same.
     """
     m = F.least(F.char_length(k), F.char_length(text))
     shorter, longer = F.when(F.char_length(k) <= F.char_length(text), k).otherwise(text), F.when(F.char_length(k) <= F.char_length(text), text).otherwise(k)
@@ -58,7 +58,7 @@ def _hopeless(k: Column, text: Column, floor: float) -> Column:
 def score(claims: DataFrame, lines: DataFrame, keys: list[str], text_col: str = "text", doc: str = "doc_id", floor: float = 0.0) -> DataFrame:
     """`claims` with `score` (0 to 100) and `n_missing`.
 
-    One pass over claims joined to what they cite. ASCII text that contains the claim
+    One pass over claims joined to what they cite. ASCII text that, in either form, contains the claim
     word for word scores 100 with built-in functions; where a `floor` says that only a
     verdict is wanted, ASCII text that can't reach it is told by built-in functions too.
     Only what is left reaches the similarity UDF, which gets nulls for all other rows.
@@ -71,7 +71,7 @@ def score(claims: DataFrame, lines: DataFrame, keys: list[str], text_col: str =
     rows = cited_text(claims, lines, keys, doc).withColumn("__void", (F.col("n_cited") == 0) | (F.col("n_missing") > 0))
     rows = rows.withColumn("__k", plain(claim)).withColumn("__k1", plain(F.col("joined"))).withColumn("__k2", plain(F.col("apart")))
     k, k1, k2 = F.col("__k"), F.col("__k1"), F.col("__k2")
-    known = F.when(F.col("__void"), 0.0).when((F.char_length(k) >= MIN_EXACT) & contains_word(k1, k), 100.0)
+    known = F.when(F.col("__void"), 0.0).when((F.char_length(k) >= MIN_EXACT) & (contains_word(k1, k) | contains_word(k2, k)), 100.0)
     if floor >= THRESHOLD - 1e-3:
         known = known.when(k.isNotNull() & k1.isNotNull() & _hopeless(k, k1, floor) & (F.col("apart").isNull() | _hopeless(k, k2, floor)), 0.0)
     rows = rows.withColumn("__known", known)

@@ -113,7 +113,9 @@ def test_verdicts_with_and_without_figures(spark):
             i = rnd.randrange(len(claim) + 1)
             claim[i : i + rnd.randrange(2)] = rnd.choice(["", "x", "é", "ß"] if n % 2 else ["", "x"])
         pairs.append((text, "".join(claim)))
-    lines = spark.createDataFrame([(1, i, t, []) for i, (t, _) in enumerate(pairs, 1)], LINES)
-    claims = spark.createDataFrame([(1, i, f"p.{i}", "span", c, [i]) for i, (_, c) in enumerate(pairs, 1)], CLAIMS)
+    cut = lambda i, t: [] if i % 4 else [t[: len(t) // 2] + "-", t[len(t) // 2 :]]
+    lines = spark.createDataFrame([(1, i, t, cut(i, t)) for i, (t, _) in enumerate(pairs, 1)], LINES)
+    pairs = [(t, " ".join(cut(i, t)) if i % 8 == 0 else c) for i, (t, c) in enumerate(pairs, 1)]
+    claims = spark.createDataFrame([(1, i, f"p.{i}", "span", c, [i, 1 + i % 600] if i % 12 == 0 else [i]) for i, (_, c) in enumerate(pairs, 1)], CLAIMS)
     whole, quick = ({r["claim_id"]: r["verified"] for r in V.verify(claims, lines, verdicts_only=x).collect()} for x in (False, True))
     assert whole == quick and len(whole) == 600 and 100 < sum(whole.values()) < 550
