@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyproof.functions.text import same_company
+from tallyproof.operators.overrides import ranked_within
 from tallyproof.sources.files import settled
 
 
@@ -41,13 +42,15 @@ def promote(roles: DataFrame, doc: str = "doc_id") -> DataFrame:
     level, in document order; those at the same company stay where they are."""
     at = walk(roles, doc)
     top = F.when(~F.col("foreign"), F.col("parent_role_id"))
-    order = Window.partitionBy(doc, "new_parent").orderBy("path")
-    return at.withColumn("new_parent", top).withColumn("new_ord", F.row_number().over(order) - 1)
+    rows = ranked_within(at.withColumn("new_parent", top), [doc, "new_parent"], ["path", "role_id"], "new_ord")
+    return rows.withColumn("new_ord", (F.col("new_ord") - 1).cast("int"))
 
 
 def flatten(roles: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Roles in pre-order with depth and the path they have in the parse
-    (experience.0.sub_roles.1)."""
+    (experience.0.sub_roles.1). One document may hold most of the roles: they are
+    numbered over ranges of paths."""
     at = walk(roles, doc)
     parts = F.transform("path", lambda p: p.cast("string"))
-    return at.withColumn("parse_path", F.concat(F.lit("experience."), F.array_join(parts, ".sub_roles."))).withColumn("position", F.row_number().over(Window.partitionBy(doc).orderBy("path")))
+    named = at.withColumn("parse_path", F.concat(F.lit("experience."), F.array_join(parts, ".sub_roles.")))
+    return ranked_within(named, [doc], ["path", "role_id"]).withColumn("position", F.col("position").cast("int"))

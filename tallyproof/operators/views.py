@@ -7,9 +7,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyproof.operators.overrides import ranked_within
+
+
+def ordered_groups(rows: DataFrame, keys: list[str], group: str, value: str, order: str) -> DataFrame:
+    """(keys, group, first_at, position, value): what `first_seen_groups` lists, a row for
+    each value, for groups of any size. Sorted by keys, first_at and position it reads as
+    that does; equal places are told apart by the value."""
+    ranked = ranked_within(rows.select(*keys, group, value, order), [*keys, group], [order, value])
+    first = rows.groupBy(*keys, group).agg(F.min(order).alias("first_at"))
+    of = reduce(lambda a, b: a & b, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, group]))
+    return ranked.alias("a").join(first.alias("b"), of).select(*(f"a.{k}" for k in [*keys, group]), "first_at", "position", value)
+
 
 def first_seen_groups(rows: DataFrame, keys: list[str], group: str, value: str, order: str) -> DataFrame:
-    """Values by group, groups in the order in which they first appear."""
+    """Values by group, groups in the order in which they first appear. A group is one
+    array: for those of one document; `ordered_groups` is for groups without a bound."""
     parts = F.array_sort(F.collect_list(F.struct(order, value)))
     out = rows.groupBy(*keys, group).agg(F.min(order).alias("first_at"), parts.alias("parts"))
     return out.select(*keys, group, "first_at", F.transform("parts", lambda p: p[value]).alias("values"))

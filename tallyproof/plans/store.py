@@ -35,7 +35,7 @@ def role_promotion(spark, sf_dir):
 
 _EDITS = """
 vals AS (SELECT o_orderkey AS sha, 'personal.name' AS path, o_orderpriority AS value FROM orders UNION ALL SELECT o_orderkey, 'experience.0.title', o_orderstatus FROM orders),
-edits AS (SELECT o_orderkey AS sha, CASE o_orderkey % 3 WHEN 0 THEN 'personal.name' WHEN 1 THEN 'experience.0.title' ELSE 'experience.9.title' END AS path, CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE 'edited ' || o_orderkey END AS value FROM orders WHERE o_orderkey % 2 = 0)
+edits AS (SELECT o_orderkey AS sha, CASE o_orderkey % 3 WHEN 0 THEN 'personal.name' WHEN 1 THEN 'experience.0.title' ELSE 'summary.text' END AS path, CASE WHEN o_orderkey % 10 = 0 THEN '' ELSE 'edited ' || o_orderkey END AS value FROM orders WHERE o_orderkey % 2 = 0)
 """
 
 
@@ -47,7 +47,7 @@ def parsed_values(spark, sf_dir):
 
 def stored_edits(spark, sf_dir):
     k = F.col("o_orderkey")
-    path = F.when(k % 3 == 0, "personal.name").when(k % 3 == 1, "experience.0.title").otherwise("experience.9.title")
+    path = F.when(k % 3 == 0, "personal.name").when(k % 3 == 1, "experience.0.title").otherwise("summary.text")
     return table(spark, sf_dir, "orders").where(k % 2 == 0).select(k.alias("sha"), path.alias("path"), F.when(k % 10 == 0, "").otherwise(F.concat(F.lit("edited "), k.cast("string"))).alias("value"))
 
 
@@ -156,6 +156,14 @@ def first_seen_groups(spark, sf_dir):
     return out.select("l_returnflag", "category", "first_at", F.size("values").cast("long").alias("n"), F.md5(F.array_join(F.transform("values", lambda v: v.cast("string")), ",")).alias("values_md5"))
 
 
+@query("""SELECT l_returnflag, l_linestatus AS category, min(l_orderkey * 10 + l_linenumber) OVER g AS first_at,
+ CAST(row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_orderkey * 10 + l_linenumber, l_partkey) AS BIGINT) AS position, l_partkey AS name FROM lineitem WINDOW g AS (PARTITION BY l_returnflag, l_linestatus)""")
+def ordered_groups(spark, sf_dir):
+    """Groups that hold a good part of the table each, as rows with their places."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_linestatus").alias("category"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"), F.col("l_partkey").alias("name"))
+    return views.ordered_groups(rows, ["l_returnflag"], "category", "name", "at").withColumn("position", F.col("position").cast("long"))
+
+
 @query("SELECT p_brand, p_type AS category, string_agg(p_name, '|' ORDER BY p_partkey) AS names FROM part GROUP BY 1, 2")
 def alphabetical_groups(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_brand", F.col("p_type").alias("category"), F.col("p_partkey").alias("at"), F.col("p_name").alias("name"))
@@ -195,6 +203,17 @@ def set_operations(spark, sf_dir):
     return rows.select("user_id", F.coalesce("in_both", F.lit(False)).alias("in_both"), F.coalesce("only_first", F.lit(False)).alias("only_first"))
 
 
+@query("""WITH a AS (SELECT l_orderkey AS o, CASE WHEN l_linenumber % 5 > 0 THEN CAST(l_quantity AS INT) % 7 END AS i, count(*) AS n FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2),
+b AS (SELECT l_orderkey AS o, CASE WHEN l_linenumber % 3 > 0 THEN CAST(l_quantity AS INT) % 7 END AS i, count(*) AS n FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY 1, 2)
+SELECT a.o AS l_orderkey, CAST(sum(a.n) AS BIGINT) AS n_owned, CAST(sum(greatest(a.n - coalesce(b.n, 0), 0)) AS BIGINT) AS n_outside FROM a LEFT JOIN b ON a.o = b.o AND a.i IS NOT DISTINCT FROM b.i GROUP BY 1""")
+def subset_test(spark, sf_dir):
+    """Items of an order, repeated and null ones among them, against those that it may have."""
+    rows, n = table(spark, sf_dir, "lineitem"), F.col("l_linenumber")
+    item = lambda k: F.when(n % k > 0, F.col("l_quantity").cast("int") % 7).alias("item")
+    owned, allowed = rows.where("l_returnflag <> 'N'").select("l_orderkey", item(5)), rows.where(n % 2 == 1).select("l_orderkey", item(3))
+    return O.uncontained(owned, allowed, ["l_orderkey"], ["item"])
+
+
 _JOBS = """
 j0 AS (SELECT event_id AS job_id, 'Company ' || user_id AS company, upper(event_type) || ' (m/f) Role-' || (event_id % 3) AS title, CASE WHEN event_id % 4 > 0 THEN value END AS salary, CASE event_id % 4 WHEN 0 THEN 'Remote EU' WHEN 1 THEN 'Hybrid, Berlin' WHEN 2 THEN 'Paris' END AS place FROM events),
 j1 AS (SELECT *, trim(lower(company)) || '|' || trim(regexp_replace(regexp_replace(lower(title), '\\([^)]*\\)|[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS key, (salary IS NOT NULL)::INT + (place IS NOT NULL)::INT AS full_ FROM j0),

@@ -1,5 +1,8 @@
 import io
+import itertools
 import json
+import random
+import re
 import zipfile
 
 import pytest
@@ -84,6 +87,62 @@ def test_people(spark):
     assert O.active_person(point("eva"), left).count() == 0 and O.active_person(point("eva-2"), left).first()[0] == "eva-2" and O.active_person(point("../x", None), left).count() == 0
 
 
+def test_many_people_of_one_name(spark):
+    """Ids as if people were made one after another, names that collide with numbered ones included."""
+    rnd = random.Random(3)
+    held = {"lin", "lin-3", "lin-4", "lin-9", "lin-02", "lin-1", "ada-2", "x-" + "9" * 30}
+    said = [rnd.choice(["Lin", "Lin 2", "Ada", "lin", "Lin-12", "Bo", "?", "Lin 2 2"]) for _ in range(300)] + ["Sam"] * 3_000
+    want, taken = {}, set(held)
+    for i, name in enumerate(said):
+        base = re.sub("[^a-z0-9]+", "-", name.lower()).strip("-")
+        tried = (base if k == 1 else f"{base}-{k}" for k in itertools.count(1))
+        want[i] = next(t for t in tried if t not in taken) if base else None
+        taken.add(want[i])
+    names = spark.createDataFrame([(f"{n}", i) for i, n in enumerate(said)], "display_name string, ord long").repartition(5)
+    got = sorted((r["person_id"] or "", r["display_name"]) for r in O.create_people(spark.createDataFrame([(h,) for h in held], "person_id string"), names).collect())
+    assert len({g for g, _ in got if g}) == sum(1 for w in want.values() if w)
+    assert got == sorted((want[i] or "", n) for i, n in enumerate(said))
+
+
+def test_ranks_and_subsets(spark):
+    rows = [(k, None if k is None else i % 3, i) for k in ("a", "b", None) for i in range(200)]
+    got = O.ranked_within(spark.createDataFrame(rows, "g string, h int, i int"), ["g", "h"], ["i"]).collect()
+    by = {}
+    for g, h, i in rows:
+        by.setdefault((g, h), []).append(i)
+    assert len(got) == 600 and all(by[r["g"], r["h"]][r["position"] - 1] == r["i"] for r in got)
+    own = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (2, "b"), (3, None), (3, None)], "o int, i string")
+    may = spark.createDataFrame([(1, "a"), (1, None), (2, "b"), (2, "c"), (3, None), (4, "d")], "o int, i string")
+    assert sorted(map(tuple, O.uncontained(own, may, ["o"], ["i"]).collect())) == [(1, 3, 1), (2, 1, 0), (3, 2, 1)]
+    assert O.uncontained(own.limit(0), may, ["o"], ["i"]).count() == 0
+
+
+@pytest.mark.parametrize("broken", [None, "written", "compared", "placed", "pointed"])
+def test_migration(spark, tmp_path, broken):
+    """Wherever it breaks off, the old file stands until all else does, and a rerun ends it."""
+    old, store = tmp_path / "profile.json", str(tmp_path / "store")
+    text = '{"answers": {"gender": ["Male"], "veteran": ["No"]}}'
+    old.write_text(text)
+    if broken:
+        with pytest.raises(InterruptedError):
+            O.migrate(spark, str(old), store, stop_after=broken)
+        assert old.read_text() == text
+    assert O.migrate(spark, str(old), store) == "moved" and not old.exists() and (tmp_path / "profile.json.migrated").read_text() == text
+    moved = O.profile_rows(spark.read.parquet(f"{store}/people/default")).first()
+    assert (moved["person_id"], moved["display_name"], moved["n_answers"]) == ("default", "Me", 2)
+    assert spark.read.parquet(f"{store}/active").first()[0] == "default"
+    assert O.migrate(spark, str(old), store) == "nothing"
+
+
+def test_migration_that_must_not(spark, tmp_path):
+    old, store = tmp_path / "p.json", tmp_path / "store"
+    old.write_text("{broken")
+    assert O.migrate(spark, str(old), str(store)) == "unreadable" and old.exists() and not store.exists()
+    (store / "people" / "eva").mkdir(parents=True)
+    old.write_text('{"answers": {}}')
+    assert O.migrate(spark, str(old), str(store)) == "kept" and old.exists()
+
+
 def test_old_layout(spark):
     old = lambda text: spark.createDataFrame([(text,)], "content string")
     nobody = spark.createDataFrame([], "person_id string")
