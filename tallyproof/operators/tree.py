@@ -212,13 +212,10 @@ def taken_apart(parsed: DataFrame, doc: str = "doc_id") -> DataFrame:
             return {}
         return payload if isinstance(payload, dict) else {}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(d, *n) for d, j in zip(batch[doc], batch["json"], strict=True) for n in nodes(opened(j))]
-            yield pd.DataFrame(rows, columns=[doc, "what", "path", "field", "text", "source_lines"])
-
-    kind = parsed.schema[doc].dataType.simpleString()
-    return parsed.select(doc, "json").mapInPandas(run, f"{doc} {kind}, what string, path string, field string, text string, source_lines array<int>")
+    # rows by the hundred: a worker never holds the nodes of thousands of answers
+    shape = "array<struct<what: string, path: string, field: string, text: string, source_lines: array<int>>>"
+    walked = F.udf(lambda text: list(nodes(opened(text))), shape, useArrow=False).asNondeterministic()
+    return parsed.select(doc, walked("json").alias("__nodes")).select(doc, F.explode("__nodes").alias("__node")).select(doc, "__node.*")
 
 
 def claims(parts: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -153,3 +153,40 @@ def test_busy_services_are_asked_again():
     assert asked(429, 429, 429, 429) == ("provider_busy", [1, 4, 16])
     assert asked("slow", "slow", "slow", "slow") == ("provider_timeout", [1, 4, 16])
     assert asked(401) == ("provider_refused", []) and asked(400) == ("provider_failed", [])
+
+
+class _Weighed:
+    """Answers with 100 KB, and says at its end how much memory its process holds."""
+
+    def propose(self, messages):
+        held = int(open("/proc/self/statm").read().split()[1]) * 4096
+        return json.dumps({"contact": {"location": {"text": "x" * 100_000, "source_lines": [held >> 20]}}}), False
+
+
+def test_a_worker_holds_few_answers(spark):
+    prompts = spark.range(0, 2500, 1, 1).selectExpr("id AS doc_id", "'p' AS prompt")
+    answered = K.structured(prompts, lambda _: _Weighed())
+    held = [r.mb for r in answered.selectExpr("get_json_object(json, '$.contact.location.source_lines[0]') AS mb").collect()]
+    held = list(map(int, held))
+    assert len(held) == 2500 and max(held) - min(held) < 150
+
+
+def test_nodes_come_in_small_batches(spark):
+    """Not in the ten thousand rows of an Arrow batch."""
+    parts = tree.taken_apart(spark.createDataFrame([(1, json.dumps(K.EXAMPLE)), (2, None), (3, "[")], "doc_id long, json string"))
+    assert {r.doc_id for r in parts.collect()} == {1}
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchEvalPython") == 1 and "MapInPandas" not in plan
+
+
+def test_a_provider_for_each_partition(spark):
+    class Counted:
+        def __init__(self):
+            self.asked = 0
+
+        def propose(self, messages):
+            self.asked += 1
+            return json.dumps({"contact": {"location": {"text": str(self.asked), "source_lines": [1]}}}), False
+
+    rows = K.structured(spark.range(0, 6, 1, 2).selectExpr("id AS doc_id", "'p' AS prompt"), lambda _: Counted(), each=False).where("status = 'ok'")
+    assert sorted(json.loads(r.json)["contact"]["location"]["text"] for r in rows.collect()) == ["1", "1", "2", "2", "3", "3"]
