@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -51,7 +52,10 @@ def repair(text: str) -> str:
 
 
 def _undo(m: re.Match) -> str:
-    run = m.group()
+    return _known_run(m[0]) if len(m[0]) <= 16 else _sound_run(m[0])
+
+
+def _sound_run(run: str) -> str:
     for name, leads in _LEADS.items():
         if len(run) < leads.get(run[0], len(run) + 1):
             continue
@@ -66,16 +70,31 @@ def _undo(m: re.Match) -> str:
     return run
 
 
+_known_run = lru_cache(maxsize=20_000)(_sound_run)
+
+
 _DROP = re.compile("[-\U000f0000-\U000ffffd\U00100000-\U0010fffd​-‍﻿⁠­]")
 _SPACE = re.compile("[ \t  -   　]+")
 _FOLD = str.maketrans(FOLD_FROM, FOLD_TO) | {ord("…"): "..."}
 
 
+class _Keys(dict):
+    """What each character becomes in a key, worked out when it first comes. Decomposition
+    goes by characters; only marks change places in it, and these are left out."""
+
+    def __missing__(self, code: int) -> str:
+        parts = unicodedata.normalize("NFKD", _DROP.sub("", chr(code)).translate(_FOLD))
+        self[code] = "".join(c for c in parts if not unicodedata.combining(c))
+        return self[code]
+
+
+_KEYS = _Keys()
+
+
 def match_key_of(text: str) -> str:
     """The key that claims and lines are compared by; never shown."""
     if not text.isascii():
-        text = _DROP.sub("", repair(text)).translate(_FOLD)
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        text = repair(text).translate(_KEYS)
     return _SPACE.sub(" ", text).strip().casefold()
 
 

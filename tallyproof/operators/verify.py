@@ -55,10 +55,19 @@ def _hopeless(k: Column, text: Column, floor: float) -> Column:
     return length | ~shared
 
 
+def _verbatim(claim: Column, text: Column) -> Column:
+    """Whether a claim stands in a text as it is, between spaces or ends. Then its key stands
+    so in the text's key, whatever letters it has: keys are made character by character, and
+    of runs that a space ends. Four ASCII letters or digits, which keys keep, make it long enough."""
+    space = F.lit(" ")
+    inside = F.contains(F.concat(space, text, space), F.concat(space, claim, space))
+    return F.coalesce(inside, F.lit(False)) & F.regexp_like(claim, F.lit(rf"^(?:[^A-Za-z0-9]*+[A-Za-z0-9]){{{MIN_EXACT}}}"))
+
+
 def score(claims: DataFrame, lines: DataFrame, keys: list[str], text_col: str = "text", doc: str = "doc_id", floor: float = 0.0) -> DataFrame:
     """`claims` with `score` (0 to 100) and `n_missing`.
 
-    One pass over claims joined to what they cite. ASCII text that, in either form, contains the claim
+    One pass over claims joined to what they cite. A claim that stands in them as it is, and ASCII text that, in either form, contains the claim
     word for word scores 100 with built-in functions; where a `floor` says that only a
     verdict is wanted, ASCII text that can't reach it is told by built-in functions too.
     Only what is left reaches the similarity UDF, which gets nulls for all other rows.
@@ -67,17 +76,20 @@ def score(claims: DataFrame, lines: DataFrame, keys: list[str], text_col: str =
     0 below that.
     """
     claim = F.coalesce(F.col(text_col), F.lit(""))
-    plain = lambda c: F.when(F.octet_length(c) == F.char_length(c), folded_ascii(c))
-    rows = cited_text(claims, lines, keys, doc).withColumn("__void", (F.col("n_cited") == 0) | (F.col("n_missing") > 0))
+    void = (F.col("n_cited") == 0) | (F.col("n_missing") > 0)
+    # most claims are told here, before any key is made
+    told = F.when(void, 0.0).when(_verbatim(claim, F.col("joined")) | _verbatim(claim, F.col("apart")), 100.0)
+    rows = cited_text(claims, lines, keys, doc).withColumn("__told", told)
+    plain = lambda c: F.when(F.col("__told").isNull() & (F.octet_length(c) == F.char_length(c)), folded_ascii(c))
     rows = rows.withColumn("__k", plain(claim)).withColumn("__k1", plain(F.col("joined"))).withColumn("__k2", plain(F.col("apart")))
     k, k1, k2 = F.col("__k"), F.col("__k1"), F.col("__k2")
-    known = F.when(F.col("__void"), 0.0).when((F.char_length(k) >= MIN_EXACT) & (contains_word(k1, k) | contains_word(k2, k)), 100.0)
+    known = F.when(F.col("__told").isNotNull(), F.col("__told")).when((F.char_length(k) >= MIN_EXACT) & (contains_word(k1, k) | contains_word(k2, k)), 100.0)
     if floor >= THRESHOLD - 1e-3:
         known = known.when(k.isNotNull() & k1.isNotNull() & _hopeless(k, k1, floor) & (F.col("apart").isNull() | _hopeless(k, k2, floor)), 0.0)
     rows = rows.withColumn("__known", known)
     pending = F.col("__known").isNull()
     asked = [F.when(pending, c) for c in (claim, F.col("joined"), F.col("apart"))]
-    return rows.withColumn("score", F.coalesce("__known", claim_score(*asked, F.lit(floor)))).drop("__known", "__void", "__k", "__k1", "__k2", "joined", "apart", "n_cited")
+    return rows.withColumn("score", F.coalesce("__known", claim_score(*asked, F.lit(floor)))).drop("__known", "__told", "__k", "__k1", "__k2", "joined", "apart", "n_cited")
 
 
 def verify(claims: DataFrame, lines: DataFrame, keys: list[str] | None = None, doc: str = "doc_id", verdicts_only: bool = False) -> DataFrame:

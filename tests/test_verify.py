@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tallyproof.functions import fuzzy
 from tallyproof.operators import coverage as C, verify as V
 from tallyproof.schema import CLAIMS
 
@@ -119,3 +120,24 @@ def test_verdicts_with_and_without_figures(spark):
     claims = spark.createDataFrame([(1, i, f"p.{i}", "span", c, [i, 1 + i % 600] if i % 12 == 0 else [i]) for i, (_, c) in enumerate(pairs, 1)], CLAIMS)
     whole, quick = ({r["claim_id"]: r["verified"] for r in V.verify(claims, lines, verdicts_only=x).collect()} for x in (False, True))
     assert whole == quick and len(whole) == 600 and 100 < sum(whole.values()) < 550
+
+
+def test_what_stands_in_its_line_is_told_before_any_key_is_made(spark, monkeypatch):
+    """In any script; only the rest reaches the similarity, which says 7 here."""
+    monkeypatch.setattr(V, "claim_score", lambda claim, *_: F.when(claim.isNotNull(), 7.0))
+    texts = ["Größe für Ufer", "naïve — déjà vu 12", "Привет 2024 мир", "abc é", "wörd"]
+    lines = spark.createDataFrame([(1, i, t, []) for i, t in enumerate(texts, 1)], LINES)
+    said = [("für Ufer", [1], 100), ("déjà vu 12", [2, 1], 100), ("Привет 2024 мир", [3], 100), ("r Ufer", [1], 7), ("abc é", [4], 7), ("wörd", [5], 7), ("vu 12 Größe", [2, 1], 100), ("Größe", [9], 0)]
+    claims = spark.createDataFrame([(1, i, f"p.{i}", "span", c, no) for i, (c, no, _) in enumerate(said)], CLAIMS)
+    got = {r["claim_id"]: r["score"] for r in V.verify(claims, lines, verdicts_only=True).collect()}
+    assert got == {i: float(s) for i, (_, _, s) in enumerate(said)}
+
+
+def test_likeness_of_long_texts_takes_little(monkeypatch):
+    """Letters are counted for windows that can win only, and what both begin and end with isn't compared."""
+    seen = []
+    monkeypatch.setattr(fuzzy, "common", lambda masks, m, b, real=fuzzy.common: seen.append(m * len(b)) or real(masks, m, b))
+    text = "".join(chr(97 + i * i % 23) for i in range(1_500))
+    assert round(fuzzy.ratio(text[:700] + "§" + text[701:], text), 6) == round(100 - 100 / 1_500, 6) and sum(seen) < 10
+    monkeypatch.setattr(fuzzy, "_most_in_common", None)
+    assert round(fuzzy.partial_ratio(text[:700] + "§" + text[701:], text, 99.9), 6) == round(100 - 100 / 1_500, 6)
