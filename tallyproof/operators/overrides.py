@@ -86,16 +86,21 @@ def positions(rows: DataFrame, order: list[str], name: str = "position") -> Data
     return cut.join(F.broadcast(before), "__range").withColumn(name, (nr + F.col("__before")).cast("int")).drop("__range", "__before")
 
 
+#: Rows of a range, about: more rows make more ranges, not larger ones.
+RANGE_ROWS = 500_000
+
+
 def ranked_within(rows: DataFrame, keys: list[str], order: list[str], name: str = "position") -> DataFrame:
     """`rows` numbered from 1 within each group, however large: sorted in ranges of (keys,
     order), each of which begins behind what those before it hold of the same group. The
     order must tell the rows of a group apart, or ties get any of their numbers."""
-    cut = settled(rows.repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id()))
+    ranges = max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // RANGE_ROWS + 1)
+    cut = settled(rows.repartitionByRange(ranges, *keys, *order).withColumn("__range", F.spark_partition_id()))
     ahead = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     held = cut.groupBy(*keys, "__range").agg(F.count("*").alias("n"))
     before = held.select("__range", *(F.col(k).alias(f"__of_{k}") for k in keys), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("__before"))
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys))
-    out = cut.join(before.withColumnRenamed("__range", "__at"), same & (F.col("__range") == F.col("__at")))
+    out = cut.join(before.withColumnRenamed("__range", "__at"), same & (F.col("__range") == F.col("__at"))).repartition(ranges, "__range", *keys)
     nr = F.row_number().over(Window.partitionBy("__range", *keys).orderBy(*order))
     return out.select(*rows.columns, (nr + F.col("__before")).alias(name))
 

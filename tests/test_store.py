@@ -365,3 +365,15 @@ def test_jobs(spark):
     assert led.groupBy("bucket").count().agg(F.sum("count")).first()[0] == 3
     texts = spark.createDataFrame([("<p>a&amp;b</p>\n <b>c</b>",)], "h string")
     assert texts.select(J.plain(F.col("h"))).first()[0] == "a&b c"
+
+
+def test_ranges_hold_no_more_rows_as_tables_grow(spark, monkeypatch):
+    from tallyproof.operators import overrides
+
+    monkeypatch.setattr(overrides, "RANGE_ROWS", 100)
+    rows = spark.range(0, 3_000).selectExpr("id % 2 AS g", "(id * 7919) % 3000 AS at")
+    ranked = overrides.ranked_within(rows, ["g"], ["at"])
+    assert ranked.rdd.getNumPartitions() >= 30
+    got = sorted((r.g, r["at"], r.position) for r in ranked.collect())
+    want = {g: sorted(n for k in range(3_000) if k % 2 == g for n in [(k * 7919) % 3_000]) for g in (0, 1)}
+    assert got == [(g, n, i) for g in (0, 1) for i, n in enumerate(want[g], 1)]
