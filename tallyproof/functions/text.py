@@ -22,7 +22,7 @@ BULLET = r"(?U)^[•·◦▪‣∙⁃▸►−*‐\-–—]+\s+"
 CONTACT = r"(?iU)^\s*(?:[^@\s]+@[^@\s]+\.\w+|\+?[\d()][\d\s()./-]{6,}|(?:https?://|www\.)\S+|(?:linkedin|github|gitlab|twitter|x)\.com/\S+)"
 RTL = r"[\x{0590}-\x{08FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFF}]"
 CJK = r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}]"
-LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+LINE_BREAK = r"[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}](?:(?<=\r)\n)?"
 FOLD_FROM = "‘’‚‛“”„–—‒−― "
 FOLD_TO = "''''\"\"\"----- "
 
@@ -75,6 +75,9 @@ _known_run = lru_cache(maxsize=20_000)(_sound_run)
 
 _DROP = re.compile("[-\U000f0000-\U000ffffd\U00100000-\U0010fffd​-‍﻿⁠­]")
 _SPACE = re.compile("[ \t  -   　]+")
+#: The same, but for single plain spaces, which stay as they are.
+_ANY = _SPACE.pattern[1:-2]
+_SPACED = re.compile(f"[{_ANY.replace(' ', '', 1)}][{_ANY}]*|[{_ANY}]{{2,}}")
 _FOLD = str.maketrans(FOLD_FROM, FOLD_TO) | {ord("…"): "..."}
 
 
@@ -94,8 +97,20 @@ _KEYS = _Keys()
 def match_key_of(text: str) -> str:
     """The key that claims and lines are compared by; never shown."""
     if not text.isascii():
-        text = repair(text).translate(_KEYS)
-    return _SPACE.sub(" ", text).strip().casefold()
+        text = _RUN.sub(_key_of_run, text)
+    return _SPACED.sub(" ", text).strip().casefold()
+
+
+def _run_key(run: str) -> str:
+    return repair(run).translate(_KEYS)
+
+
+_known_run_key = lru_cache(maxsize=20_000)(_run_key)
+
+
+def _key_of_run(m: re.Match) -> str:
+    """Repair and decomposition go by runs without ASCII, which come again if they are short."""
+    return _known_run_key(m[0]) if len(m[0]) <= 16 else _run_key(m[0])
 
 
 @F.pandas_udf(StringType())

@@ -264,3 +264,42 @@ def test_fuzzy_spans_against_all_pairs(spark):
                 if (len(line) >= 12 or len(a) >= len(b)) and round(brute_partial(a, b), 4) >= 95:
                     want.add((d, k, no))
     assert len(want) > 60 and got == want
+
+
+def test_pieces_met_by_chance_go_no_further(spark):
+    """A piece alone is no pair; with the one beside it whole, or one letter off on either side, it is."""
+    from tallyproof.operators import spans
+
+    k = "abcdefghijklmnopqrstuvwxyz0123456789" * 2 + "!$%&()*+,"
+    table = lambda name, texts: spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], f"{name} long, k string, m int")
+    own = spans.pieces(table("item", [k]), "item").withColumnRenamed("m", "mi")
+    far = "=" * 90
+    first, second = k[:9], k[9:18]
+    lines = [
+        far + first + far, far + first + second + far, far + first + second[:4] + "=" + second[4:] + far, far + first + second[:2] + second[3:] + far, far + first + "=" + second + far,
+        far + second + far, far + first[:4] + "=" + first[4:] + second + far, first + second + far, second + far, far + first + second, k[1:9] + second + far, far + k[-9:] + far,
+    ]
+    rows = table("row", lines)
+    got = {r["row"] for r in spans._meet(spans.runs(rows, "row", [9]), own, "mi <= m").collect()}
+    # 81 letters are nine pieces: the last has none beside it
+    assert got == {1, 2, 3, 4, 6, 7, 9, 10, 11}
+
+
+def test_keys_go_by_runs():
+    import random
+
+    from tallyproof.functions import text as T
+
+    random.seed(5)
+    some = "ab \t\xa0 　ßäÄéÃ¤â€™œЃРІ​…½ﬁİ̇\x1c\n"
+    for _ in range(5_000):
+        t = "".join(random.choices(some, k=random.randint(0, 14))) + random.choice(["", "ä’é".encode().decode("mac_roman"), "äö".encode().decode("cp1252") * 9])
+        assert T.match_key_of(t) == T._SPACE.sub(" ", T.repair(t).translate(T._KEYS)).strip().casefold()
+
+
+def test_line_breaks(spark):
+    from tallyproof.operators.lines import split_lines
+
+    text = "a\r\n\r\nb\n\rc\r\rd\n\ne\x0b\nf \ng\x85h\x1ei\r\n"
+    got = spark.createDataFrame([(text,)], "t string").select(split_lines(F.col("t"))).first()[0]
+    assert got == ["a", "", "b", "", "c", "", "d", "", "e", "", "f", "", "g", "h", "i"]
