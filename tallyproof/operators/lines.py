@@ -38,12 +38,18 @@ def furniture(lines: DataFrame, doc: str, page: str, zone: str = "zone", text_co
     Pages are counted by aggregation and joined back, so that a line shared by
     very many pages isn't gathered in one window.
     """
+    pages = lines.groupBy(doc).agg(F.countDistinct(page).alias("page_count"))
+    return repeated(lines, pages, doc, page, zone, text_col)
+
+
+def repeated(lines: DataFrame, pages: DataFrame, doc: str, page: str, zone: str = "zone", text_col: str = "text") -> DataFrame:
+    """`furniture` where `pages` (doc, page_count) are counted already: of `lines`, those
+    of the body may be left out."""
     # only lines outside the body can go, and they are few: the others pass by all joins
     may = (F.col(zone) != "body") & (F.col(text_col) != "")
     outside = lines.where(may).withColumn("masked", T.digit_mask(F.col(text_col)))
     of_mask = outside.groupBy(doc, "masked").agg(F.countDistinct(page).alias("mask_pages"))
     of_text = outside.groupBy(doc, text_col).agg(F.countDistinct(page).alias("text_pages"))
-    pages = lines.groupBy(doc).agg(F.countDistinct(page).alias("page_count"))
     rows = outside.join(of_mask, [doc, "masked"], "left").join(of_text, [doc, text_col], "left").join(pages, doc, "left")
     reason = F.when((F.col("masked") != F.col(text_col)) & (F.col("mask_pages") >= 2), "repeated_page_footer").when(
         (F.col("page_count") > 1) & (F.col("text_pages") >= F.col("page_count")), "repeated_on_every_page"

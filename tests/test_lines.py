@@ -69,3 +69,18 @@ def test_numbering_and_line_breaks(spark):
         got.setdefault(r["doc_id"], []).append((r["no"], r["text"]))
     want = {i: list(enumerate(t.splitlines(), 1)) for i, t in ((1, "a\r\nb\n\nc\n"), (4, "x\x0by z"))}
     assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_furniture_query_reads_texts_once(spark, tmp_path):
+    import __spark_entry__
+
+    rows = [(1, "a", "Head 1\nx\nfoot\n"), (2, "a", "Head 2\n\nfoot"), (3, "a", "foot"), (4, "a", "own\nbody\nbody\nfoot"), (5, "a", ""), (6, "b", "alone\r\nfoot"), (7, None, "Head 3"), (8, "c", None), (9, "d", "\n\n")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = __spark_entry__.queries()["furniture"](spark, str(tmp_path))
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 1
+    got = {(r["doc_id"], r["no"]): r["reason"] for r in out.collect()}
+    every, footer = "repeated_on_every_page", "repeated_page_footer"
+    assert got == {
+        (1, 1): footer, (1, 2): None, (1, 3): every, (2, 1): footer, (2, 2): None, (2, 3): every, (3, 1): every, (4, 1): None, (4, 2): None, (4, 3): None, (4, 4): every,
+        (6, 1): None, (6, 2): None, (7, 1): None, (9, 1): None, (9, 2): None,
+    }
